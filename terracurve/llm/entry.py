@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, packing, quality, sharding, url_filter
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op5_sharding": sharding.op5_sharding,
+    "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLE_SQL = {
+    "op8_mixing": mixing.SQL,
     "op9_quality": quality.SQL,
+    "op10_url_filter": url_filter.SQL,
 }
