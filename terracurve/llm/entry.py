@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding, url_filter
+from . import licenses, mixing, packing, quality, secret_scan, sharding, simhash, topk, url_filter
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
+    "op3_licenses": licenses.op3_licenses,
     "op5_sharding": sharding.op5_sharding,
+    "op6_secrets": secret_scan.op6_secrets,
+    "op7_topk": topk.op7_topk,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLE_SQL = {
+    "op3_licenses": licenses.SQL,
+    "op6_secrets": secret_scan.SQL,
+    "op7_topk": topk.SQL,
     "op8_mixing": mixing.SQL,
     "op9_quality": quality.SQL,
     "op10_url_filter": url_filter.SQL,
