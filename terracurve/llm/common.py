@@ -43,6 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, *cols) -> DataFrame:
+    """``docs`` as one column ``_row`` beside ``cols``, so that no name of theirs meets one of an operator's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *cols)
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``limit`` rows; reads at most one row more."""
     return df.limit(limit + 1).count() <= limit

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, quality, secret_scan, sharding, simhash, topk, url_filter
+from . import licenses, mixing, packing, passages, quality, secret_scan, sharding, simhash, topk, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
     "op3_licenses": licenses.op3_licenses,
+    "op4_passages": passages.op4_passages,
     "op5_sharding": sharding.op5_sharding,
     "op6_secrets": secret_scan.op6_secrets,
     "op7_topk": topk.op7_topk,

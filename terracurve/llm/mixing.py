@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import beside, running_total, shuffle_key, table, words, written
+from .common import beside, boxed, running_total, shuffle_key, table, words, written
 
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
@@ -31,9 +31,9 @@ BITS, GOLDEN, CELL_BITS = 31, 1327217885, 12
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the shuffle key with its slice."""
+    """doc_id, source, size, a hash of the text, and the shuffle key with its slice."""
     key = shuffle_key(SEED, "doc_id")
-    df = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"))
+    df = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"), key.alias("key"))
     return df.withColumn("slice", F.substring("key", 1, 3))
 
 
@@ -91,7 +91,7 @@ _SLOT = "case when {x} < (goal % n_slots) * (goal div n_slots + 1) then {x} div
 def mixed(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS) -> tuple[DataFrame, DataFrame]:
     """The placed documents, and the pieces of them that slots take.
 
-    Placed: doc_id, source, size, source_size, target, src, start (place of the
+    Placed: doc_id, source, size, text_hash, source_size, target, src, start (place of the
     document in its source's stream). Pieces: src, start, k, word_from, word_to.
     """
     spark = docs.sparkSession
@@ -109,17 +109,26 @@ def mixed(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS) -> tuple[DataFra
 
 
 def taken(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+    """doc_id, source, size, text_hash, source_size, target, taken of every document."""
     placed, pieces = mixed(docs, block, weights)
-    keep = ["doc_id", "size", "source_size", "target"]
     got = pieces.groupBy("src", "start").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
     got = got.withColumnsRenamed({"src": "_src", "start": "_start"})
     on = (F.col("src") == F.col("_src")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
-    return placed.join(got, on, "left").select(*keep, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(got, on, "left").select("doc_id", "source", "size", "text_hash", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def resampled(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS) -> DataFrame:
+    """``docs`` with each document as often as the mix takes its words, rounded half up; so only the
+    document at a source's end differs from the words taken. Repeated rows share what they get."""
+    got = taken(docs, block, weights).groupBy("doc_id", "source", "text_hash").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("times"))
+    got = got.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_t"), F.floor(F.col("times") + 0.5).cast("int").alias("_n")).where("_n > 0")
+    own = boxed(docs, F.col("doc_id").alias("_d0"), F.col("source").alias("_s0"), F.xxhash64("text").alias("_t0"))
+    met = own.join(written(got, "mix-times"), (F.col("_t0") == F.col("_t")) & F.col("_d0").eqNullSafe(F.col("_d")) & F.col("_s0").eqNullSafe(F.col("_s")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(table(spark, sf_dir, "documents"))
+    return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import beside, shared_dir, table, written
+from .common import beside, boxed, shared_dir, table, written
 
 #: kind, version, pattern, group measured, its least length. The first three are the base rules.
 RULES = [
@@ -46,7 +46,7 @@ def _pair(rule) -> str:
 def blobs(docs: DataFrame) -> DataFrame:
     """blob, text: every distinct text once. Copies within a task merge before the shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    return docs.select(_blob().alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
 
 
 def _rows(i: int, rule):
@@ -86,7 +86,7 @@ def scan(docs: DataFrame, ledger: str, rules=RULES) -> DataFrame:
         texts = texts.withColumn("todo", pairs)
     # The pairs are written from the same scan's keys; findings come first.
     found_in(texts, rules).write.mode("append").parquet(f"{ledger}/findings")
-    own = docs.select(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("blob")).distinct()
+    own = docs.select(_blob().alias("blob")).distinct()
     if seen is not None:
         own = own.join(seen.groupBy("blob").agg(F.flatten(F.collect_set("pairs")).alias("pairs")), "blob", "left").where(F.size(F.array_except(pairs, F.coalesce("pairs", F.array().cast("array<string>")))) > 0).select("blob")
     own.withColumn("pairs", pairs).write.mode("append").parquet(f"{ledger}/seen")
@@ -114,17 +114,19 @@ def new_ledger(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
 
-def _with_findings(docs: DataFrame, ledger: str | None, rules) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with _b, its blob, and one row for each blob with findings."""
-    spans = written(by_blob(scan(docs, ledger or new_ledger(docs.sparkSession), rules), rules).withColumnRenamed("blob", "_blob"), "spans")
-    blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    return docs.withColumn("_b", blob), spans
+def _blob() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
+def _findings(docs: DataFrame, ledger: str | None, rules) -> DataFrame:
+    """One row for each blob with findings: _blob, found and the base counts."""
+    found = scan(docs, ledger or new_ledger(docs.sparkSession), rules)
+    return written(by_blob(found, rules).withColumnRenamed("blob", "_blob"), "spans")
 
 
 def secrets(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    named, spans = _with_findings(docs, ledger, rules)
-    df = beside(named.select("doc_id", "_b"), spans, F.col("_b") == F.col("_blob"))
+    df = beside(docs.select("doc_id", _blob().alias("_b")), _findings(docs, ledger, rules), F.col("_b") == F.col("_blob"))
     kinds = F.array(*(F.lit(r[0]) for r in rules))
     found = F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -135,16 +137,16 @@ def secrets(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFram
 
 def redacted(docs: DataFrame, ledger: str | None = None, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span, overlapping ones joined, replaced by ``mark``, and n_chars set to the new length."""
-    named, spans = _with_findings(docs, ledger, rules)
-    df = beside(named, spans.select("_blob", "found"), F.col("_b") == F.col("_blob"))
+    df = beside(boxed(docs, "text", _blob().alias("_b")), _findings(docs, ledger, rules), F.col("_b") == F.col("_blob"))
     piece = lambda a, b: F.substr(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     # A span that starts before the last one's end only moves the end on.
     step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= F.greatest(a["at"], F.lit(1)), F.concat(a["out"], piece(a["at"], s["start"]), F.lit(mark))).when((a["at"] == 0) & (s["start"] == 0), F.lit(mark)).otherwise(a["out"]).alias("out"))
     text = F.aggregate("found", start, step, lambda a: F.concat(a["out"], piece(a["at"], F.length("text"))))
-    df = df.withColumn("_new", F.when(F.col("found").isNotNull(), text).otherwise(F.col("text")))
-    named = {"text": F.col("_new"), "n_chars": F.when(F.col("found").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars"))}
-    return df.withColumns(named).select(*docs.columns)
+    new = F.col("_row").withField("text", text)
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.length(text).cast("long"))
+    return df.select(F.when(F.col("found").isNotNull(), new).otherwise(F.col("_row")).alias("_row")).select("_row.*")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

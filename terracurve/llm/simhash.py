@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import boxed, table, written
 from .components import components
 
 RADIUS, SHINGLE, CHUNK = 3, 3, 4096
@@ -158,10 +158,10 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     lone = F.col("component_id").isNull()  # only rows without doc_id: told apart by fingerprint
     best = found.groupBy("component_id", F.when(lone, F.col("fp")).alias("_f")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
     best = best.select(F.coalesce("k.doc_id", F.lit(-1)).alias("_d"), F.col("k.n").alias("_n"), F.col("k.text_hash").alias("_t"))
-    own = docs.withColumns({"_d0": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_n0": F.col("doc_id").isNull(), "_t0": F.xxhash64(F.coalesce("text", F.lit("")))})
+    own = boxed(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d0"), F.col("doc_id").isNull().alias("_n0"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t0"))
     met = own.join(written(best, "kept"), (F.col("_d0") == F.col("_d")) & (F.col("_n0") == F.col("_n")) & (F.col("_t0") == F.col("_t")))
     one = Window.partitionBy("_d0", "_n0", "_t0").orderBy(F.lit(1))
-    return met.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(*docs.columns)
+    return met.withColumn("_one", F.row_number().over(one)).where("_one = 1").select("_row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
