@@ -1,10 +1,13 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import curves, pixels, sampling  # noqa: F401
+from .registry import QUERIES, SQL
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+__all__ = ["QUERIES", "SQL", "oracle_sql"]
