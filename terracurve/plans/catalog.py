@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curves, pixels, sampling  # noqa: F401
+from . import cells, curves, pixels, sampling, scoring  # noqa: F401
 from .registry import QUERIES, SQL
 
 
