@@ -13,3 +13,13 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     }
     builder = SparkSession.builder.config(map=conf | {f"spark.{k.replace('__', '.')}": v for k, v in more.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one on a local master only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file:///tmp/checkpoints/terracurve"
