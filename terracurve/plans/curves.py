@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 from ..functions import curve as c
 from ..operators import profiles as p
 from ..sources.adapters import AXIS_FIRST, N_DATES, PROFILE_SQL, TS_SQL, VEC_SQL, read, ts_arrays, ts_curves, vec_curves
-from .registry import query
+from . import registry
+
+
+def query(sql=None):
+    """Adding zero on both sides turns a rounded -0.0 into 0.0."""
+    return registry.query(sql and sql.replace("round(", "0::double + round("))
+
+
+def _R6(x, name):
+    return (F.round(x, 6) + F.lit(0.0)).alias(name)
+
 
-_R6 = lambda x, name: F.round(x, 6).alias(name)
 _MONTHS = [m.lower() for m in calendar.month_abbr[4:]]
 
 

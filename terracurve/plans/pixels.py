@@ -10,10 +10,13 @@ from ..schema import PIXEL_ACRES
 from ..sources.adapters import GRID_SQL, POLYGONS, grid, polygons
 from .registry import query
 
-X, Y = F.col("col") + 0.5, F.col("row") + 0.5
 KEYS = ("row", "col")
 
 
+def _centre():
+    return F.col("col") + 0.5, F.col("row") + 0.5
+
+
 def _edges_sql(name: str, shapes) -> str:
     rows = []
     for n, (crop, v) in enumerate(shapes):
@@ -42,7 +45,7 @@ def _touch_sql(boxes) -> str:
 
 @query(f'with {GRID_SQL}, {_EDGES} select "row", col, crop from ({_inside_sql("edges", "grid")})')
 def point_in_polygon(spark, sf_dir):
-    return r.burn(grid(spark, sf_dir), polygons(spark), X, Y, *KEYS)
+    return r.burn(grid(spark, sf_dir), polygons(spark), *_centre(), *KEYS)
 
 
 @query(f'with {GRID_SQL} select "row", col from grid where {_touch_sql(_BOXES)}')
@@ -53,7 +56,7 @@ def pixel_touch_join(spark, sf_dir):
 @query(f"""with {GRID_SQL}, {_edges_sql("aoi", _AOI)}, {_edges_sql("val", _VALIDATION)}, a as ({_inside_sql("aoi", "grid")}), v as ({_inside_sql("val", "grid")})
 select "row", col, "class" from grid where ("row", col) in (select "row", col from a) and ("row", col) not in (select "row", col from v) and "class" <> 255""")
 def inside_mask_outside_anti(spark, sf_dir):
-    inside = lambda p: in_polygon(X, Y, F.col("xs"), F.col("ys"))
+    inside = lambda p: in_polygon(*_centre(), F.col("xs"), F.col("ys"))
     df = grid(spark, sf_dir).where("class <> 255")
     aoi, val = polygons(spark, _AOI), polygons(spark, _VALIDATION)
     return df.join(aoi, inside(aoi), "left_semi").join(val, inside(val), "left_anti").select("row", "col", "class")
@@ -68,7 +71,7 @@ one as (select "row", col, min(crop) crop from er group by all having count(*) =
 def burn_erode_ambiguity(spark, sf_dir):
     """The hand-countable raster of 20 by 20, once for each region."""
     px = spark.range(400).select(F.expr("cast(id div 20 as int)").alias("row"), (F.col("id") % 20).cast("int").alias("col"))
-    claims = r.eroded(r.burn(px, polygons(spark, _GOLDEN), X, Y, *KEYS), "crop")
+    claims = r.eroded(r.burn(px, polygons(spark, _GOLDEN), *_centre(), *KEYS), "crop")
     counts = r.unambiguous(claims, *KEYS).groupBy("crop").agg(F.count(F.lit(1)).alias("n"))
     regions = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name")
     return regions.join(F.broadcast(counts), F.lit(True)).select("crop", "n", "r_name")
@@ -105,7 +108,7 @@ select crop, count(*) ref_pixels, round(count(*) * {PIXEL_ACRES}::double, 6) ref
 from burned join mp using ("row", col), t group by crop""")
 def raster_scores(spark, sf_dir):
     g = grid(spark, sf_dir)
-    got = r.scored(g, r.burn(g, polygons(spark), X, Y, *KEYS), 1, 255, PIXEL_ACRES, *KEYS)
+    got = r.scored(g, r.burn(g, polygons(spark), *_centre(), *KEYS), 1, 255, PIXEL_ACRES, *KEYS)
     return got.select("crop", "ref_pixels", *(F.round(c, 6).alias(c) for c in ("ref_acres", "pct_mapped", "map_pct")), "mapped")
 
 
