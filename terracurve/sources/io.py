@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -77,14 +78,20 @@ def write_json(values: dict, path: str) -> None:
     Path(path).write_text(json.dumps(values, indent=2, sort_keys=True))
 
 
+def _if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def write_missing(spark: SparkSession, df: DataFrame, path: str, *keys: str) -> int:
     """Appends the rows whose keys aren't in ``path`` yet; returns how many there were to add."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        df = df.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
-    except AnalysisException:  # no such folder yet
-        pass
+    there = _if_there(spark, path)
+    if there is not None:
+        df = df.join(there.select(*keys).distinct(), list(keys), "left_anti")
     # Counted from what was planned before writing, so that the count reads the old state.
     n = df.count()
     if n:
@@ -94,13 +101,9 @@ def write_missing(spark: SparkSession, df: DataFrame, path: str, *keys: str) ->
 
 def cached(spark: SparkSession, path: str, make, refresh: bool = False) -> DataFrame:
     """The table at ``path``, made by ``make()`` if it isn't there or is to be refreshed."""
-    from pyspark.errors import AnalysisException
-
-    if not refresh:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+    there = None if refresh else _if_there(spark, path)
+    if there is not None:
+        return there
     make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
