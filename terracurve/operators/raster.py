@@ -10,20 +10,41 @@ from pyspark.sql import functions as F
 from ..functions.geo import in_box, in_polygon
 
 
+#: Side of the cells by which pixels meet polygons.
+CELL = 16.0
+
+
+def _in_cells(shapes: DataFrame, margin: float = 0.0) -> DataFrame:
+    """``shapes`` (with a bounding box) once for each cell that their box, grown by ``margin`` to the low side, meets."""
+    along = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - margin) / CELL), F.floor(F.col(hi) / CELL)))
+    return shapes.withColumn("_sx", along("xmin", "xmax")).withColumn("_sy", along("ymin", "ymax"))
+
+
+def _meet(pixels: DataFrame, shapes: DataFrame, x: Column, y: Column, exact: Column, how: str) -> DataFrame:
+    """Pixels and shapes meet by cell, an equi-join at any size of either side; then comes the exact test."""
+    px = pixels.withColumn("_cx", F.floor(x / CELL)).withColumn("_cy", F.floor(y / CELL))
+    return px.join(shapes, (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & exact, how)
+
+
+def _inside(x: Column, y: Column) -> Column:
+    return in_box(x, y) & in_polygon(x, y, F.col("xs"), F.col("ys"))
+
+
 def burn(pixels: DataFrame, polygons: DataFrame, x: Column, y: Column, *keys: str) -> DataFrame:
-    """keys, crop: pixels whose centre lies in any polygon of that crop, each once.
+    """keys, crop: pixels whose centre lies in any polygon of that crop, each once."""
+    return _meet(pixels, _in_cells(polygons), x, y, _inside(x, y), "inner").select(*keys, "crop").distinct()
 
-    Polygons are the small side: they are broadcast if the planner's size
-    estimate allows, with the box test before the exact one.
-    """
-    met = pixels.join(polygons, in_box(x, y) & in_polygon(x, y, F.col("xs"), F.col("ys")))
-    return met.select(*keys, "crop").distinct()
+
+def within(pixels: DataFrame, polygons: DataFrame, x: Column, y: Column, outside: bool = False) -> DataFrame:
+    """Pixels whose centre lies in any polygon, or in none."""
+    return _meet(pixels, _in_cells(polygons), x, y, _inside(x, y), "left_anti" if outside else "left_semi").drop("_cx", "_cy")
 
 
 def touched(pixels: DataFrame, boxes: DataFrame, *keys: str) -> DataFrame:
     """keys of pixels whose square touches a box (columns xmin, xmax, ymin, ymax); exact for rectangles."""
     x, y = F.col("col"), F.col("row")
-    return pixels.join(boxes, (x <= F.col("xmax")) & (x + 1 >= F.col("xmin")) & (y <= F.col("ymax")) & (y + 1 >= F.col("ymin")), "left_semi").select(*keys)
+    exact = (x <= F.col("xmax")) & (x + 1 >= F.col("xmin")) & (y <= F.col("ymax")) & (y + 1 >= F.col("ymin"))
+    return _meet(pixels, _in_cells(boxes, 1.0), x, y, exact, "left_semi").select(*keys)
 
 
 def eroded(mask: DataFrame, *group: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.geo import in_polygon
 from ..operators import raster as r
 from ..schema import PIXEL_ACRES
 from ..sources.adapters import GRID_SQL, POLYGONS, grid, polygons
@@ -56,10 +55,9 @@ def pixel_touch_join(spark, sf_dir):
 @query(f"""with {GRID_SQL}, {_edges_sql("aoi", _AOI)}, {_edges_sql("val", _VALIDATION)}, a as ({_inside_sql("aoi", "grid")}), v as ({_inside_sql("val", "grid")})
 select "row", col, "class" from grid where ("row", col) in (select "row", col from a) and ("row", col) not in (select "row", col from v) and "class" <> 255""")
 def inside_mask_outside_anti(spark, sf_dir):
-    inside = lambda p: in_polygon(*_centre(), F.col("xs"), F.col("ys"))
     df = grid(spark, sf_dir).where("class <> 255")
-    aoi, val = polygons(spark, _AOI), polygons(spark, _VALIDATION)
-    return df.join(aoi, inside(aoi), "left_semi").join(val, inside(val), "left_anti").select("row", "col", "class")
+    aoi = r.within(df, polygons(spark, _AOI), *_centre())
+    return r.within(aoi, polygons(spark, _VALIDATION), *_centre(), outside=True).select("row", "col", "class")
 
 
 _GOLDEN = [("cotton", [(2.1, 2.1), (7.9, 2.1), (7.9, 7.9), (2.1, 7.9)]), ("rice", [(12.1, 12.1), (17.9, 12.1), (17.9, 17.9), (12.1, 17.9)]), ("sugarcane", [(15.1, 12.1), (19.9, 12.1), (19.9, 17.9), (15.1, 17.9)])]
