@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import beside, boxed, shared_dir, table, written
+from .common import beside, boxed, own_dir, table, written
 
 #: kind, version, pattern, group measured, its least length. The first three are the base rules.
 RULES = [
@@ -96,11 +97,12 @@ def scan(docs: DataFrame, ledger: str, rules=RULES) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
+    """None if there is no such folder yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # no such folder yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -111,7 +113,7 @@ def by_blob(found: DataFrame, rules=RULES) -> DataFrame:
 
 
 def new_ledger(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
 
 def _blob() -> Column:
