@@ -13,6 +13,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 LAMBDA, ORDER, BOUNDS = 0.5, 2, (-1.0, 1.0)
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once: an expression that a lambda only refers to is computed anew for every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def normalized_difference(nir: Column, red: Column) -> Column:
     """Null unless the sum is positive."""
     total = nir + red
@@ -43,8 +48,8 @@ def hat_matrix(n: int, lam: float = LAMBDA, order: int = ORDER) -> np.ndarray:
 def smooth_complete(curve: Column, n: int, lam: float = LAMBDA, order: int = ORDER) -> Column:
     """Whittaker smoothing of curves without gaps, as products with constant rows."""
     rows = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in hat_matrix(n, lam, order)))
-    dot = lambda row: F.aggregate(F.zip_with(row, curve, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.transform(rows, dot)
+    dot = lambda row, y: F.aggregate(F.zip_with(row, y, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return let(curve, lambda y: F.transform(rows, lambda row: dot(row, y)))
 
 
 def smoothed(curves: np.ndarray, lam: float = LAMBDA, order: int = ORDER, bounds: tuple[float, float] = BOUNDS) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.curve import mean_abs
+from ..functions.curve import let, mean_abs
 
 
 def long_curves(df: DataFrame, *keep: str, curve: str = "curve") -> DataFrame:
@@ -24,7 +24,12 @@ def profile_distances(curves: DataFrame, profiles: DataFrame, label: str = "labe
     """``curves`` with dists: (cls, d) for each profile, by class. There is one profile a class, so all of them travel as one row."""
     one = profiles.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("cls"), "profile"))).alias("_p"))
     met = curves.join(F.broadcast(one), F.lit(True))
-    return met.withColumn("dists", F.transform("_p", lambda p: F.struct(p["cls"].alias("cls"), mean_abs(F.col("curve"), p["profile"]).alias("d")))).drop("_p")
+    return met.withColumn("dists", _distances()).drop("_p")
+
+
+def _distances():
+    """(cls, d) of each profile in ``_p``."""
+    return let(F.col("curve"), lambda c: F.transform("_p", lambda p: F.struct(p["cls"].alias("cls"), mean_abs(c, p["profile"]).alias("d"))))
 
 
 def nearest(dists: DataFrame) -> DataFrame:
@@ -35,19 +40,27 @@ def nearest(dists: DataFrame) -> DataFrame:
 
 
 def scores(curves: DataFrame, sharpness: float, profiles: DataFrame | None = None) -> DataFrame:
-    """``curves`` with probs (cls, p), pred, conf: the softmax of -sharpness * distance."""
+    """``curves`` with dists, sharpness, best, pred and conf: the class of the softmax of -sharpness * distance, and its probability.
+
+    One pass over the distances keeps the least one, its class (the smaller one
+    of equals) and the sum of exponentials relative to it.
+    """
     df = profile_distances(curves, median_profiles(curves) if profiles is None else profiles)
-    least = F.array_min(F.transform("dists", lambda s: s["d"]))
-    df = df.withColumn("_e", F.transform("dists", lambda s: F.struct(s["cls"].alias("cls"), F.exp(-sharpness * (s["d"] - least)).alias("p"))))
-    total = F.aggregate("_e", F.lit(0.0), lambda a, s: a + s["p"])
-    df = df.withColumn("_t", total).withColumn("probs", F.transform("_e", lambda s: F.struct(s["cls"].alias("cls"), (s["p"] / F.col("_t")).alias("p"))))
-    best = F.array_min(F.transform("probs", lambda s: F.struct((-s["p"]).alias("q"), s["cls"].alias("cls"))))
-    return df.withColumn("pred", best["cls"]).withColumn("conf", -best["q"]).drop("_e", "_t", "dists")
+    start = F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast("int").alias("cls"), F.lit(0.0).alias("s"))
+
+    def step(a, x):
+        least = F.least(a["d"], x["d"])
+        grown = a["s"] * F.exp(-sharpness * (a["d"] - least)) + F.exp(-sharpness * (x["d"] - least))
+        return F.struct(least.alias("d"), F.when(x["d"] < a["d"], x["cls"]).otherwise(a["cls"]).alias("cls"), grown.alias("s"))
+
+    df = df.withColumn("best", F.aggregate("dists", start, step)).withColumn("sharpness", F.lit(sharpness))
+    return df.withColumn("pred", F.col("best.cls")).withColumn("conf", 1 / F.col("best.s"))
 
 
 def prob_of(cls: int):
-    """p of one class, from probs."""
-    return F.get(F.filter("probs", lambda s: s["cls"] == cls), F.lit(0))["p"]
+    """Probability of one class, from the columns that ``scores`` adds."""
+    d = F.get(F.filter("dists", lambda s: s["cls"] == cls), F.lit(0))["d"]
+    return F.exp(-F.col("sharpness") * (d - F.col("best.d"))) / F.col("best.s")
 
 
 def contradictions(curves: DataFrame, positive, radius: float, key: str = "vec_id", label: str = "label") -> DataFrame:
@@ -85,7 +98,7 @@ def leave_one_out(curves: DataFrame, group: str, positive: int) -> DataFrame:
     each = others.select("held", "label", F.posexplode("curve").alias("pos", "x")).groupBy("held", "label", "pos").agg(F.median("x").alias("m"))
     prof = each.groupBy("held", "label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("p")).select("held", "label", F.transform("p", lambda s: s["m"]).alias("profile"))
     per = prof.groupBy("held").agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("cls"), "profile"))).alias("_p")).where(F.size("_p") > 1)
-    met = curves.join(per, F.col(group) == F.col("held")).withColumn("dists", F.transform("_p", lambda p: F.struct(p["cls"].alias("cls"), mean_abs(F.col("curve"), p["profile"]).alias("d"))))
+    met = curves.join(per, F.col(group) == F.col("held")).withColumn("dists", _distances())
     near = nearest(met)
     return near.groupBy(group).agg(
         F.count(F.lit(1)).alias("rows"), (100 * F.avg((F.col("nearest") == F.col("label")).cast("double"))).alias("agreement_pct"),

@@ -74,7 +74,7 @@ def model_comparison_pooled(spark, sf_dir):
     """Both models' probabilities come from one pass over the distances."""
     df = vec_curves(spark, sf_dir)
     prof = p.median_profiles(df)
-    a = p.scores(df, float(V1), prof).withColumn("pa", p.prob_of(1)).drop("probs", "pred", "conf")
+    a = p.scores(df, float(V1), prof).withColumn("pa", p.prob_of(1)).drop("dists", "best", "sharpness", "pred", "conf")
     both = p.scores(a, float(V2), prof).withColumn("pb", p.prob_of(1))
     got = e.compared(both, F.col("pa") >= 0.3, F.col("pb") >= 0.3, 1)
     return got.select("aoi", "label", "pixels", "meaning", *map(_R6, ("a_pct", "b_pct", "delta")))
