@@ -251,6 +251,18 @@ def test_passages(spark):
             assert exact in " ".join(texts[r["doc_id"]].split()[r["start_word"] : r["end_word"]])
 
 
+def test_passages_around_a_frequent_line(spark):
+    """Twelve passages of 52 words, each in two texts, hold a line of 22 words that 150 other texts have as well."""
+    rng = random.Random(13)
+    line = prose(rng, 22)
+    kept = [f"{prose(rng, 15)} {line} {prose(rng, 15)}" for _ in range(12)]
+    texts = [f"{prose(rng, 40)} {line} {prose(rng, 40)}" for _ in range(150)] + [f"{prose(rng, 30)} {p} {prose(rng, 30)}" for p in kept for _ in "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 7):
+        found = passages.repeated_passages(df.repartition(parts, "doc_id")).collect()
+        assert {r["doc_id"]: r["class_id"] for r in found} == {150 + i: 150 + i // 2 * 2 for i in range(24)}
+
+
 def test_compact_windows_hold_each_span_once():
     rng = np.random.default_rng(0)
     for n, least in ((40, 7), (25, 1), (3, 5)):
