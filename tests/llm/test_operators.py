@@ -263,6 +263,30 @@ def test_passages_around_a_frequent_line(spark):
         assert {r["doc_id"]: r["class_id"] for r in found} == {150 + i: 150 + i // 2 * 2 for i in range(24)}
 
 
+def test_passages_in_groups_of_edited_copies(spark):
+    """Copies of a passage with one word changed each: less than 0.8 to most others, 0.8 or more to the base and to those changed beside."""
+    rng = random.Random(21)
+    for copies in (5, 20):
+        texts, spans = [], []
+        for _ in range(6):
+            base = prose(rng, 60).split()
+            for i in range(-1, copies):
+                w = list(base)
+                if i >= 0:
+                    w[rng.randrange(60)] = f"changed{i}"
+                texts.append(f"{prose(rng, 40)} {' '.join(w)} {prose(rng, 40)}")
+                spans.append(w)
+        # By brute force: the documents that have a partner of similarity 0.8 in their passages.
+        tokens = [np.unique(passages.tokens(" ".join(w).encode())) for w in spans]
+        want = set()
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            both = len(np.intersect1d(tokens[i], tokens[j]))
+            if both >= 0.8 * (len(tokens[i]) + len(tokens[j]) - both):
+                want |= {i, j}
+        found = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert len(want - found) <= 0.05 * len(want), (copies, len(want), len(want - found))
+
+
 def test_compact_windows_hold_each_span_once():
     rng = np.random.default_rng(0)
     for n, least in ((40, 7), (25, 1), (3, 5)):
