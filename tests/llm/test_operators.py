@@ -287,6 +287,18 @@ def test_passages_in_groups_of_edited_copies(spark):
         assert len(want - found) <= 0.05 * len(want), (copies, len(want), len(want - found))
 
 
+def test_passages_beside_a_line_repeated_in_the_text(spark):
+    """The line stands alone first, and again within a passage that another text has."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(30):
+        line, left, right = prose(rng, 44), prose(rng, 4), prose(rng, 4)
+        rows.append((2 * i, f"{line} {prose(rng, 400)} {left} {line} {right} {prose(rng, 40)}"))
+        rows.append((2 * i + 1, f"{line} {prose(rng, 380)} {left} {line} {right} {prose(rng, 30)}"))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == set(range(60))
+
+
 def test_compact_windows_hold_each_span_once():
     rng = np.random.default_rng(0)
     for n, least in ((40, 7), (25, 1), (3, 5)):
