@@ -38,6 +38,13 @@ RULES = [
     ("stripe", 1, r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 1),
 ]
 BASE = 3
+_GAP = r"(?:\s|\\[nr]){0,8}"
+#: The rules of redaction: a private key goes from its BEGIN line, over headers and the base64 body, to the END line or else to
+#: the body's end. The query keeps the rules of its SQL, where the key's span is its BEGIN line.
+WHOLE = [
+    r if r[0] != "pem" else ("pem", 2, rf"{r[2]}(?:{_GAP}[A-Z][A-Za-z-]{{2,20}}:[^\r\n\\]*){{0,4}}(?:[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----|(?:{_GAP}[A-Za-z0-9+/=]{{16,}}){{0,1000}}(?:{_GAP}[A-Za-z0-9+/]{{1,15}}={{1,2}})?)", 0, 1)
+    for r in RULES
+]
 
 
 def _pair(rule) -> str:
@@ -137,7 +144,7 @@ def secrets(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFram
     return df.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), text(found).alias("spans"))
 
 
-def redacted(docs: DataFrame, ledger: str | None = None, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, ledger: str | None = None, rules=WHOLE, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span, overlapping ones joined, replaced by ``mark``, and n_chars set to the new length."""
     df = beside(boxed(docs, "text", _blob().alias("_b")), _findings(docs, ledger, rules), F.col("_b") == F.col("_blob"))
     piece = lambda a, b: F.substr(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
