@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracurve.llm import mixing, packing, quality, secret_scan, simhash
+from terracurve.llm import copies, mixing, packing, quality, secret_scan, simhash
 from terracurve.llm.common import table, written
 
 
@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.first_of_each(docs)
+    """One document of each group of texts that share 0.8 or more of their five-word shingles."""
+    return simhash.first_of_each(docs, copies.near_copies(docs))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,12 +149,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(of, rows["fp"] == of["_fp"]).select("doc_id", "text_hash", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The documents with one of each component left: the smallest doc_id, else the smallest text hash.
 
+    ``found``: the components, if they aren't those of ``near_duplicates``.
+
     Kept keys meet the texts in one shuffle by doc_id, which no key makes uneven.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs) if found is None else found
     lone = F.col("component_id").isNull()  # only rows without doc_id: told apart by fingerprint
     best = found.groupBy("component_id", F.when(lone, F.col("fp")).alias("_f")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
     best = best.select(F.coalesce("k.doc_id", F.lit(-1)).alias("_d"), F.col("k.n").alias("_n"), F.col("k.text_hash").alias("_t"))

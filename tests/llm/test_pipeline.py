@@ -34,3 +34,27 @@ def test_stages(spark, tmp_path):
     five = corpus_pipeline.packing_stage(spark, four, str(tmp_path))
     assert Counter(r["doc_id"] for r in five.collect()) == got
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(tuple(r) for r in packing.packed(four).collect())
+
+
+def test_near_copies_go(spark):
+    """Texts with one to six words changed, against brute force; most pairs of 0.8 or more lie beyond three bits."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(800)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randrange(80, 160))]
+        for n in (0, 1, 2, 3, 6):
+            for at in rng.sample(range(len(base)), n):
+                base = [*base[:at], f"new{n}", *base[at + 1 :]]
+            texts.append(" ".join(base))
+    texts += ["one two", "one  two", "one three", "", None]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in ((t or "").split() for t in texts)]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)] + [(None, texts[0], "en", "a", 0), (None, "only here", "en", "a", 0)], DOCS)
+    got = Counter(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, df, "").collect())
+    assert got == Counter({*root, None})
