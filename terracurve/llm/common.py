@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Rows up to which a side that was counted may be broadcast.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes (of the rows as text) up to which a side that was counted may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
 #: Number of slices that a group's rows are dealt into for a running total.
 SLICES = 1024
 
@@ -60,8 +60,9 @@ def boxed(docs: DataFrame, *cols) -> DataFrame:
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``limit`` rows; reads at most one row more."""
-    return df.limit(limit + 1).count() <= limit
+    """True if ``df`` has at most ``limit`` rows of ``BROADCAST_BYTES`` in all; reads at most one row more."""
+    seen = df.limit(limit + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return seen[0] <= limit and (seen[1] or 0) <= BROADCAST_BYTES
 
 
 def beside(df: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:

@@ -2,16 +2,27 @@
 
 Each text gives a few counts. Their ratios go into histograms of bounded
 relative error (64 bins for each power of two), one for each language, source
-and ratio. Such histograms merge by adding counts, in any order and with the
-same result, so a group too small for its own thresholds takes those of its
-language, and then those of all texts, from the same table. A ratio fails
-beyond the fence ``q75 + reach * (q75 - q50)``, which never lies under a floor
-that keeps ordinary texts in sources where a ratio is mostly zero. The fences
-are joined back and the rows filtered.
+and ratio, over the texts that pass the base rules. Such histograms merge by
+adding counts, in any order and with the same result, so those of a language
+and of all texts come from the same table.
+
+A ratio's fences are its quartiles widened by the distances between them:
+``q75 + REACH * (q75 - q50)`` above and ``q25 - REACH * (q50 - q25)`` below. No
+value is fixed. Where the quartiles coincide (most texts have no symbol at all)
+the fence is the quartile itself. A group's fence is shrunk to its language's, and
+that to the one of all texts, with the weight of ``SHRINK`` texts. A group whose
+median lies within its parent's fence and whose upper quartile lies beyond it is
+a mixture with bad texts, and takes its parent's upper fence.
+
+A text fails if its count is beyond the fence by more than ``SIGMAS`` standard
+deviations of a count of its size (the variance of a Poisson count, times the
+number of units that one event adds), so short texts and lone events don't fail.
 
 Null or empty texts have no words, so they fail the base rules. Null languages
 and sources form groups of their own. Repeated rows count as often as they
-occur. An empty table gives an empty result.
+occur, and equal texts of a group get one verdict. Very long texts are measured
+whole, in one row of memory. Columns of the documents may have any names: they
+travel in a struct. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +34,14 @@ from .common import beside, boxed, table, words, written
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: name, numerator and denominator as SQL, least fence. Ratios are in thousandths.
+#: name, numerator and denominator as SQL, units that one event adds. Ratios are in thousandths. A repeated window adds two windows of words.
 RATIOS = [
-    ("symbols", "n_symbols", "n_words", 250),
-    ("dup_lines", "n_dup_lines", "n_lines", 500),
-    ("repeats", "n_repeat_words", "n_words", 300),
-    ("word_len", "word_chars", "n_words", 12000),
+    ("symbols", "n_symbols", "n_words", 1),
+    ("dup_lines", "n_dup_lines", "n_lines", 1),
+    ("repeats", "n_repeat_words", "n_words", 2 * WINDOW),
+    ("word_len", "word_chars", "n_words", 1),
 ]
+REACH, SHRINK, SIGMAS = 6, 50, 3
 
 
 def _shifted(h: str, by: int) -> Column:
@@ -82,9 +94,9 @@ def _bin(v: Column) -> Column:
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """The mergeable histograms: lang, source, ratio, bin, n."""
+    """The mergeable histograms: lang, source, ratio, bin, n, over the texts that pass the base rules."""
     each = F.array(*(F.struct(F.lit(name).alias("ratio"), _bin(_ratio(a, b)).alias("bin")) for name, a, b, _ in RATIOS))
-    return counts.select("lang", "source", F.explode(each).alias("_e")).groupBy("lang", "source", F.col("_e.ratio").alias("ratio"), F.col("_e.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(~base_failed()).select("lang", "source", F.explode(each).alias("_e")).groupBy("lang", "source", F.col("_e.ratio").alias("ratio"), F.col("_e.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _quantile(q: int) -> Column:
@@ -93,51 +105,55 @@ def _quantile(q: int) -> Column:
     return F.aggregate("_b", start, lambda a, e: F.struct((a["n"] + e["n"]).alias("n"), F.coalesce(a["v"], F.when(100 * (a["n"] + e["n"]) >= q * F.col("_n"), e["bin"])).alias("v")), lambda a: a["v"])
 
 
-def fences(sketch: DataFrame, reach: int = 8, least_docs: int = 50) -> DataFrame:
-    """One row for each (lang, source), with a fence for each ratio: the group's own, its language's, or that of all texts."""
-    floors = F.create_map(*(x for name, _, _, floor in RATIOS for x in (F.lit(name), F.lit(floor))))
+def fences(sketch: DataFrame, reach: int = REACH, shrink: int = SHRINK) -> DataFrame:
+    """_fl, _fs (language, source), and ``_fences``: for each ratio the upper and the lower fence."""
 
-    def of(keys: list[str], out: str) -> DataFrame:
+    def of(*keys: str) -> DataFrame:
         merged = sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
         got = merged.groupBy(*keys, "ratio").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("_b"), F.sum("n").alias("_n"))
-        fence = F.greatest(_quantile(75) + reach * (_quantile(75) - _quantile(50)), floors[F.col("ratio")])
-        rows = got.select(*keys, "ratio", F.struct(F.col("_n").alias("n"), fence.cast("long").alias("f")).alias("_f"))
-        return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ratio", "_f"))).alias(out))
+        got = got.select(*keys, "ratio", F.col("_n").alias("n"), *(_quantile(q).alias(f"q{q}") for q in (25, 50, 75)))
+        return got.withColumn("up", F.expr(f"q75 + {reach} * (q75 - q50)")).withColumn("low", F.expr(f"greatest(q25 - {reach} * (q50 - q25), 0L)"))
 
-    own, by_lang, overall = of(["lang", "source"], "_own"), of(["lang"], "_lang"), of([], "_all")
-    own = own.withColumnsRenamed({"lang": "_fl", "source": "_fs"})
-    by_lang = by_lang.withColumnRenamed("lang", "_ll")
-    all_ = own.join(by_lang, F.col("_fl").eqNullSafe(F.col("_ll")), "left").join(F.broadcast(overall), F.lit(True), "left")
-    pick = lambda name: F.coalesce(*(F.when(F.col(c)[name]["n"] >= least_docs, F.col(c)[name]["f"]) for c in ("_own", "_lang")), F.col("_all")[name]["f"])
-    return all_.select("_fl", "_fs", *(pick(name).alias(f"_fence_{name}") for name, *_ in RATIOS))
+    def shrunk(units: DataFrame, above: DataFrame, on) -> DataFrame:
+        """``units`` joined to the fences ``a_up`` and ``a_low`` of the level above."""
+        mixed = F.expr("case when q50 <= a_up and q75 > a_up then a_up else up end")
+        df = units.join(above, on).withColumn("up", mixed)
+        return df.withColumns({c: F.expr(f"(n * {c} + {shrink} * a_{c}) div (n + {shrink})") for c in ("up", "low")})
+
+    named = lambda df, ratio, *more: df.select(*more, F.col("ratio").alias(ratio), F.col("up").alias("a_up"), F.col("low").alias("a_low"))
+    langs = shrunk(of("lang"), named(of(), "_ar"), F.col("ratio") == F.col("_ar"))
+    langs = named(langs, "_lr", F.col("lang").alias("_ll"))
+    own = shrunk(of("lang", "source"), langs, (F.col("ratio") == F.col("_lr")) & F.col("lang").eqNullSafe(F.col("_ll")))
+    each = F.collect_list(F.struct("ratio", F.struct("up", "low")))
+    return own.groupBy(F.col("lang").alias("_fl"), F.col("source").alias("_fs")).agg(F.map_from_entries(each).alias("_fences"))
 
 
 def judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
-    """``counts`` with base_failed and kept."""
-    on = F.col("lang").eqNullSafe(F.col("_fl")) & F.col("source").eqNullSafe(F.col("_fs"))
-    df = beside(counts, limits, on)
-    over = None
-    for name, a, b, _ in RATIOS:
-        x = _ratio(a, b) > F.coalesce(F.col(f"_fence_{name}"), F.lit(2**62))
-        over = x if over is None else over | x
-    return df.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over).drop("_fl", "_fs", *(f"_fence_{name}" for name, *_ in RATIOS))
+    """``counts`` with base_failed, kept and beyond (the ratios beyond a fence, of texts that pass the base rules)."""
+    df = beside(counts, limits, F.col("lang").eqNullSafe(F.col("_fl")) & F.col("source").eqNullSafe(F.col("_fs")))
+    df = df.withColumn("base_failed", base_failed())
+    names = []
+    for name, top, bottom, units in RATIOS:
+        up, low = (F.col("_fences")[name][c] * F.col(bottom) for c in ("up", "low"))
+        gap = F.greatest(1000 * F.col(top) - up, low - 1000 * F.col(top)).cast("double")
+        names.append(F.when((gap > 0) & (gap * gap > 1e6 * SIGMAS**2 * units * F.col(top)), name))
+    beyond = F.when(F.col("base_failed"), "").otherwise(F.concat_ws(",", *names))
+    return df.withColumn("beyond", beyond).withColumn("kept", ~F.col("base_failed") & (F.col("beyond") == "")).drop("_fl", "_fs", "_fences")
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed and kept of every document; the text is read once."""
+    """doc_id, the counts, base_failed, kept and beyond of every document; the text is read once."""
     counts = written(measured(docs).select("doc_id", "lang", "source", "n_lines", *COUNTS), "quality-counts")
-    return judged(counts, written(fences(sketches(counts)), "quality-fences")).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judged(counts, written(fences(sketches(counts)), "quality-fences")).select("doc_id", *COUNTS, "base_failed", "kept", "beyond")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents that pass. Texts are measured twice, once for the fences and once to filter, rather than written in between."""
-    limits = written(fences(sketches(measured(docs).select("lang", "source", "n_lines", *COUNTS))), "quality-fences")
-    # The id keeps the optimizer from computing the counts anew, nested in each other, in a filter below.
-    counts = measured(boxed(docs, "text", "lang", "source")).withColumn("_id", F.monotonically_increasing_id())
-    return judged(counts, limits).where("kept and _id >= 0").select("_row.*")
+    """The documents that pass. Each text is measured once: the rows are written with their counts, and the verdict is joined to them."""
+    rows = written(measured(boxed(docs, "text", "lang", "source")).drop("text"), "quality-rows")
+    return judged(rows, written(fences(sketches(rows)), "quality-fences")).where("kept").select("_row.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,18 +171,18 @@ win as (select doc_id, i, array_to_string(ws[i:i+7], ' ') g from (select doc_id,
 rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) k from win) where k > 1),
 cov as (select doc_id, count(distinct j)::bigint n from (select doc_id, unnest(range(i, i + 8)) j from rep) group by 1),
 m as (select c.* exclude (ws), coalesce(cov.n, 0)::bigint n_repeat_words from c left join cov using (doc_id)),
-r as (select doc_id, lang, source, unnest([{ratios}]) e from m),
-v as (select doc_id, lang, source, e.ratio ratio, e.v v, greatest(length(bin(e.v)) - 7, 0)::int s from r),
-b as (select doc_id, lang, source, ratio, v, ((v >> s) << s)::bigint b from v),
-q as (select lang, source, ratio, quantile_disc(b, 0.5) q50, quantile_disc(b, 0.75) q75, count(*) n from b group by all),
-ql as (select lang, ratio, quantile_disc(b, 0.5) q50, quantile_disc(b, 0.75) q75, count(*) n from b group by all),
-qa as (select ratio, quantile_disc(b, 0.5) q50, quantile_disc(b, 0.75) q75 from b group by all),
-f as (select q.lang, q.source, q.ratio, greatest(case when q.n >= 50 then q.q75 + 8 * (q.q75 - q.q50) when ql.n >= 50 then ql.q75 + 8 * (ql.q75 - ql.q50) else qa.q75 + 8 * (qa.q75 - qa.q50) end,
- case q.ratio {floors} end) f
- from q join ql on q.ratio = ql.ratio and q.lang is not distinct from ql.lang join qa on q.ratio = qa.ratio),
-bad as (select distinct b.doc_id from b join f on b.ratio = f.ratio and b.lang is not distinct from f.lang and b.source is not distinct from f.source where b.v > f.f),
-j as (select m.*, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) base_failed from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- not base_failed and doc_id not in (select doc_id from bad) kept from j
-""".replace("with recursive", "with").replace("{floors}", " ".join(f"when '{n}' then {f}" for n, _, _, f in RATIOS)).replace(
-    "{ratios}", ", ".join(f"{{'ratio': '{n}', 'v': ((1000 * {a}) // greatest({b}, 1))::bigint}}" for n, a, b, _ in RATIOS))
+j as (select m.*, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) base_failed from m),
+r as (select doc_id, lang, source, unnest([{ratios}]) e from j where not base_failed),
+v as (select doc_id, lang, source, e.ratio ratio, e.top top, e.bottom bottom, e.units units, (1000 * e.top) // greatest(e.bottom, 1) v, greatest(length(bin((1000 * e.top) // greatest(e.bottom, 1))) - 7, 0)::int s from r),
+b as (select *, ((v >> s) << s)::bigint b from v),
+qs as (select lang, source, ratio, grouping(lang) gl, grouping(source) gs, quantile_disc(b, 0.25) q25, quantile_disc(b, 0.5) q50, quantile_disc(b, 0.75) q75, count(*) n from b group by grouping sets ((lang, source, ratio), (lang, ratio), (ratio))),
+f as (select *, q75 + {reach} * (q75 - q50) up, greatest(q25 - {reach} * (q50 - q25), 0) low from qs),
+fa as (select ratio, up, low from f where gl = 1),
+fl as (select f.lang, f.ratio, (n * (case when q50 <= fa.up and q75 > fa.up then fa.up else f.up end) + {shrink} * fa.up) // (n + {shrink}) up, (n * f.low + {shrink} * fa.low) // (n + {shrink}) low from f join fa using (ratio) where gl = 0 and gs = 1),
+fs as (select f.lang, f.source, f.ratio, (n * (case when q50 <= fl.up and q75 > fl.up then fl.up else f.up end) + {shrink} * fl.up) // (n + {shrink}) up, (n * f.low + {shrink} * fl.low) // (n + {shrink}) low
+ from f join fl on f.ratio = fl.ratio and f.lang is not distinct from fl.lang where gl = 0 and gs = 0),
+t as (select b.doc_id, b.ratio, b.top, b.units, greatest(1000 * b.top - fs.up * b.bottom, fs.low * b.bottom - 1000 * b.top)::double gap from b join fs on b.ratio = fs.ratio and b.lang is not distinct from fs.lang and b.source is not distinct from fs.source),
+bad as (select doc_id, string_agg(distinct ratio, ',' order by list_position([{names}], ratio)) beyond from t where gap > 0 and gap * gap > 1e6::double * {sigmas} * units * top::double group by doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and beyond is null kept, coalesce(beyond, '') beyond from j left join bad using (doc_id)
+""".replace("with recursive", "with").replace("{reach}", str(REACH)).replace("{shrink}", str(SHRINK)).replace("{sigmas}", str(SIGMAS**2)).replace("{names}", ", ".join(f"'{n}'" for n, *_ in RATIOS)).replace(
+    "{ratios}", ", ".join(f"{{'ratio': '{n}', 'top': {a}, 'bottom': {b}, 'units': {u}}}" for n, a, b, u in RATIOS))
