@@ -101,6 +101,7 @@ def running_total(df: DataFrame, group: list[str], slice_by: str, order: list[st
     return joined.drop("_w", "_b", *(f"_k{i}" for i in range(len(group) + 1)))
 
 
-def shuffle_key(seed: int, *cols: str) -> Column:
-    """32 hex digits that order rows at random, the same on every run and engine."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)))
+def shuffle_key(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """32 hex digits that order rows at random, the same on every run and engine. Rows without id are told apart by their text."""
+    own = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), own))
