@@ -1,17 +1,23 @@
 """License scan with a positional index of rare words.
 
-The index maps each word of the licence templates to its places (template,
-position). A document's licence words are ranked by their document frequency in
-the corpus; the rarest few are looked up, and each of their places in the text
-votes for (template, place of the template's first word). Where at least two
-rare words agree, the template is laid over the text there: its mandatory words
-must all match, and the share of all its words that match is the score.
+Each template has a mandatory key phrase. The index maps the rarest words of each
+phrase (by document frequency in the corpus) to their places (template,
+position); as a match must hold the whole phrase, these are the highest-IDF words
+of a file that can tell where a template lies, and no other word could add a
+match. Each of their places in a text votes for (template, place of the
+template's first word). Where at least two words agree on the relative position,
+the template is laid over the text: its mandatory words must all match, and the
+share of all its words that match is the score. Every template is looked up by
+its own words, so licences that share a text don't displace each other, and every
+place where a phrase stands is found.
 
 Everything after the corpus count happens within a row, so no text is shuffled.
 The count has one row for each word of the templates, so it goes to the driver.
 
 Null texts count as empty: no words, no labels, score 0. Repeated rows come
-back as often as they occur.
+back as often as they occur. Words of equal frequency rank by code point. Very long
+texts are scanned whole, in one row of memory. Only doc_id and text are read, so
+other columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +44,8 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
-RARE, AGREE, LEAST = 6, 2, 0.6
+#: Rare words of a phrase that are looked up, and how many of them must agree; the share of a template's words that must match.
+RARE, AGREE, LEAST = 2, 2, 0.6
 #: Places of the text's words are shifted by this in packed longs, so that a template may begin before the text.
 SHIFT = 1 << 32
 
@@ -87,14 +94,23 @@ def _places(ws: list[str]) -> Column:
     return F.when(_all_in(ws, "_has"), found).otherwise(F.array().cast("array<int>"))
 
 
+def rarest(words_of: list[str], df_of: dict[str, int], n: int = RARE) -> list[str]:
+    """The distinct words of highest IDF, ties by code point."""
+    return sorted(set(words_of), key=lambda w: (df_of.get(w, 0), w))[:n]
+
+
 def licensed(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
     built = _templates(templates)
     base = [(p.split(), label) for p, label in BASE]
-    vocabulary = sorted({w for _, ws, _ in built for w in ws} | {w for ws, _ in base for w in ws})
+    vocabulary = sorted({ws[i] for _, ws, must in built for i in must} | {w for ws, _ in base for w in ws})
     df_of = document_frequencies(docs, vocabulary)
-    rank = F.create_map(*(x for i, w in enumerate(sorted(vocabulary, key=lambda w: (df_of.get(w, 0), w))) for x in (F.lit(w), F.lit(i))))
-    by_rank = _strings(sorted(vocabulary, key=lambda w: (df_of.get(w, 0), w)))
+    postings: dict[str, list[int]] = {}
+    for t, (_, ws, must) in enumerate(built):
+        for w in rarest([ws[i] for i in must], df_of):
+            for j in must:
+                if ws[j] == w:  # plus a place in the text gives template and first word
+                    postings.setdefault(w, []).append(t * 2 * SHIFT + SHIFT - j)
 
     df = docs.select("doc_id", words(F.col("text")).alias("_w"))
     df = df.select("doc_id", "_w", F.array_intersect("_w", _strings(vocabulary)).alias("_has"))
@@ -104,15 +120,11 @@ def licensed(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     gate = F.lit(False)
     for _, ws, must in built:
         gate = gate | _all_in([ws[i] for i in must], "_has")
-    rare = F.slice(F.sort_array(F.transform("_has", lambda w: rank[w])), 1, RARE)
-    df = df.select("doc_id", "_w", *(p.alias(f"_p{i}") for i, p in enumerate(places)), F.when(gate, F.transform(rare, lambda i: F.get(by_rank, i))).alias("_rare"))
-    postings: dict[str, list[int]] = {w: [] for w in vocabulary}
-    for t, (_, ws, _) in enumerate(built):
-        for j, w in enumerate(ws):
-            postings[w].append(t * 2 * SHIFT + SHIFT - j)  # plus a place gives template and first word
+    df = df.select("doc_id", "_w", *(p.alias(f"_p{i}") for i, p in enumerate(places)), gate.alias("_gate"))
     index = F.create_map(*(x for w, ps in postings.items() for x in (F.lit(w), F.array(*(F.lit(p) for p in ps)).cast("array<bigint>"))))
-    votes = F.flatten(F.transform(F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda a: F.array_contains("_rare", a["w"])), lambda a: F.transform(index[a["w"]], lambda p: p + a["i"])))
-    df = df.withColumn("_v", F.when(F.col("_rare").isNotNull(), F.sort_array(votes))).drop("_rare")
+    rare = F.array_compact(F.transform("_w", lambda w, i: F.when(w.isin(list(postings)), F.struct(w.alias("w"), i.alias("i")))))
+    votes = F.flatten(F.transform(rare, lambda a: F.transform(index[a["w"]], lambda p: p + a["i"])))
+    df = df.withColumn("_v", F.when(F.col("_gate"), F.sort_array(votes))).drop("_gate")
     agreed = F.array_distinct(F.filter("_v", lambda x, i: F.get(F.col("_v"), i + AGREE - 1) == x))
     texts = F.array(*(_strings(ws) for _, ws, _ in built))
     musts = F.array(*(F.array(*(F.lit(i) for i in must)) for _, _, must in built))
@@ -157,13 +169,14 @@ def _sql() -> str:
 with t(t, label, j, word, must, n) as (values {", ".join(rows)}),
 d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws from documents),
 w as (select doc_id, unnest(range(len(ws))) i, unnest(ws) w from d),
-voc as (select word from t union select * from (values {more})),
+voc as (select word from t where must union select * from (values {more})),
 df as (select w, count(distinct doc_id) df from w where w in (select word from voc) group by w),
-rare as (select doc_id, w from (select doc_id, w, row_number() over (partition by doc_id order by df, w) k from (select distinct doc_id, w from w) join df using (w)) where k <= 6),
-votes as (select w.doc_id, t.t, w.i - t.j first from w join rare using (doc_id, w) join t on t.word = w.w group by all having count(*) >= 2),
+rare as (select t, word from (select t, word, row_number() over (partition by t order by coalesce(df, 0), word) k from (select distinct t, word from t where must) left join df on w = word) where k <= {RARE}),
+look as (select t.t, t.j, t.word from t join rare using (t, word) where must),
+votes as (select w.doc_id, l.t, w.i - l.j first from w join look l on l.word = w.w group by all having count(*) >= {AGREE}),
 laid as (select v.doc_id, v.first, t.t, t.label, count(*) filter (w.w = t.word) / max(t.n)::double score, bool_and(not t.must or coalesce(w.w = t.word, false)) sure
  from votes v join t using (t) left join w on w.doc_id = v.doc_id and w.i = v.first + t.j group by all),
-s as (select doc_id, label, score from laid where sure and score >= 0.6),
+s as (select doc_id, label, score from laid where sure and score >= {LEAST}),
 b as ({base}),
 ba as (select doc_id, count(*) n_base, min(i) first_word, max(i) last_word, string_agg(distinct label, ',' order by label) base_labels from b group by doc_id),
 la as (select doc_id, string_agg(distinct label, ',' order by label) labels from (select doc_id, label from b union all select doc_id, label from s) group by doc_id),
