@@ -70,6 +70,28 @@ def beside(df: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     return df.join(F.broadcast(small) if small_enough(small) else small, on, how)
 
 
+#: Bits of a sieve of keys; its size doesn't depend on the input. Where more keys fill it up, it lets more rows pass.
+SIEVE_BITS = 24
+
+
+def _sieve_place(key: Column) -> tuple[Column, Column]:
+    h = F.pmod(F.xxhash64(key), F.lit(2**SIEVE_BITS))
+    return F.shiftright(h, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+
+def sieve(rows: DataFrame, key: Column, **marks: Column) -> DataFrame:
+    """Bitmaps of the hashes of ``key``, one for each of ``marks`` over the rows where it is true: 2**18 rows at most."""
+    word, bit = _sieve_place(key)
+    return rows.groupBy(word.alias("_word")).agg(*(F.bit_or(F.when(m, bit).otherwise(0)).alias(f"_bits_{name}") for name, m in marks.items()))
+
+
+def sieved(df: DataFrame, bits: DataFrame, key: Column, *names: str) -> DataFrame:
+    """``df`` with a boolean for each name: false if ``key`` certainly isn't among the keys so marked. ``bits`` comes from ``sieve`` and is broadcast."""
+    word, bit = _sieve_place(key)
+    met = df.join(F.broadcast(bits), word == F.col("_word"), "left")
+    return met.select(*df.columns, *((F.coalesce(F.col(f"_bits_{n}"), F.lit(0)).bitwiseAND(bit) != 0).alias(n) for n in names))
+
+
 def words(text: Column) -> Column:
     """The words of a text; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sieve, sieved, written
 from .components import components
-from .passages import _mixed, sieved, tokens
+from .passages import _mixed, tokens
 
 BANDS, HASHES, CHUNK = 16, 4, 4096
 _SALTS = _mixed(np.arange(1, 2 * BANDS * HASHES + 1, dtype=np.uint64)).reshape(2, -1, 1)
@@ -110,7 +110,8 @@ def links(docs: DataFrame, ids: DataFrame, chunk: int = CHUNK) -> DataFrame:
     many = many.groupBy("n", "x", "s").agg(F.min("key").alias("_k")).select("_k", F.expr(f"(n + {chunk - 1}) div {chunk}").cast("int").alias("chunks"))
     met = written(dealt.join(many, F.col("key") == F.col("_k")).select("key", "t", "chunks"), "buckets")
     wanted = written(met.select("t").distinct().join(ids, "t").select(F.col("t").alias("_t"), "least"), "wanted")
-    sets = sieved(docs, wanted).join(wanted, (F.col("doc_id") == F.col("least")) & (F.col("t") == F.col("_t"))).select("t", "text")
+    docs = sieved(docs, sieve(wanted, F.col("least"), wanted=F.lit(True)), F.col("doc_id"), "wanted").where("wanted")
+    sets = docs.join(wanted, (F.col("doc_id") == F.col("least")) & (F.col("t") == F.col("_t"))).select("t", "text")
     sets = written(sets.dropDuplicates(["t"]).mapInArrow(_sets, "t long, own array<int>"), "sets")
     own = F.pmod(F.xxhash64("t"), F.col("chunks")).cast("int")
     met = met.withColumn("one", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -12,7 +12,10 @@ leftmost and without overlap within a rule; matches whose measured group is too
 short are dropped after the search.
 
 Null texts count as empty and hold no span; their hash is that of no spans.
-Repeated rows come back as often as they occur.
+Repeated rows come back as often as they occur. Spans that start at one place are
+ordered by kind. Very long texts are scanned whole, in one row of memory. Columns
+of the documents may have any names: they travel in a struct. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import beside, boxed, own_dir, table, written
+from .common import beside, boxed, own_dir, sieve, sieved, table, written
 
 #: kind, version, pattern, group measured, its least length. The first three are the base rules.
 RULES = [
@@ -38,6 +41,8 @@ RULES = [
     ("stripe", 1, r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 1),
 ]
 BASE = 3
+#: Session setting: a folder that keeps the ledger from run to run, for the query and the pipeline's stage alike.
+LEDGER = "spark.terracurve.secrets.ledger"
 _GAP = r"(?:\s|\\[nr]){0,8}"
 #: The rules of redaction: a private key goes from its BEGIN line, over headers and the base64 body, to the END line or else to
 #: the body's end. The query keeps the rules of its SQL, where the key's span is its BEGIN line.
@@ -51,12 +56,6 @@ def _pair(rule) -> str:
     return f"{rule[0]}@{rule[1]}"
 
 
-def blobs(docs: DataFrame) -> DataFrame:
-    """blob, text: every distinct text once. Copies within a task merge before the shuffle."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(_blob().alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-
-
 def _rows(i: int, rule):
     """For each match of rule i: its place, the characters between it and the match before, its length, whether it is kept."""
     _, _, pattern, group, least = rule
@@ -81,26 +80,44 @@ def found_in(texts: DataFrame, rules=RULES) -> DataFrame:
     return rows.select("blob", "kind", F.get(pairs, "kind").alias("pair"), (F.col("end") - F.col("len")).alias("start"), "end")
 
 
+def _todo(blobs: DataFrame, seen: DataFrame | None, rules) -> DataFrame:
+    """blob, todo (the pairs that the ledger lacks), lone (no copy at hand, and all pairs lacking) of the blobs that lack any. ``blobs``: blob."""
+    pairs = F.array(*(F.lit(_pair(r)) for r in rules))
+    own = blobs.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
+    if seen is None:
+        return own.select("blob", pairs.alias("todo"), (F.col("n") == 1).alias("lone"))
+    known = seen.groupBy(F.col("blob").alias("_known")).agg(F.flatten(F.collect_set("pairs")).alias("pairs"))
+    met = own.join(known, F.col("blob") == F.col("_known"), "left")
+    met = met.withColumn("todo", F.array_except(pairs, F.coalesce("pairs", F.array().cast("array<string>"))))
+    return met.where(F.size("todo") > 0).select("blob", "todo", ((F.col("n") == 1) & (F.size("todo") == len(rules))).alias("lone"))
+
+
+def _unseen(docs: DataFrame, todo: DataFrame, rules) -> DataFrame:
+    """blob, text, todo: the texts to scan.
+
+    Bitmaps of blobs, of a fixed size, tell in place which rows certainly lack nothing, and which ones certainly are
+    lone; these are scanned where they lie. Only the rest is shuffled, so that each blob that has copies is scanned once.
+    """
+    bits = sieve(todo, F.col("blob"), wanted=F.lit(True), shared=~F.col("lone"))
+    rows = docs.select(_blob().alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = sieved(rows, bits, F.col("blob"), "wanted", "shared").where("wanted")
+    lone = rows.where("not shared").select("blob", "text", F.array(*(F.lit(_pair(r)) for r in rules)).alias("todo"))
+    shared = rows.where("shared").groupBy("blob").agg(F.first("text").alias("text"))
+    return lone.unionByName(shared.join(todo, "blob").select("blob", "text", "todo"))
+
+
 def scan(docs: DataFrame, ledger: str, rules=RULES) -> DataFrame:
-    """Scans what the ledger (a folder) lacks, adds it, and returns all findings for the current rules: blob, kind, start, end."""
+    """Scans what the ledger (a folder) lacks, adds it, and returns the findings in ``docs`` for the current rules: blob, kind, start, end."""
     spark = docs.sparkSession
-    pairs = F.array(*(F.lit(_pair(r)) for r in rules))
-    texts = blobs(docs)
-    seen = _read(spark, f"{ledger}/seen", "blob binary, pairs array<string>")
-    if seen is not None:
-        known = seen.groupBy("blob").agg(F.flatten(F.collect_set("pairs")).alias("pairs"))
-        texts = texts.join(known, "blob", "left").withColumn("todo", F.array_except(pairs, F.coalesce("pairs", F.array().cast("array<string>")))).where(F.size("todo") > 0).select("blob", "text", "todo")
-    else:
-        texts = texts.withColumn("todo", pairs)
-    # The pairs are written from the same scan's keys; findings come first.
-    found_in(texts, rules).write.mode("append").parquet(f"{ledger}/findings")
-    own = docs.select(_blob().alias("blob")).distinct()
-    if seen is not None:
-        own = own.join(seen.groupBy("blob").agg(F.flatten(F.collect_set("pairs")).alias("pairs")), "blob", "left").where(F.size(F.array_except(pairs, F.coalesce("pairs", F.array().cast("array<string>")))) > 0).select("blob")
-    own.withColumn("pairs", pairs).write.mode("append").parquet(f"{ledger}/seen")
+    blobs = written(docs.select(_blob().alias("blob")), "blobs")
+    todo = written(_todo(blobs, _read(spark, f"{ledger}/seen", "blob binary, pairs array<string>"), rules), "todo")
+    # Findings come before the pairs, so that a scan that breaks off is repeated.
+    found_in(_unseen(docs, todo, rules), rules).write.mode("append").parquet(f"{ledger}/findings")
+    todo.select("blob", F.col("todo").alias("pairs")).write.mode("append").parquet(f"{ledger}/seen")
     found = _read(spark, f"{ledger}/findings", "blob binary, kind int, pair string, start bigint, end bigint")
     kinds = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(_pair(r)), F.lit(i))))
-    return found.withColumn("kind", kinds[F.col("pair")]).where(F.col("kind").isNotNull()).select("blob", "kind", "start", "end").distinct()
+    found = found.withColumn("kind", kinds[F.col("pair")]).where(F.col("kind").isNotNull()).select("blob", "kind", "start", "end").distinct()
+    return found.join(blobs, "blob", "left_semi")
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -119,8 +136,9 @@ def by_blob(found: DataFrame, rules=RULES) -> DataFrame:
     return found.groupBy("blob").agg(F.sort_array(F.collect_list(one)).alias("found"), *(F.count_if(F.col("kind") == i).alias(f"n_{rules[i][0]}") for i in range(BASE)))
 
 
-def new_ledger(spark: SparkSession) -> str:
-    return f"{own_dir(spark)}/ledger-{uuid.uuid4().hex}"
+def ledger_of(spark: SparkSession) -> str:
+    """The folder that the session names in ``LEDGER``, which later runs go on with; else a new one of this application."""
+    return spark.conf.get(LEDGER, None) or f"{own_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
 
 def _blob() -> Column:
@@ -129,7 +147,7 @@ def _blob() -> Column:
 
 def _findings(docs: DataFrame, ledger: str | None, rules) -> DataFrame:
     """One row for each blob with findings: _blob, found and the base counts."""
-    found = scan(docs, ledger or new_ledger(docs.sparkSession), rules)
+    found = scan(docs, ledger or ledger_of(docs.sparkSession), rules)
     return written(by_blob(found, rules).withColumnRenamed("blob", "_blob"), "spans")
 
 
