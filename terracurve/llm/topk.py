@@ -12,10 +12,18 @@ with it. Queries travel in blocks: a task holds one shard and one block, whose
 sizes are parameters. Each shard returns at most k rows a query, and the last
 step keeps the best k of them, ties to the smaller vec_id.
 
+A block of queries is large, as every shard is sent once to each: vectors travel
+once for every ``every * BLOCK_ROWS`` of them, so the bytes sent grow with the
+square of the vectors, like the comparisons of an exact search whose boxes don't
+prune; the sample's boxes, in 64 dimensions, don't.
+
 Components are floor(256 * x). Vectors that are null or hold a null or
-non-finite component, and rows without vec_id, take no part. Rows with equal
-vec_id stand for one vector, the smallest in array order. Vectors of different
-length aren't compared. Scores outside the range of a long are held at its ends.
+non-finite component, and rows without vec_id, take no part. Every row is a
+candidate and, if its id is due, a query of its own, repeated vec_ids included; only
+the query's own row is left out. Ties go to the smaller vec_id. Vectors of different
+length aren't compared, empty ones have no scores above 0. Very long vectors are compared
+whole. Scores outside the range of a long are held at its ends. Other columns are
+not read, so they may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 1024, 256
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 16_384, 256
 QUERY_EVERY, K = 50, 5
 EXACT = 2.0**53
 
@@ -38,7 +46,7 @@ EXACT = 2.0**53
 class Tree:
     """Nodes in arrays: children, row range, box. Rows are in tree order."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows_: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         parts, todo = [order], [(0, 0)]  # todo: node, first row
         n_nodes, placed = 1, np.empty(len(ids), dtype=np.int64)
@@ -64,7 +72,7 @@ class Tree:
                 todo.append((n_nodes, first))
                 n_nodes += 1
             parts[node] = None
-        self.ids, self.x = ids[placed], x[placed]
+        self.ids, self.rows, self.x = ids[placed], rows_[placed], x[placed]
         self.lows, self.highs = np.array(lows), np.array(highs)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
@@ -84,13 +92,15 @@ class Tree:
                 for c in (child, child + 1):
                     heapq.heappush(heap, (-bound[c], c))
                 continue
-            ids, scores = self.ids[self.start[node] : self.end[node]], self.x[self.start[node] : self.end[node]] @ query
+            part = slice(self.start[node], self.end[node])
+            ids, scores = self.ids[part], self.x[part] @ query
+            scores[self.rows[part] == own] = -np.inf
             least = max(floor, best[0][0] if len(best) == k else floor)
             near = np.flatnonzero(scores >= least)
             if len(near) > k:  # the kth score here, and all rows that tie with it: ids ascend in a leaf
                 near = near[np.lexsort((ids[near], -scores[near]))[: k + 1]]
             for i in near:
-                if ids[i] == own:
+                if scores[i] == -np.inf:
                     continue
                 item = (scores[i], -int(ids[i]))
                 if len(best) < k:
@@ -105,12 +115,12 @@ def _exact(x: np.ndarray, q: np.ndarray) -> bool:
     return float(most) * float(most) * x.shape[1] < EXACT
 
 
-def _plain(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+def _plain(ids: np.ndarray, rows_: np.ndarray, x: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """Whole-number arithmetic for components so large that doubles would round."""
     rows = [[int(v) for v in r] for r in x]
     for i, q in enumerate(queries):
         q = [int(v) for v in q]
-        found = ((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, r, strict=True)))), -int(j)) for j, r in zip(ids, rows, strict=True) if j != own[i])
+        found = ((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, r, strict=True)))), -int(j)) for j, n, r in zip(ids, rows_, rows, strict=True) if n != own[i])
         yield i, heapq.nlargest(k, found)
 
 
@@ -119,16 +129,16 @@ def search_block(key, vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> p
     out = []
     if len(vectors) and len(queries):
         x, q = np.stack(vectors["v"].to_list()).astype(np.float64), np.stack(queries["v"].to_list()).astype(np.float64)
-        ids, own, floor = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), queries["floor"].to_numpy(dtype=np.float64)
+        ids, numbers, own, floor = vectors["vec_id"].to_numpy(), vectors["row"].to_numpy(), queries["row"].to_numpy(), queries["floor"].to_numpy(dtype=np.float64)
         if x.shape[1] and _exact(x, q):
-            tree = Tree(ids, x)
+            tree = Tree(ids, numbers, x)
             bounds = tree.bounds(q)
             found = ((i, tree.search(q[i], own[i], bounds[i], k, floor[i])) for i in range(len(q)))
         else:
-            found = _plain(ids, x, q, own, k)
+            found = _plain(ids, numbers, x, q, own, k)
         for i, best in found:
             out += [(own[i], -j, int(s)) for s, j in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    return pd.DataFrame(out, columns=["query", "vec_id", "score"]).astype("int64")
 
 
 def _whole(e):
@@ -138,24 +148,25 @@ def _whole(e):
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, v (array<double> of whole numbers), dim."""
+    """row (a number of its own), vec_id, v (array<double> of whole numbers), dim."""
     x = F.col(vec_col)
     good = F.col(id_col).isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     v = F.transform(x, lambda e: _whole(e))
-    return vectors.where(good).groupBy(F.col(id_col).alias("vec_id")).agg(F.min(v).alias("v")).withColumn("dim", F.size("v"))
+    return vectors.where(good).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), v.alias("v")).withColumn("dim", F.size("v"))
 
 
 def topk(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score."""
-    x = written(usable(vectors, id_col, vec_col), "vectors")
+    x = written(usable(vectors, id_col, vec_col), "vectors")  # written once, so row numbers stay
     n = x.count()
     shards, blocks = -(-n // SHARD_ROWS) or 1, -(-n // (every * BLOCK_ROWS)) or 1
-    data = x.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asks = x.select(*(F.col(c).alias(c) for c in x.columns)).where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int"))
-    schema = "query_id long, vec_id long, score long"
+    data = x.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    asks = x.select(*(F.col(c).alias(c) for c in x.columns)).where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).cast("int"))
+    schema = "query long, vec_id long, score long"
+    names = ["row", "vec_id", "v", "dim", "shard", "block"]
 
     def searched(queries: DataFrame, each: DataFrame) -> DataFrame:
-        """queries: vec_id, v, dim, shard, block, floor. each: the vectors with shard and block."""
+        """queries: ``names`` and floor. each: the vectors with shard and block."""
         keys = ["dim", "shard", "block"]
         return each.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(lambda key, a, b: search_block(key, a, b, k), schema)
 
@@ -163,13 +174,15 @@ def topk(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, id_col: str =
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     first = asks.withColumn("shard", home).withColumn("floor", F.lit(float("-inf")))
     met = data.withColumn("block", spread).where(F.col("shard") == home)
-    seeds = written(searched(first.select("vec_id", "v", "dim", "shard", "block", "floor"), met.select("vec_id", "v", "dim", "shard", "block")), "topk-seeds")
-    kth = seeds.groupBy("query_id").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id", F.col("s").cast("double").alias("kth"))
-    others = asks.withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-    others = others.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf"))))
-    rest = searched(others.select("vec_id", "v", "dim", "shard", "block", "floor"), data.withColumn("block", spread).where(F.col("shard") != home).select("vec_id", "v", "dim", "shard", "block"))
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return seeds.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    seeds = written(searched(first.select(*names, "floor"), met.select(*names)), "topk-seeds")
+    kth = seeds.groupBy("query").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query", F.col("s").cast("double").alias("kth"))
+    others = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
+    others = others.join(kth, F.col("row") == F.col("query"), "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf"))))
+    rest = searched(others.select(*names, "floor"), data.withColumn("block", spread).where(F.col("shard") != home).select(*names))
+    ranked = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    best = seeds.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    ids = asks.select(F.col("row").alias("_row"), F.col("vec_id").alias("query_id"))
+    return best.join(ids, F.col("query") == F.col("_row")).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +190,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+with v as (select row_number() over () n, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-e as (select vec_id, unnest(v) x, unnest(range(len(v))) i from v),
-s as (select q.vec_id query_id, c.vec_id vec_id, sum(q.x * c.x)::bigint score from e q join e c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by all),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+e as (select n, vec_id, unnest(v) x, unnest(range(len(v))) i from v),
+s as (select q.n qn, c.n cn, any_value(q.vec_id) query_id, any_value(c.vec_id) vec_id, sum(q.x * c.x)::bigint score from e q join e c on q.i = c.i and q.n <> c.n where q.vec_id % 50 = 0 group by q.n, c.n),
+r as (select *, row_number() over (partition by qn order by score desc, vec_id)::int rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
