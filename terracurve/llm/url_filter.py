@@ -1,17 +1,25 @@
 """URL filter: allow and block rules, and the reputation of hosts for the rest.
 
 Pages that a rule fits are labelled outcomes: allowed ones good, blocked ones
-bad. Outcomes are counted for each host, registered domain (last two labels of
-the host) and suffix (last label), and shrunk from the top down: all pages,
-suffix, domain, host. At each level a beta prior has the posterior mean of the
-level above, and the strength that the method of moments finds in the spread of
-that level's units. A page without a rule is blocked if the upper posterior
-bound of its host's share of good outcomes lies below a threshold.
-
-A host without outcomes takes the posterior of its domain, then of its suffix,
+bad. Outcomes are counted for each name, registered domain and public suffix, and
+shrunk from the top down: all pages, suffix, domain, name. At each level a beta
+prior has the posterior mean of the level above, and the strength that the method
+of moments finds in the spread of that level's units. A page without a rule is
+blocked if the upper posterior bound of its name's share of good outcomes lies
+below a threshold.
+
+The name is the host without user, port and final dot. Its suffix is the last
+label, or the last two where ``SUFFIXES`` lists them, and its domain has one label
+more. Addresses in digits or brackets are domains of their own, under the suffix
+``ip``. The host that comes back is the one of the contract, with all that.
+
+A name without outcomes takes the posterior of its domain, then of its suffix,
 then of all pages. Null urls and urls without ``://`` have an empty host and
 path, and are judged like any other host. Without any outcome nothing is
-blocked. Repeated pages count as often as they occur.
+blocked. Repeated pages count as often as they occur. Of rules that fit, the
+longest wins; two of one length never both fit. Very long urls are read whole. Only
+page_id and url are read, so other columns may have any names. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +37,12 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
+#: Public suffixes of two labels (fixed values; common ones, as of 2025). Others are taken as one label.
+SUFFIXES = [
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.bd", "com.br", "com.cn",
+    "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au",
+    "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za", "sch.uk",
+]
 #: Standard deviations of the posterior bound, and the share of good outcomes it must reach.
 BOUND, LEAST_GOOD = 2.0, 0.5
 
@@ -52,10 +66,25 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("ruled", verdict)
 
 
+def name_of(host: Column) -> Column:
+    """The host without user, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
+def units_of(name: Column) -> tuple[Column, Column]:
+    """Registered domain and public suffix."""
+    address = name.rlike(r"^([0-9.]+|\[.*)$")
+    two = F.substring_index(name, ".", -2)
+    listed = two.isin(SUFFIXES)
+    domain = F.when(address, name).when(listed, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(address, "ip").when(listed, two).otherwise(F.substring_index(name, ".", -1))
+
+
 def host_outcomes(pages: DataFrame) -> DataFrame:
-    """host, domain, suffix, good, n: labelled outcomes of every host that has pages."""
+    """name, domain, suffix, good, n: labelled outcomes of every name that has pages."""
     good, n = F.count_if(F.col("ruled") == "allow"), F.count("ruled")
-    return pages.groupBy("host").agg(good.alias("good"), n.alias("n")).select("host", F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"), "good", "n")
+    domain, suffix = units_of(F.col("name"))
+    return pages.groupBy("name").agg(good.alias("good"), n.alias("n")).select("name", domain.alias("domain"), suffix.alias("suffix"), "good", "n")
 
 
 def _strength(units: DataFrame) -> DataFrame:
@@ -71,9 +100,9 @@ def _strength(units: DataFrame) -> DataFrame:
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
-    """host, mean, upper: posterior mean and upper bound of each host's share of good outcomes.
+    """name, mean, upper: posterior mean and upper bound of each name's share of good outcomes.
 
-    The tables have one row a host, domain or suffix; ``outcomes`` is read several times.
+    The tables have one row a name, domain or suffix; ``outcomes`` is read several times.
     """
     domains = outcomes.groupBy("domain", "suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
@@ -88,16 +117,16 @@ def reputations(outcomes: DataFrame) -> DataFrame:
 
     by_suffix = shrunk(suffixes, overall, [], ["suffix"])
     by_domain = shrunk(domains, by_suffix.select("suffix", "above"), ["suffix"], ["domain"])
-    by_host = shrunk(outcomes, by_domain.select("domain", "above"), ["domain"], ["host"])
+    by_name = shrunk(outcomes, by_domain.select("domain", "above"), ["domain"], ["name"])
     m, w = F.col("above"), F.col("weight")
-    return by_host.select("host", m.alias("mean"), (m + BOUND * F.sqrt(m * (1 - m) / (w + 1))).alias("upper"))
+    return by_name.select("name", m.alias("mean"), (m + BOUND * F.sqrt(m * (1 - m) / (w + 1))).alias("upper"))
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    df = written(ruled(pages, rules), "pages-ruled")
-    bad = written(reputations(written(host_outcomes(df), "host-outcomes")).where(F.col("upper") < LEAST_GOOD).select("host", F.lit(True).alias("bad")), "hosts-bad")
-    judged = df.join(bad, "host", "left")
+    df = written(ruled(pages, rules).withColumn("name", name_of(F.col("host"))), "pages-ruled")
+    bad = written(reputations(written(host_outcomes(df), "host-outcomes")).where(F.col("upper") < LEAST_GOOD).select("name", F.lit(True).alias("bad")), "names-bad")
+    judged = df.join(bad, "name", "left")
     verdict = F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
@@ -116,18 +145,20 @@ with a as (select page_id, coalesce(url, '') url, strpos(coalesce(url, ''), '://
 b as (select page_id, case when cut > 0 then substr(url, cut + 3) else '' end rest from a),
 c as (select page_id, regexp_extract(rest, '^[^?#]*', 0) hp from b),
 d as (select page_id, translate(regexp_extract(hp, '^[^/]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, substr(hp, length(regexp_extract(hp, '^[^/]*', 0)) + 1) path from c),
-r as (select *, case RULES end rule, case VERDICTS end ruled from d),
-host_n as (select host, count(*) filter (ruled = 'allow') g, count(ruled) n, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') "domain", list_extract(string_split(host, '.'), -1) suffix from r group by host),
-domain_n as (select "domain", suffix, sum(g)::bigint g, sum(n)::bigint n from host_n group by all),
+r as (select *, case RULES end rule, case VERDICTS end ruled, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.?(:[0-9]*)?$', '') "name" from d),
+u as (select "name", count(*) filter (ruled = 'allow') g, count(ruled) n, regexp_matches("name", '^([0-9.]+|\[.*)$') address, regexp_extract("name", '([^.]*\.)?[^.]*$') two from r group by "name"),
+name_n as (select "name", g, n, case when address then "name" when two in (SUFFIXES) then regexp_extract("name", '([^.]*\.){0,2}[^.]*$') else two end "domain",
+ case when address then 'ip' when two in (SUFFIXES) then two else regexp_extract("name", '[^.]*$') end suffix from u),
+domain_n as (select "domain", suffix, sum(g)::bigint g, sum(n)::bigint n from name_n group by all),
 suffix_n as (select suffix, sum(g)::bigint g, sum(n)::bigint n from domain_n group by all),
 top as (select (coalesce(sum(g), 0) + 1)::double / (coalesce(sum(n), 0) + 2) above from suffix_n),
 LEVELS,
-h as (select host, m + 2 * sqrt(m * (1 - m) / (w + 1)) upper_bound from host_p)
-select page_id, host, path, rule, coalesce(ruled, case when upper_bound < 0.5 then 'block' else 'allow' end) verdict from r join h using (host)
-""".replace("RULES", " ".join(f"when {_FITS.format(h=h, p=p)} then '{h + p}'" for _, h, p in _BY_LENGTH)).replace(
+h as (select "name", m + 2 * sqrt(m * (1 - m) / (w + 1)) upper_bound from name_p)
+select page_id, host, path, rule, coalesce(ruled, case when upper_bound < 0.5 then 'block' else 'allow' end) verdict from r join h using ("name")
+""".replace("SUFFIXES", ", ".join(f"'{x}'" for x in SUFFIXES)).replace("RULES", " ".join(f"when {_FITS.format(h=h, p=p)} then '{h + p}'" for _, h, p in _BY_LENGTH)).replace(
     "VERDICTS", " ".join(f"when {_FITS.format(h=h, p=p)} then '{v}'" for v, h, p in _BY_LENGTH)
 ).replace("LEVELS", ",\n".join([
     _LEVEL.format(name="suffix", up="top on true"),
     _LEVEL.format(name="domain", up="(select suffix up, m above from suffix_p) on suffix = up").replace("u.domain", 'u."domain"'),
-    _LEVEL.format(name="host", up="(select \"domain\" up, m above from domain_p) on \"domain\" = up"),
+    _LEVEL.format(name="name", up="(select \"domain\" up, m above from domain_p) on \"domain\" = up").replace("u.name", 'u."name"'),
 ]))
