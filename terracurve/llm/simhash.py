@@ -16,7 +16,10 @@ forest then give every document the smallest doc_id reachable.
 
 Null texts count as empty; their fingerprint is zero, linked like any other.
 Rows without doc_id get a fingerprint and the component of their links, null if
-that has no doc_id. Repeated rows come back as often as they occur.
+that has no doc_id. Repeated rows come back as often as they occur, and ties of the
+smallest doc_id are one and the same. Very long texts are read whole, in slices of
+shingles. Columns of the documents may have any names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
