@@ -6,7 +6,9 @@ runs on the driver; its input is a shortlist with a stated limit.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,31 +55,39 @@ def first_region_acres(points: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(F.when(F.col("rank") == F.col("_f"), F.col("acres"))).alias("first_acres"), F.sum(F.when(F.col("rank") == F.col("_o"), F.col("acres"))).alias("all_acres"))
 
 
-def greedy(cells: list[dict], want: int, taken: list[dict], separation: int, south_cap: int | None = None) -> list[dict]:
-    """``taken`` and the first of ``cells``, in their order, that stand at least ``separation`` cells from all of them."""
-    out = list(taken)
-    for c in cells:
-        if len(out) >= want:
-            break
-        if south_cap is not None and c["south"] and sum(t["south"] for t in out) >= south_cap:
-            continue
-        if all(max(abs(c["i"] - t["i"]), abs(c["j"] - t["j"])) >= separation for t in out):
-            out.append(c)
-    return out
+@dataclass(frozen=True)
+class Rule:
+    """One pass over the candidates: which ones it looks at, how many cells there may be after it, how far apart, and how many southern ones at most."""
 
+    only: Callable[[dict], bool]
+    total: int
+    distance: int
+    southern: int = 1 << 30
 
-def select(cells: list[dict]) -> list[dict]:
-    """Southern cells first, up to their least number, then all up to WANT; distance gives way from 3 to 1."""
-    out: list[dict] = []
-    south = [c for c in cells if c["south"]]
-    for separation in (3, 2, 1):
-        out = greedy(south, SOUTH_MIN, out, separation)
-    for separation in (3, 2, 1):
-        out = greedy(cells, WANT, out, separation, SOUTH_MAX)
-    return out
+    def admits(self, cell: dict, chosen: tuple[dict, ...]) -> bool:
+        room = len(chosen) < self.total and self.only(cell) and not (cell["south"] and sum(c["south"] for c in chosen) >= self.southern)
+        return room and not any(abs(cell["i"] - c["i"]) < self.distance and abs(cell["j"] - c["j"]) < self.distance for c in chosen)
 
 
-def split_batches(selected: list[dict], classes: Iterable[str] = REQUIRED) -> tuple[list[dict], list[dict]]:
+def chosen_by(rules: Iterable[Rule], cells: list[dict]) -> list[dict]:
+    """Folds the passes, one rule after the other over all cells in their order, into one choice."""
+    passes = ((rule, cell) for rule in rules for cell in cells)
+    return list(reduce(lambda chosen, step: (*chosen, step[1]) if step[0].admits(step[1], chosen) else chosen, passes, ()))
+
+
+def _anywhere(cell: dict) -> bool:
+    return True
+
+
+def _south(cell: dict) -> bool:
+    return cell["south"]
+
+
+#: Southern cells up to their least number, then all cells up to WANT; the distance gives way from 3 to 1 in both.
+CELL_RULES = [Rule(_south, SOUTH_MIN, d) for d in (3, 2, 1)] + [Rule(_anywhere, WANT, d, SOUTH_MAX) for d in (3, 2, 1)]
+
+
+def pilot_and_rest(selected: list[dict], classes: Iterable[str] = REQUIRED) -> tuple[list[dict], list[dict]]:
     """Pilot and extension. The pilot takes cells that add required classes, then by score, within limits for the south;
     a class it still lacks comes in by replacing its lowest score."""
     if len(selected) < PILOT:
@@ -102,10 +112,6 @@ def split_batches(selected: list[dict], classes: Iterable[str] = REQUIRED) -> tu
     return pilot, [c for c in selected if c not in pilot]
 
 
-def pick_negatives(cells: list[dict], want: int = 4) -> list[dict]:
-    """One northern, then one southern cell, then any, in order, with separation 5, 3, 2."""
-    out = greedy([c for c in cells if not c["south"]], 1, [], 5)
-    out = greedy([c for c in cells if c["south"]], len(out) + 1, out, 5)
-    for separation in (5, 3, 2):
-        out = greedy(cells, want, out, separation)
-    return out
+def negative_rules(want: int = 4) -> list[Rule]:
+    """One northern and one southern cell, then any, ever nearer to each other."""
+    return [Rule(lambda c: not c["south"], 1, 5), Rule(_south, 2, 5)] + [Rule(_anywhere, want, d) for d in (5, 3, 2)]

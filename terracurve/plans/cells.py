@@ -116,7 +116,7 @@ def _chosen(spark, sf_dir):
     """The selected cells, at most 16, from a shortlist of at most 60 that the driver reads."""
     rows = [r.asDict() | {"south": (r["j"] + 0.5) * 0.1 < sel.SOUTH_LAT} for r in short_cells(spark, sf_dir).collect()]
     rows.sort(key=lambda c: (-c["score"], c["i"], c["j"]))
-    return sel.select(rows)
+    return sel.chosen_by(sel.CELL_RULES, rows)
 
 
 _GREEDY_SQL = _SHORT_SQL.replace("with ", "") + """, cand as (select (row_number() over (order by score desc, i, j) - 1)::int r, i, j, score, (j + 0.5) * 0.1::double < 28.5::double south from short),
@@ -140,7 +140,7 @@ def pilot_batch_split(spark, sf_dir):
     chosen = _chosen(spark, sf_dir)
     if len(chosen) < sel.PILOT:
         return spark.createDataFrame([], "batch string, i long, j long, score double, n_classes int")
-    pilot, rest = sel.split_batches(chosen)
+    pilot, rest = sel.pilot_and_rest(chosen)
     rows = [(b, c["i"], c["j"], c["score"], sum(c[k] > 0 for k in CLASSES)) for b, cs in (("pilot", pilot), ("extension", rest)) for c in cs]
     return spark.createDataFrame(rows, "batch string, i long, j long, score double, n_classes int")
 

@@ -20,16 +20,15 @@ class ContractError(ValueError):
     """The data break a contract that later steps rely on."""
 
 
-def check_feature_columns(columns: list[str], dates: list[str] = DATES, source: str = "table") -> None:
-    """Every date must be a column, in calendar order; other columns may stand between."""
-    absent = [d for d in dates if d not in columns]
-    if absent:
-        raise ContractError(f"{source}: {len(absent)} dates are absent, the first: {', '.join(absent[:5])}")
-    wanted = set(dates)
-    own = [c for c in columns if c in wanted]
-    if own != list(dates):
-        at = next(i for i, (a, b) in enumerate(zip(own, dates, strict=False)) if a != b)
-        raise ContractError(f"{source}: dates are out of order from place {at}: {own[at]} instead of {dates[at]}")
+def require_dates(columns: list[str], dates: list[str] = DATES, source: str = "table") -> None:
+    """Every date must be a column, and the dates' places must ascend; other columns may stand between."""
+    places = {name: at for at, name in enumerate(columns)}
+    missing = sorted(set(dates) - places.keys())
+    if missing:
+        raise ContractError(f"{source}: {len(missing)} of {len(dates)} dates absent, from {missing[0]} to {missing[-1]}")
+    for earlier, later in zip(dates, dates[1:], strict=False):
+        if places[earlier] > places[later]:
+            raise ContractError(f"{source}: out of order, {later} stands before {earlier}")
 
 
 def check_labelled(df: DataFrame, dates: list[str] = DATES, codes: dict[str, int] = CODES) -> DataFrame:
@@ -40,7 +39,7 @@ def check_labelled(df: DataFrame, dates: list[str] = DATES, codes: dict[str, int
     for c in ("label", "tile"):
         if c not in df.columns:
             raise ContractError(f"column {c} is missing")
-    check_feature_columns(df.columns, dates)
+    require_dates(df.columns, dates)
     df = df.withColumn("label", F.col("label").cast("int")).withColumn("tile", F.col("tile").cast("string"))
     bad = None
     for d in dates:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-#: Columns of a cluster CSV before its dates.
+# Columns of a cluster CSV before its dates, as files have them.
 META = ["AOI", "Cluster_ID", "Cluster_Label", "Feature_Type", "Pixel_ID", "Confidence_Score"]
 
 
@@ -88,15 +88,14 @@ def _if_there(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_missing(spark: SparkSession, df: DataFrame, path: str, *keys: str) -> int:
-    """Appends the rows whose keys aren't in ``path`` yet; returns how many there were to add."""
+    """Appends the rows whose keys aren't in ``path`` yet, one for each key; returns how many. They are computed once, and counted from what was written."""
     there = _if_there(spark, path)
+    df = df.dropDuplicates(list(keys))
     if there is not None:
         df = df.join(there.select(*keys).distinct(), list(keys), "left_anti")
-    # Counted from what was planned before writing, so that the count reads the old state.
-    n = df.count()
-    if n:
-        df.write.mode("append").parquet(path)
-    return n
+    before = 0 if there is None else there.count()
+    df.write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before
 
 
 def cached(spark: SparkSession, path: str, make, refresh: bool = False) -> DataFrame:

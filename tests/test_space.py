@@ -57,18 +57,19 @@ def cell(i, j, score, south=False, **classes):
 def test_selection():
     cells = [cell(i, j, 100 - i - j, south=j < 4) for i in range(12) for j in range(12)]
     cells.sort(key=lambda c: -c["score"])
-    got = selection.select(cells)
+    got = selection.chosen_by(selection.CELL_RULES, cells)
     assert len(got) == selection.WANT
     assert selection.SOUTH_MIN <= sum(c["south"] for c in got) <= selection.SOUTH_MAX
-    far = selection.greedy(cells, 9, [], 4)
+    far = selection.chosen_by([selection.Rule(lambda c: True, 9, 4)], cells)
     assert all(max(abs(a["i"] - b["i"]), abs(a["j"] - b["j"])) >= 4 for a in far for b in far if a is not b)
     got[-1]["rice"] = got[-2]["orchard"] = got[-3]["sugarcane"] = 5
-    pilot, rest = selection.split_batches(got)
+    pilot, rest = selection.pilot_and_rest(got)
     assert len(pilot) == selection.PILOT and len(rest) == selection.WANT - selection.PILOT
     assert all(any(c[k] > 0 for c in pilot) for k in selection.REQUIRED)
     with pytest.raises(ValueError):
-        selection.split_batches(got[:5])
-    assert len(selection.pick_negatives(cells)) == 4
+        selection.pilot_and_rest(got[:5])
+    negatives = selection.chosen_by(selection.negative_rules(), cells)
+    assert len(negatives) == 4 and [c["south"] for c in negatives[:2]] == [False, True]
 
 
 def test_quotas(spark):
