@@ -8,9 +8,11 @@ of similarity 0.8 and more differ by 2.4 bits on average, and four fingerprints
 0.98 of them, while no pair drawn at random comes near. Candidates are verified on
 their shingles where they meet, so the result has true links only.
 
-A bucket's texts come with their shingles, and a task returns a spanning forest of
-the true links, never all pairs. Buckets of the same texts are read once; large
-ones are cut into chunks, and each pair of chunks is one task's work.
+Links between fingerprints make candidate components, in which every text lies once,
+so its shingles travel once however many masks it shares with others. A task
+compares the texts of a component that lie within the radius, and returns a spanning
+forest of the true links, never all pairs. Large components are cut into chunks, and
+each pair of chunks is one task's work.
 
 Null texts count as empty. Texts without a shingle are like equal words only.
 Repeated rows belong to one component. Very long texts are read whole.
@@ -26,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import sieve, sieved, written
 from .components import components
 from .passages import _ODD, _mixed, tokens
-from .simhash import covering_masks
 
-PRINTS, RADIUS, CHUNK = 5, 3, 4096
+PRINTS, RADIUS, CHUNK = 5, 3, 2048
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -48,7 +50,7 @@ def prints(text: bytes) -> np.ndarray:
     for k in range(PRINTS if len(words) else 0):
         total = np.zeros(64)
         for at in range(0, len(words), 65_536):
-            h = _mixed(words[at : at + 65_536] + np.uint64(k + 1) * _ODD[0])
+            h = _mixed(words[at : at + 65_536] ^ (_ODD[0] - np.uint64(k)))
             total += weights[at : at + 65_536] @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         out[k] = np.packbits(2 * total > weights.sum(), bitorder="little").view(np.uint64)[0]
     return out
@@ -68,67 +70,79 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(sets, pa.list_(pa.int32()))], ["t", "own"])
 
 
-def forest(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (member, first of its component) of the texts of similarity 0.8 or more, by breadth-first search."""
+def forest(names: list[int], sets: list[np.ndarray], fps: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (member, first of its component) of the texts within the radius that have a similarity of 0.8 or more, by breadth-first search."""
     order = {t: i for i, t in reversed(list(enumerate(names)))}
-    names, sets = list(order), [np.sort(sets[i]) for i in order.values()]
+    names, sets, fps = list(order), [np.sort(sets[i]) for i in order.values()], np.stack([fps[i] for i in order.values()])
     sizes = np.array([len(s) for s in sets])
     left, found = np.arange(len(names)), []
     while len(left) > 1:
         root, edge, left = left[0], [left[0]], left[1:]
-        every = None
         while edge and len(left):
-            if every is None:
-                every, starts = np.concatenate([sets[i] for i in left]), np.concatenate([[0], np.cumsum(sizes[left])[:-1]])
-            own = sets[edge.pop()]
+            at = edge.pop()
+            cand = np.flatnonzero((np.bitwise_count(fps[left] ^ fps[at]) <= RADIUS).any(axis=1))
+            if not len(cand):
+                continue
+            own, others = sets[at], left[cand]
+            every, starts = np.concatenate([sets[i] for i in others]), np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
             hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
             both = np.add.reduceat(hit.astype(np.int64), starts)
-            near = 5 * both >= 4 * (sizes[left] + len(own) - both)
-            if near.any():
-                edge += left[near].tolist()
-                found += [(names[i], names[root]) for i in left[near]]
-                left, every = left[~near], None
+            near = 5 * both >= 4 * (sizes[others] + len(own) - both)
+            edge += others[near].tolist()
+            found += [(names[i], names[root]) for i in others[near]]
+            left = np.delete(left, cand[near])
     return found
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by bucket; a bucket is held at a time."""
-    key, names, sets = None, [], []
+    """Reads rows sorted by component and chunks; one pair of chunks is held at a time."""
+    key, held = None, []
 
     def out() -> pa.RecordBatch:
-        x = np.array(forest(names, sets), dtype=np.int64).reshape(-1, 2)
+        x = np.array(forest(*map(list, zip(*held, strict=True))), dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["u", "v"])
 
     for batch in batches:
         keys = zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q")), strict=True)
-        for own, name, part in zip(keys, batch.column("t").to_pylist(), batch.column("own"), strict=True):
-            if own != key and names:
+        for own, name, part, fp in zip(keys, batch.column("t").to_pylist(), batch.column("own"), batch.column("fps"), strict=True):
+            if own != key and held:
                 yield out()
-                names, sets = [], []
+                held = []
             key = own
-            names.append(name)
-            sets.append(part.values.to_numpy(zero_copy_only=False).copy())
-    if names:
+            held.append((name, part.values.to_numpy(zero_copy_only=False).copy(), fp.values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
+    if held:
         yield out()
 
 
+def candidates(fps: DataFrame) -> DataFrame:
+    """t, key: the candidate components with more than one text. ``fps``: t, fps. A fingerprint that only one text has, and no link, makes no node."""
+    each = None
+    for k in range(PRINTS):
+        own = simhash.links(fps.select(F.col("fps")[k].alias("fp")).distinct())
+        own = own.select(*(F.xxhash64(F.lit(k), c).alias(c) for c in ("u", "v")))
+        each = own if each is None else each.union(own)
+    each = written(each, "print-links")
+    nodes = fps.select("t", F.posexplode("fps").alias("k", "fp")).select("t", F.xxhash64("k", "fp").alias("node"))
+    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    shared = written(shared.union(each.select("u")).union(each.select("v")).distinct().withColumnRenamed("node", "_node"), "print-nodes")
+    found = components(nodes.join(shared, F.col("node") == F.col("_node")).select(F.col("t").alias("u"), F.col("node").alias("v")).union(each))
+    return fps.select("t").join(found, F.col("t") == F.col("node")).select("t", F.col("root").alias("key"))
+
+
 def links(docs: DataFrame, ids: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """u, v: a forest of links between texts, by hash. ``docs``: doc_id, t, text (binary); ``ids``: t, least (doc_id)."""
     fps = written(docs.select("t", "text").mapInArrow(_prints, "t long, fps array<long>").groupBy("t").agg(F.first("fps").alias("fps")), "fingerprints")
-    masks = F.array(*(F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in covering_masks(RADIUS)))
-    keys = F.flatten(F.transform("fps", lambda fp, k: F.transform(masks, lambda m, i: F.xxhash64(k, i, fp.bitwiseAND(m)))))
-    dealt = fps.select("t", F.explode(keys).alias("key"))
-    many = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("t")).alias("x"), F.sum(F.xxhash64("t", F.lit(1)).cast("decimal(38,0)")).alias("s")).where("n > 1")
-    many = written(many.groupBy("n", "x", "s").agg(F.min("key").alias("_k")).select("_k", F.expr(f"(n + {chunk - 1}) div {chunk}").cast("int").alias("chunks")), "shared-keys")
-    dealt = sieved(dealt, sieve(many, F.col("_k"), shared=F.lit(True)), F.col("key"), "shared").where("shared")
-    met = written(dealt.join(many, F.col("key") == F.col("_k")).select("key", "t", "chunks"), "buckets")
-    wanted = written(met.select("t").distinct().join(ids, "t").select(F.col("t").alias("_t"), "least"), "wanted")
+    met = written(candidates(fps), "candidates")
+    many = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = written(many.select(F.col("key").alias("_k"), F.expr(f"(n + {chunk - 1}) div {chunk}").cast("int").alias("chunks")), "large")
+    met = written(met.join(many, F.col("key") == F.col("_k")).select("key", "t", "chunks"), "members")
+    wanted = written(met.select("t").join(ids, "t").select(F.col("t").alias("_t"), "least"), "wanted")
     docs = sieved(docs, sieve(wanted, F.col("least"), wanted=F.lit(True)), F.col("doc_id"), "wanted").where("wanted")
     sets = docs.join(wanted, (F.col("doc_id") == F.col("least")) & (F.col("t") == F.col("_t"))).select("t", "text")
-    sets = written(sets.dropDuplicates(["t"]).mapInArrow(_sets, "t long, own array<int>"), "sets")
+    sets = sets.dropDuplicates(["t"]).mapInArrow(_sets, "t long, own array<int>").join(fps, "t")
     own = F.pmod(F.xxhash64("t"), F.col("chunks")).cast("int")
     met = met.withColumn("one", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("key", F.least("one", "other").alias("p"), F.greatest("one", "other").alias("q"), "t").join(sets, "t")
+    met = met.select("key", F.least("one", "other").alias("p"), F.greatest("one", "other").alias("q"), "t").join(written(sets, "sets"), "t")
     return met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_links, "u long, v long")
 
 
