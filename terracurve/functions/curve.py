@@ -104,5 +104,7 @@ def mean_abs(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def missing_to_null(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
+def bands_by_date(name: Column, value: Column, prefix: str = "ndvi") -> Column:
+    """An aggregate: the values of the bands that ``band_date`` knows, in order of their dates."""
+    at = band_date(name, prefix)
+    return F.transform(F.sort_array(F.collect_list(F.when(at.isNotNull(), F.struct(at.alias("at"), value.alias("v"))))), lambda s: s["v"])

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _edges(xs: Column, ys: Column) -> Column:
@@ -74,3 +79,21 @@ def cell_centre(i: Column, size: float = 0.1) -> Column:
 
 def pixel_centre(index: Column, origin: float, step: float) -> Column:
     return F.lit(origin) + (index + 0.5) * step
+
+
+def metres2_per_degree2(lat: float) -> float:
+    """Area of a square degree at a latitude, on the sphere whose degree has 111,320 m; good to some 0.5 % for small areas."""
+    return 111_320.0**2 * math.cos(math.radians(lat))
+
+
+@F.pandas_udf(DoubleType())
+def clipped_polygon_area(xs: pd.Series, ys: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+    """Area of the part of a simple polygon within a box; null for a null polygon."""
+
+    def one(px, py, *box):
+        if px is None or py is None:
+            return None
+        v = np.array(clip_polygon(list(zip(px, py, strict=True)), *box)).reshape(-1, 2)
+        return abs(float(np.dot(v[:, 0], np.roll(v[:, 1], -1)) - np.dot(v[:, 1], np.roll(v[:, 0], -1)))) / 2
+
+    return pd.Series([one(*row) for row in zip(xs, ys, x0, y0, x1, y1, strict=True)], dtype="float64")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -31,7 +31,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) of the nodes of ``links`` (u, v: long)."""
-    links = _cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = cut_lineage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -39,4 +39,4 @@ def components(links: DataFrame) -> DataFrame:
             roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
         state = now
-        links = _cut(_star(_star(links, True), False))
+        links = cut_lineage(_star(_star(links, True), False))

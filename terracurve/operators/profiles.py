@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.curve import let, mean_abs
+from .graph import cut_lineage
+from .running import quantiles, running_total, value_bin
 
 
 def long_curves(df: DataFrame, *keep: str, curve: str = "curve") -> DataFrame:
@@ -17,8 +19,8 @@ def long_curves(df: DataFrame, *keep: str, curve: str = "curve") -> DataFrame:
 
 def median_profiles(curves: DataFrame, label: str = "label", curve: str = "curve") -> DataFrame:
     """label, profile: the exact median of each place over a class's curves."""
-    each = long_curves(curves, label, curve=curve).groupBy(label, "pos").agg(F.median("x").alias("m"))
-    by = each.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("p"))
+    each = quantiles(long_curves(curves, label, curve=curve), [label, "pos"], [0.5])
+    by = each.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("q0").alias("m")))).alias("p"))
     return by.select(label, F.transform("p", lambda s: s["m"]).alias("profile"))
 
 
@@ -89,19 +91,21 @@ def contradictions(curves: DataFrame, positive, radius: float, key: str = "vec_i
     """Each curve's nearest curve of the opposite binary label, if nearer than ``radius``.
 
     The distance of two curves is at least that of their means. So curves meet
-    only in buckets of the mean, as wide as the radius, and the two beside. A
-    bucket is cut into blocks of either side; a task compares two blocks as
-    matrices, which built-in array functions do some fifty times slower.
+    only in buckets of the mean, as wide as the radius, and the two beside. Each
+    bucket is cut into as many blocks of either side as it needs itself; a task
+    compares two blocks as matrices, which built-in array functions do some fifty
+    times slower.
     """
     mean = F.aggregate("curve", F.lit(0.0), lambda s, x: s + x) / F.size("curve")
     df = curves.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("label"), "curve", positive.alias("pos"), F.floor(mean / radius).alias("bucket"))
-    most = df.groupBy("bucket", "pos").agg(F.count(F.lit(1)).alias("n")).groupBy("pos").agg(F.max("n").alias("n")).collect()  # two rows
-    blocks = {r["pos"]: -(-r["n"] // BLOCK) for r in most}
-    own = lambda n: F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    n_pos, n_neg = blocks.get(True, 1), blocks.get(False, 1)
-    a = df.where("pos").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))).withColumn("i", own(n_pos)).withColumn("j", each(n_neg))
-    b = df.where("not pos").withColumn("j", own(n_neg)).withColumn("i", each(n_pos))
+    a = df.where("pos").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    b = df.where("not pos")
+    cut = lambda side, n: side.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    blocks = cut(a, "n_pos").join(cut(b, "n_neg"), "bucket")
+    own = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(blocks, "bucket").withColumn("i", own("n_pos")).withColumn("j", each("n_neg"))
+    b = b.join(blocks, "bucket").withColumn("j", own("n_neg")).withColumn("i", each("n_pos"))
     cols = [F.col(c).alias(c) for c in ("bucket", "i", "j", "k", "label", "curve")]
     keys = ["bucket", "i", "j"]
     met = a.select(*cols).groupBy(*keys).cogroup(b.select(*cols).groupBy(*keys)).applyInPandas(lambda x, y: _nearest_pairs(x, y, radius), "a long, label_a int, b long, label_b int, gap double")
@@ -116,19 +120,48 @@ def drop_near(curves: DataFrame, profiles: DataFrame, positive: int) -> DataFram
     return nearest(profile_distances(curves, profiles)).where(F.col("nearest") != positive).select(*curves.columns)
 
 
+def medians_without(curves: DataFrame, group: str) -> DataFrame:
+    """held, label, profile: for each group and each class in it, the class's exact medians over the rows of all other groups; null if there are none.
+
+    Values are ranked once, within their class and place and within the group too. The t-th value of the others has the rank t
+    plus the number of the group's own values that have at most t others before them, so no group's rest is ever formed.
+    """
+    each = curves.select(F.col(group).alias("held"), "label", F.posexplode("curve").alias("pos", "x")).where("x is not null and held is not null")
+    counted = cut_lineage(each.groupBy("label", "pos", "held", "x").agg(F.count(F.lit(1)).alias("c")).withColumn("bin", value_bin(F.col("x"))))
+    ranked = running_total(counted, ["label", "pos"], "bin", ["x", "held"], F.col("c"), "before")
+    ranked = cut_lineage(running_total(ranked, ["label", "pos", "held"], "bin", ["x"], F.col("c"), "own"))
+    n = ranked.groupBy("label", "pos").agg(F.sum("c").alias("n"))
+    rest = ranked.groupBy("label", "pos", "held").agg(F.sum("c").alias("own_n")).join(n, ["label", "pos"])
+    rest = rest.select("label", "pos", "held", F.expr("n - own_n").alias("m"), F.explode(F.expr("array((n - own_n - 1) div 2, (n - own_n) div 2)")).alias("t"))
+    passed = F.sum(F.when(F.col("before") - F.col("own") <= F.col("t"), F.col("c")).otherwise(0))
+    # Both ranks of a pair may be one and the same; then they count once, which gives the same mean.
+    wanted = cut_lineage(ranked.join(rest.where("m > 0").distinct(), ["label", "pos", "held"]).groupBy("label", "pos", "held", "t").agg(passed.alias("j")).select("label", "pos", "held", F.expr("t + j").alias("at")))
+    span = wanted.groupBy("label", "pos").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    near = ranked.join(span, ["label", "pos"]).where("before <= last and before + c > first")
+    events = near.select("label", "pos", F.col("before").alias("at"), F.lit(0).alias("kind"), "x", F.lit(None).cast(curves.schema[group].dataType).alias("held"))
+    events = events.unionByName(wanted.select("label", "pos", "at", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("x"), "held"))
+    value = F.last("x", True).over(Window.partitionBy("label", "pos").orderBy("at", "kind"))
+    medians = events.withColumn("v", value).where("kind = 1").groupBy("held", "label", "pos").agg(F.avg("v").alias("m"))
+    known = medians.groupBy("held", "label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("p")).select("held", "label", F.transform("p", lambda s: s["m"]).alias("profile"))
+    gone = rest.where("m = 0").select("held", "label").distinct().select("held", "label", F.lit(None).cast("array<double>").alias("profile"))
+    return known.unionByName(gone)
+
+
 def leave_one_out(curves: DataFrame, group: str, positive: int) -> DataFrame:
     """For each group, agreement of its labels with the nearest profile of all other groups.
 
     Rows: group, rows, agreement_pct, positive_missed, negative_taken. A group
-    without which only one class is left is skipped. Profiles are recomputed
-    for each group from the curves of all others in one plan.
+    without which only one class is left is skipped. Classes that a group lacks
+    keep their profile over all rows.
     """
-    groups = curves.select(F.col(group).alias("held")).distinct()
-    others = curves.join(groups, F.col(group) != F.col("held"))
-    each = others.select("held", "label", F.posexplode("curve").alias("pos", "x")).groupBy("held", "label", "pos").agg(F.median("x").alias("m"))
-    prof = each.groupBy("held", "label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("p")).select("held", "label", F.transform("p", lambda s: s["m"]).alias("profile"))
-    per = prof.groupBy("held").agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("cls"), "profile"))).alias("_p")).where(F.size("_p") > 1)
-    met = curves.join(per, F.col(group) == F.col("held")).withColumn("dists", _distances())
+    profile = lambda label: F.sort_array(F.collect_list(F.struct(F.col(label).alias("cls"), "profile")))
+    every = median_profiles(curves).agg(profile("label").alias("_all"))  # one row, one profile a class
+    changed = medians_without(curves, group).groupBy("held").agg(profile("label").alias("_own"))
+    other = lambda p: F.filter("_own", lambda o: o["cls"] == p["cls"])
+    mine = lambda p: F.when(F.size(other(p)) > 0, F.get(other(p), F.lit(0))["profile"]).otherwise(p["profile"])
+    per = changed.join(F.broadcast(every), F.lit(True))
+    per = per.select("held", F.filter(F.transform("_all", lambda p: F.struct(p["cls"].alias("cls"), mine(p).alias("profile"))), lambda p: p["profile"].isNotNull()).alias("_p"))
+    met = curves.join(per.where(F.size("_p") > 1), F.col(group) == F.col("held")).withColumn("dists", _distances())
     near = nearest(met)
     return near.groupBy(group).agg(
         F.count(F.lit(1)).alias("rows"), (100 * F.avg((F.col("nearest") == F.col("label")).cast("double"))).alias("agreement_pct"),
@@ -142,9 +175,3 @@ def shares(df: DataFrame, row: str, col: str, values: list, names: list[str]) ->
     counts = df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1)))
     total = sum((F.coalesce(F.col(f"`{v}`"), F.lit(0)) for v in values), F.lit(0))
     return counts.select(row, *((100.0 * F.coalesce(F.col(f"`{v}`"), F.lit(0)) / total).alias(n) for v, n in zip(values, names, strict=True)))
-
-
-def ranked_by_hash(key, seed: int, *group: str) -> object:
-    """Row number in a seeded order, within ``group``."""
-    order = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
-    return F.row_number().over(Window.partitionBy(*group).orderBy(order, key))

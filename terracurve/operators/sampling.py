@@ -26,7 +26,7 @@ def hard_easy(df: DataFrame, n: int, share: float, wrong: Column, key: Column, s
     most = int(n * share)
     order = Window.partitionBy(group, "_wrong").orderBy(order_key(key, seed), key)
     got = df.withColumn("_wrong", wrong).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
-    hard = df.withColumn("_wrong", wrong).where("_wrong").groupBy(F.col(group).alias("_g")).agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("_h"))
-    met = got.join(hard, F.col(group) == F.col("_g"), "left")
-    room = F.when(F.col("_wrong"), F.lit(most)).otherwise(n - F.coalesce("_h", F.lit(0)))
-    return met.where(F.col("_n") <= room).withColumnRenamed("_wrong", "is_hard").drop("_n", "_g", "_h")
+    # At most 2 n rows of a group are left to count.
+    hard = F.count_if(F.col("_wrong") & (F.col("_n") <= most)).over(Window.partitionBy(group))
+    room = F.when(F.col("_wrong"), F.lit(most)).otherwise(n - F.col("_h"))
+    return got.withColumn("_h", hard).where(F.col("_n") <= room).withColumnRenamed("_wrong", "is_hard").drop("_n", "_h")

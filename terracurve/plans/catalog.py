@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cells, curves, learning, pixels, sampling, scoring, utility  # noqa: F401
+from . import cells, chains, curves, learning, pixels, sampling, scoring, utility  # noqa: F401
 from .registry import QUERIES, SQL
 
 

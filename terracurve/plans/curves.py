@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curve as c
 from ..operators import profiles as p
+from ..operators.running import quantiles
 from ..sources.adapters import AXIS_FIRST, N_DATES, PROFILE_SQL, TS_SQL, VEC_SQL, read, ts_arrays, ts_curves, vec_curves
 from . import registry
 
@@ -30,8 +31,9 @@ def _rows_sql(matrix) -> str:
 
 @query(f"with {TS_SQL} select k::bigint k, end_date, count(nd) n, round(median(nd), 6) med from nd group by all")
 def profile_median_curve(spark, sf_dir):
-    by = ts_curves(spark, sf_dir).groupBy("k", "end_date").agg(F.count("nd").alias("n"), F.median("nd").alias("m"))
-    return by.select(F.col("k").cast("long").alias("k"), "end_date", "n", _R6(F.col("m"), "med"))
+    df = ts_curves(spark, sf_dir)
+    by = df.groupBy("k", "end_date").agg(F.count("nd").alias("n")).join(quantiles(df, ["k", "end_date"], [0.5], "nd"), ["k", "end_date"], "left")
+    return by.select(F.col("k").cast("long").alias("k"), "end_date", "n", _R6(F.col("q0"), "med"))
 
 
 @query("select r_name, k::int k, date '1997-04-01' + ((k - 1) * 8)::int end_date from region, range(1, 36) t(k)")
@@ -106,8 +108,8 @@ def fill_and_reject_missing(spark, sf_dir):
 @query(f"with {VEC_SQL} select label, pos, round(avg(x), 6) mean, round(quantile_cont(x, 0.25), 6) q25, round(quantile_cont(x, 0.75), 6) q75 from e group by label, pos")
 def mean_iqr_curve(spark, sf_dir):
     each = p.long_curves(vec_curves(spark, sf_dir), "label")
-    by = each.groupBy("label", "pos").agg(F.avg("x").alias("m"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return by.select("label", "pos", _R6(F.col("m"), "mean"), _R6(F.col("q")[0], "q25"), _R6(F.col("q")[1], "q75"))
+    by = each.groupBy("label", "pos").agg(F.avg("x").alias("m")).join(quantiles(each, ["label", "pos"], [0.25, 0.75]), ["label", "pos"], "left")
+    return by.select("label", "pos", _R6(F.col("m"), "mean"), _R6(F.col("q0"), "q25"), _R6(F.col("q1"), "q75"))
 
 
 def _peaks(spark, sf_dir):

@@ -53,6 +53,14 @@ def threshold_sweep(spark, sf_dir):
     return by.select("aoi", "cut", *(F.round(F.col(f"`{i}`"), 6).alias(f"c{i}") for i in range(10)))
 
 
+def _both(spark, sf_dir):
+    """Curves with both models' probabilities, pa and pb, against the same profiles."""
+    df = vec_curves(spark, sf_dir)
+    prof = p.median_profiles(df)
+    a = p.scores(df, float(V1), prof).withColumn("pa", p.prob_of(1)).drop("dists", "best", "sharpness", "pred", "conf")
+    return p.scores(a, float(V2), prof).withColumn("pb", p.prob_of(1))
+
+
 _TARGETS = [75.0, 78.0, 80.0, 83.0, 85.0]
 _BOTH_SQL = SCORE_SQL.format(t=V1) + ", " + SCORE_SQL.format(t=V2).split("dist as (")[1].split(",\n", 1)[1].replace("mn as", "mn2 as").replace("join mn using", "join mn2 using").replace("ex as", "ex2 as").replace("from ex)", "from ex2)").replace("pb as", "pb2 as").replace("from pb)", "from pb2)").replace("sc as", "sc2 as").replace("p1 as", "p2 as").replace("from pb where", "from pb2 where")
 
@@ -62,8 +70,8 @@ rt as (select model, cut, label, 100 * avg((p >= cut)::int::double) pct from al,
 rk as (select *, row_number() over (partition by model, target order by abs(recall - target), cut) r from wd, (select unnest({_TARGETS}::double[]) target) t)
 select model, target, cut, round(recall, 6) recall, round(mc, 6) mean_commission from rk where r = 1""")
 def matched_recall(spark, sf_dir):
-    one = lambda t, name: scored(spark, sf_dir, t).select(F.lit(name).alias("model"), "label", p.prob_of(1).alias("p"))
-    got = e.matched_recall(one(V1, "v1").unionByName(one(V2, "v2")), "p", _TARGETS, 1)
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(c).alias("p")) for m, c in (("v1", "pa"), ("v2", "pb"))))).alias("m")
+    got = e.matched_recall(_both(spark, sf_dir).select("label", each).select("label", "m.*"), "p", _TARGETS, 1)
     return got.select("model", "target", "cut", _R6("recall"), _R6("mean_commission"))
 
 
@@ -72,11 +80,7 @@ select coalesce(aoi::varchar, 'POOLED') aoi, label, count(*) pixels, case when l
 from j group by grouping sets ((aoi, label), (label))""")
 def model_comparison_pooled(spark, sf_dir):
     """Both models' probabilities come from one pass over the distances."""
-    df = vec_curves(spark, sf_dir)
-    prof = p.median_profiles(df)
-    a = p.scores(df, float(V1), prof).withColumn("pa", p.prob_of(1)).drop("dists", "best", "sharpness", "pred", "conf")
-    both = p.scores(a, float(V2), prof).withColumn("pb", p.prob_of(1))
-    got = e.compared(both, F.col("pa") >= 0.3, F.col("pb") >= 0.3, 1)
+    got = e.compared(_both(spark, sf_dir), F.col("pa") >= 0.3, F.col("pb") >= 0.3, 1)
     return got.select("aoi", "label", "pixels", "meaning", *map(_R6, ("a_pct", "b_pct", "delta")))
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -74,8 +74,44 @@ def write_tiles(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("tile").parquet(path)
 
 
-def write_json(values: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(values, indent=2, sort_keys=True))
+def write_json(spark: SparkSession, values: dict, path: str) -> None:
+    """One JSON document, through Spark, so that ``path`` may be in any store."""
+    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def write_vectors(features: DataFrame, path: str) -> None:
+    """Features with their vertices and bounding boxes, neighbours together, so that ``scan_boxed`` skips row groups."""
+    features.sort("xmin", "ymin").write.mode("overwrite").parquet(path)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """All columns but those."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names))
+
+
+def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    """The columns whose names begin so."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.startswith(prefix)))
+
+
+def matches_glob(name: Column, pattern: str) -> Column:
+    """``*`` stands for any characters, ``?`` for one."""
+    return name.rlike("(?s)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + r"\z")
+
+
+def stem(path: Column) -> Column:
+    """The file's name without folder, ending, and what follows a double underscore."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return F.element_at(F.split(name, "__"), 1)
+
+
+def with_files(runs: DataFrame, files: DataFrame) -> DataFrame:
+    """Runs (slug, ...) and the file (path) of the same stem; both must exist."""
+    return runs.withColumn("stem", stem(F.col("slug"))).join(files.select(stem(F.col("path")).alias("stem"), "path"), "stem")
 
 
 def _if_there(spark: SparkSession, path: str) -> DataFrame | None:
@@ -109,7 +145,3 @@ def cached(spark: SparkSession, path: str, make, refresh: bool = False) -> DataF
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
-
-
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
