@@ -25,18 +25,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _done(links: DataFrame) -> bool:
+    """True if every link leads straight to a root: no node has two links up, and none that others lead to has one."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(links.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up + down > 1").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for the nodes of ``edges`` (u, v: long).
 
-    Alternates large-star and small-star until the links no longer change; every
+    Alternates large-star and small-star until every link leads to a root; every
     round is written, so lineage stays short. Loops and repeated links are
     allowed; an empty table gives an empty one.
     """
     links = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = None
-    while True:
-        seen = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if seen == state or seen[0] == 0:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = seen
+    while not _done(links):
         links = written(_star(_star(links, True), False), "links")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

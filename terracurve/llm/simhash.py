@@ -90,19 +90,19 @@ def forest(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by bucket; a bucket is held at a time."""
 
-    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        x = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["u", "v"])
+    def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        x = np.array(found, dtype=np.uint64).reshape(-1, 3).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(x[:, 1]), pa.array(x[:, 2])], ["mask", "u", "v"])
 
-    def close(parts: list[np.ndarray]) -> list[tuple[int, int]]:
+    def close(mask: int, parts: list[np.ndarray]) -> list[tuple[int, int, int]]:
         p = np.concatenate(parts)
         if len(p) == 2:
             a, b = int(p[0]), int(p[1])
-            return [(max(a, b), min(a, b))] if (a ^ b).bit_count() <= RADIUS else []
-        return forest(p)
+            return [(mask, max(a, b), min(a, b))] if (a ^ b).bit_count() <= radius else []
+        return [(mask, a, b) for a, b in forest(p, radius)]
 
     key, parts, found = None, [], []
     for batch in batches:
@@ -114,7 +114,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             own = tuple(keys[:, a].tolist())
             if own != key and parts:
-                found += close(parts)
+                found += close(key[0], parts)
                 parts = []
                 if len(found) >= 50_000:
                     yield out(found)
@@ -122,15 +122,18 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = own
             parts.append(fp[a:b].copy())
     if parts:
-        found += close(parts)
+        found += close(key[0], parts)
     if found:
         yield out(found)
 
 
-def links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """u, v: a forest of links between the distinct fingerprints of ``prints`` (fp)."""
-    masks = F.array(*(F.struct(F.lit(i).alias("mask"), F.lit(m - 2**64 if m >= 2**63 else m).cast("long").alias("bits")) for i, m in enumerate(covering_masks())))
-    dealt = prints.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("kept"))
+def links(prints: DataFrame, chunk: int = CHUNK, radius: int = RADIUS) -> DataFrame:
+    """space, u, v: a forest of links between the distinct fingerprints of ``prints`` (fp, and space if there are several); those of different spaces (small ints) never link."""
+    every = covering_masks(radius)
+    prints = prints if "space" in prints.columns else prints.withColumn("space", F.lit(0))
+    masks = F.array(*(F.struct(F.lit(i).alias("mask"), F.lit(m - 2**64 if m >= 2**63 else m).cast("long").alias("bits")) for i, m in enumerate(every)))
+    dealt = prints.select("fp", "space", F.explode(masks).alias("m"))
+    dealt = dealt.select("fp", (F.col("space") * len(every) + F.col("m.mask")).alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("kept"))
     many = dealt.groupBy("mask", "kept").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     many = written(many.select(F.col("mask").alias("_m"), F.col("kept").alias("_k"), F.expr(f"(n + {chunk - 1}) div {chunk}").cast("int").alias("chunks")), "buckets")
     met = dealt.join(many, (F.col("mask") == F.col("_m")) & (F.col("kept") == F.col("_k")))
@@ -138,14 +141,15 @@ def links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     met = met.withColumn("own", own).withColumn("other", other)
     met = met.select("mask", "kept", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
-    return met.repartition("mask", "kept", "p", "q").sortWithinPartitions("mask", "kept", "p", "q").mapInArrow(_links, "u long, v long")
+    found = met.repartition("mask", "kept", "p", "q").sortWithinPartitions("mask", "kept", "p", "q").mapInArrow(lambda batches: _links(batches, radius), "mask int, u long, v long")
+    return found.select(F.expr(f"mask div {len(every)}").cast("int").alias("space"), "u", "v")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp, component_id of every document."""
     rows = written(fingerprints(docs), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    nodes = written(components(links(prints)), "nodes")
+    nodes = written(components(links(prints.select("fp"))), "nodes")
     least = nodes.join(prints, nodes["node"] == prints["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = nodes.join(least, "root").select("node", "component_id")
     of = written(prints.join(linked, prints["fp"] == linked["node"], "left").select(F.col("fp").alias("_fp"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "components")
