@@ -138,14 +138,15 @@ def resampled(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS) -> DataFrame
     placed, pieces = mixed(docs, block, weights)
     each = pieces.groupBy("src", "start", "epoch").agg(F.min("k").alias("k"), F.sum(F.col("word_to") - F.col("word_from")).alias("got"))
     places = F.sort_array(F.collect_list(F.struct("k", "epoch", "start")))  # three at most
-    key = ["doc_id", "source", "text_hash"]
-    got = _with_pieces(placed, each, "inner").where("2 * got >= size").groupBy("src", "start", *key).agg(places.alias("_places"))
-    same = Window.partitionBy(*key)
-    got = got.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_t"), F.row_number().over(same.orderBy("start")).alias("_i"), "_places")
-    own = boxed(docs, F.col("doc_id").alias("_d0"), F.col("source").alias("_s0"), F.xxhash64("text").alias("_t0"))
-    own = own.withColumn("_i0", F.row_number().over(Window.partitionBy("_d0", "_s0", "_t0").orderBy(F.lit(1))))
-    met = own.join(written(got, "mix-places"), (F.col("_t0") == F.col("_t")) & F.col("_d0").eqNullSafe(F.col("_d")) & F.col("_s0").eqNullSafe(F.col("_s")) & (F.col("_i0") == F.col("_i")))
-    met = met.select("_row", F.explode("_places").alias("_p"))
+    got = _with_pieces(placed, each, "inner").where("2 * got >= size").groupBy("src", "start", "doc_id", "source", "text_hash").agg(places.alias("_places"))
+    key = ["_d", "_s", "_t"]
+    got = written(got.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_t"), F.col("start").alias("_start"), "_places"), "mix-places")
+    own = boxed(docs, F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64("text").alias("_t"))
+    # Documents and places are numbered, and equal numbers brought together, in one shuffle of the texts; a join would take two.
+    every = own.unionByName(got, allowMissingColumns=True).repartition(*key).withColumn("_own", F.col("_start").isNull())
+    every = every.withColumn("_i", F.row_number().over(Window.partitionBy(*key, "_own").orderBy("_start")))
+    every = every.withColumn("_places", F.max("_places").over(Window.partitionBy(*key, "_i")))
+    met = every.where("_own and _places is not null").select("_row", F.explode("_places").alias("_p"))
     return met.repartitionByRange("_p").sortWithinPartitions("_p").select("_row.*")
 
 
