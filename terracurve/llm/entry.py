@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, passages, quality, secret_scan, sharding, simhash, topk, url_filter
+from . import hard_negatives, licenses, mixing, packing, passages, periodic, quality, secret_scan, sharding, simhash, topk, url_filter, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_runs": periodic.op12_runs,
+    "op13_warc": warc.op13_warc,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op8_mixing": mixing.SQL,
     "op9_quality": quality.SQL,
     "op10_url_filter": url_filter.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_warc": warc.SQL,
 }

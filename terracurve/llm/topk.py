@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -147,12 +147,12 @@ def _whole(e):
     return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """row (a number of its own), vec_id, v (array<double> of whole numbers), dim."""
+def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *more: Column) -> DataFrame:
+    """row (a number of its own), vec_id, v (array<double> of whole numbers), ``more``, dim."""
     x = F.col(vec_col)
     good = F.col(id_col).isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     v = F.transform(x, lambda e: _whole(e))
-    return vectors.where(good).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), v.alias("v")).withColumn("dim", F.size("v"))
+    return vectors.where(good).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), v.alias("v"), *more).withColumn("dim", F.size("v"))
 
 
 def topk(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
