@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
-def _edges(xs: Column, ys: Column) -> Column:
+def edges(xs: Column, ys: Column) -> Column:
     """(x1, y1, x2, y2) of each edge, the closing one included."""
     at = F.sequence(F.lit(0), F.size(xs) - 1)
     nxt = lambda i: F.pmod(i + 1, F.size(xs))
@@ -21,7 +18,7 @@ def _edges(xs: Column, ys: Column) -> Column:
 def in_polygon(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     """Even-odd rule with half-open edges: polygons that share a border share no point."""
     crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
-    return F.size(F.filter(_edges(xs, ys), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    return F.size(F.filter(edges(xs, ys), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
 
 def in_box(x: Column, y: Column, prefix: str = "") -> Column:
@@ -36,14 +33,14 @@ def boxes_meet(a: str, b: str, buffer: float = 0.0) -> Column:
 
 def area(xs: Column, ys: Column) -> Column:
     """Shoelace area."""
-    return F.abs(F.aggregate(_edges(xs, ys), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])) / 2
+    return F.abs(F.aggregate(edges(xs, ys), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])) / 2
 
 
 def centroid(xs: Column, ys: Column) -> tuple[Column, Column]:
     cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    twice = F.aggregate(_edges(xs, ys), F.lit(0.0), lambda s, e: s + cross(e))
-    x = F.aggregate(_edges(xs, ys), F.lit(0.0), lambda s, e: s + (e["x1"] + e["x2"]) * cross(e))
-    y = F.aggregate(_edges(xs, ys), F.lit(0.0), lambda s, e: s + (e["y1"] + e["y2"]) * cross(e))
+    twice = F.aggregate(edges(xs, ys), F.lit(0.0), lambda s, e: s + cross(e))
+    x = F.aggregate(edges(xs, ys), F.lit(0.0), lambda s, e: s + (e["x1"] + e["x2"]) * cross(e))
+    y = F.aggregate(edges(xs, ys), F.lit(0.0), lambda s, e: s + (e["y1"] + e["y2"]) * cross(e))
     return F.try_divide(x, 3 * twice), F.try_divide(y, 3 * twice)
 
 
@@ -54,19 +51,22 @@ def clipped_area(xs: Column, ys: Column, x0: Column, y0: Column, x1: Column, y1:
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
-def clip_polygon(vertices: list[tuple[float, float]], x0: float, y0: float, x1: float, y1: float) -> list[tuple[float, float]]:
-    """Sutherland-Hodgman: the part of a simple polygon within a box."""
-    sides = [(lambda p: p[0] >= x0, 0, x0), (lambda p: p[0] <= x1, 0, x1), (lambda p: p[1] >= y0, 1, y0), (lambda p: p[1] <= y1, 1, y1)]
-    out = list(vertices)
-    for inside, axis, at in sides:
-        now, out = out, []
-        for a, b in zip(now[-1:] + now[:-1], now, strict=True):
-            if inside(a) != inside(b):
-                t = (at - a[axis]) / (b[axis] - a[axis])
-                out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-            if inside(b):
-                out.append(b)
-    return out
+def clipped_to_box(shapes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """``shapes`` with xs and ys of the part of a polygon within a box, one side of the box after the other; none left gives empty arrays."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    none = F.array().cast("array<struct<x: double, y: double>>")
+    df = shapes.withColumn("_v", F.zip_with("xs", "ys", point))
+    for c, bound, over in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
+
+        def pieces(a: Column, b: Column) -> Column:  # called at once, while c, bound and over are these
+            inside = lambda p: p[c] >= bound if over else p[c] <= bound
+            t = (bound - a[c]) / F.nullif(b[c] - a[c], F.lit(0.0))
+            cut = point(a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"]))
+            return F.concat(F.when(inside(a), F.array(a)).otherwise(none), F.when(inside(a) != inside(b), F.array(cut)).otherwise(none))
+
+        after = F.concat(F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0))), F.slice("_v", 1, 1))
+        df = df.withColumn("_v", F.flatten(F.zip_with("_v", after, pieces)))
+    return df.withColumns({"xs": F.transform("_v", lambda p: p["x"]), "ys": F.transform("_v", lambda p: p["y"])}).drop("_v")
 
 
 def cell(x: Column, size: float = 0.1) -> Column:
@@ -84,16 +84,3 @@ def pixel_centre(index: Column, origin: float, step: float) -> Column:
 def metres2_per_degree2(lat: float) -> float:
     """Area of a square degree at a latitude, on the sphere whose degree has 111,320 m; good to some 0.5 % for small areas."""
     return 111_320.0**2 * math.cos(math.radians(lat))
-
-
-@F.pandas_udf(DoubleType())
-def clipped_polygon_area(xs: pd.Series, ys: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    """Area of the part of a simple polygon within a box; null for a null polygon."""
-
-    def one(px, py, *box):
-        if px is None or py is None:
-            return None
-        v = np.array(clip_polygon(list(zip(px, py, strict=True)), *box)).reshape(-1, 2)
-        return abs(float(np.dot(v[:, 0], np.roll(v[:, 1], -1)) - np.dot(v[:, 1], np.roll(v[:, 0], -1)))) / 2
-
-    return pd.Series([one(*row) for row in zip(xs, ys, x0, y0, x1, y1, strict=True)], dtype="float64")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +31,45 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """True if every link leads straight to a root: no node has two links up, and none with a link up has one down."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(links.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up + down > 1").limit(1).count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) of the nodes of ``links`` (u, v: long)."""
     links = cut_lineage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
-        now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state or not now[0]:
-            roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
-        state = now
+    while not _settled(links):
         links = cut_lineage(_star(_star(links, True), False))
+    roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node to the smallest one of its component, for links that fit in memory; roots have none."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    of = list(range(len(nodes)))
+
+    def root(a: int) -> int:
+        while of[a] != a:
+            of[a] = a = of[of[a]]
+        return a
+
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        x, y = root(a), root(b)
+        of[max(x, y)] = min(x, y)
+    up = np.array([root(a) for a in range(len(nodes))], dtype=np.int64)
+    own = up != np.arange(len(nodes))
+    return nodes[own], nodes[up[own]]
+
+
+def forests(links: DataFrame, *group: str) -> DataFrame:
+    """u, v: a forest of the links (u, v: long) of each group, each group in one task."""
+
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        u, v = forest(df["u"].to_numpy(), df["v"].to_numpy())
+        return pd.DataFrame({"u": u, "v": v})
+
+    return links.groupBy(*group).applyInPandas(one, "u long, v long")

@@ -7,44 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import in_box, in_polygon
-
-
-#: Side of the cells by which pixels meet polygons.
-CELL = 16.0
-
-
-def _in_cells(shapes: DataFrame, margin: float = 0.0) -> DataFrame:
-    """``shapes`` (with a bounding box) once for each cell that their box, grown by ``margin`` to the low side, meets."""
-    along = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - margin) / CELL), F.floor(F.col(hi) / CELL)))
-    return shapes.withColumn("_sx", along("xmin", "xmax")).withColumn("_sy", along("ymin", "ymax"))
-
-
-def _meet(pixels: DataFrame, shapes: DataFrame, x: Column, y: Column, exact: Column, how: str) -> DataFrame:
-    """Pixels and shapes meet by cell, an equi-join at any size of either side; then comes the exact test."""
-    px = pixels.withColumn("_cx", F.floor(x / CELL)).withColumn("_cy", F.floor(y / CELL))
-    return px.join(shapes, (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & exact, how)
-
-
-def _inside(x: Column, y: Column) -> Column:
-    return in_box(x, y) & in_polygon(x, y, F.col("xs"), F.col("ys"))
-
-
-def burn(pixels: DataFrame, polygons: DataFrame, x: Column, y: Column, *keys: str) -> DataFrame:
-    """keys, crop: pixels whose centre lies in any polygon of that crop, each once."""
-    return _meet(pixels, _in_cells(polygons), x, y, _inside(x, y), "inner").select(*keys, "crop").distinct()
-
-
-def within(pixels: DataFrame, polygons: DataFrame, x: Column, y: Column, outside: bool = False) -> DataFrame:
-    """Pixels whose centre lies in any polygon, or in none."""
-    return _meet(pixels, _in_cells(polygons), x, y, _inside(x, y), "left_anti" if outside else "left_semi").drop("_cx", "_cy")
-
-
-def touched(pixels: DataFrame, boxes: DataFrame, *keys: str) -> DataFrame:
-    """keys of pixels whose square touches a box (columns xmin, xmax, ymin, ymax); exact for rectangles."""
-    x, y = F.col("col"), F.col("row")
-    exact = (x <= F.col("xmax")) & (x + 1 >= F.col("xmin")) & (y <= F.col("ymax")) & (y + 1 >= F.col("ymin"))
-    return _meet(pixels, _in_cells(boxes, 1.0), x, y, exact, "left_semi").select(*keys)
+#: Columns of a block: no window sorts more pixels than a row of a block has. Rows of a strip: no task joins more runs than a strip of a block has.
+BLOCK, STRIP = 4096, 256
 
 
 def eroded(mask: DataFrame, *group: str) -> DataFrame:
@@ -63,23 +27,50 @@ def unambiguous(claims: DataFrame, *keys: str) -> DataFrame:
     return claims.groupBy(*keys).agg(F.count_distinct("crop").alias("n"), F.min("crop").alias("crop")).where("n = 1").drop("n")
 
 
+def with_runs(mask: DataFrame) -> DataFrame:
+    """row, col, block, start of the pixels of ``mask``: start is the first column of the pixel's run in its row; runs end at blocks."""
+    px = mask.select("row", "col").distinct().withColumn("block", F.floor(F.col("col") / BLOCK))
+    order = Window.partitionBy("row", "block").orderBy("col")
+    new = F.when(F.coalesce(F.lag("col").over(order) != F.col("col") - 1, F.lit(True)), F.col("col"))
+    return px.withColumn("_new", new).select("row", "col", "block", F.last("_new", ignorenulls=True).over(order).alias("start"))
+
+
+def run_links(runs: DataFrame) -> DataFrame:
+    """u, v: links between the runs (row, block, start, end, node) of a mask that meet along an edge of pixels.
+
+    Of two runs that overlap in neighbouring rows one begins within the other, so each run looks for the last one
+    that begins no later than it in the rows above and below; that one lies next to it if it also ends no earlier.
+    """
+    asks = runs.select("*", F.explode(F.array(F.lit(-1), F.lit(1))).alias("_to")).select((F.col("row") + F.col("_to")).alias("row"), "block", F.col("start").alias("at"), F.lit(1).alias("asks"), F.col("node").alias("u"), F.lit(None).cast("struct<node: long, end: long>").alias("has"))
+    has = F.struct(F.col("node").cast("long").alias("node"), F.col("end").cast("long").alias("end"))
+    holds = runs.select("row", "block", F.col("start").alias("at"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("u"), has.alias("has"))
+    order = Window.partitionBy("row", "block").orderBy("at", "asks")
+    met = holds.unionByName(asks).withColumn("last", F.last("has", ignorenulls=True).over(order))
+    beside = met.where((F.col("asks") == 1) & (F.col("last.end") >= F.col("at"))).select("u", F.col("last.node").alias("v"))
+    ends = runs.where(F.col("end") % BLOCK == BLOCK - 1).select("row", (F.col("end") + 1).alias("start"), F.col("node").alias("u"))
+    return beside.unionByName(ends.join(runs.where(F.col("start") % BLOCK == 0).select("row", "start", F.col("node").alias("v")), ["row", "start"]).select("u", "v"))
+
+
 def sieved(mask: DataFrame, least: int) -> DataFrame:
     """row, col, comp, size of the 4-connected components of ``mask``, small ones marked by ``removed``.
 
-    Components are found with star contraction over neighbour links, which takes
-    a number of rounds that grows with the logarithm of a component's size.
+    The graph has a node a run of pixels in a row, named by its first pixel, not a node a pixel. Runs are contracted within
+    strips of ``STRIP`` rows of a block, whose size is bounded, and what is left between strips by star contraction, which takes
+    a number of rounds that grows with the logarithm of the strips that a component spans.
     """
-    from .graph import components
-
-    key = lambda r, c: F.expr(f"({r}) * 4294967296 + ({c})")
-    px = mask.select("row", "col").distinct().withColumn("node", key("row", "col"))
-    near = px.select("node", F.explode(F.array(key("row", "col + 1"), key("row + 1", "col"))).alias("other"))
-    own = px.select(F.col("node").alias("other"))
-    links = near.join(own, "other", "left_semi").select(F.col("other").alias("u"), F.col("node").alias("v"))
-    comp = components(links)
-    px = px.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("root", "node"))
-    sizes = px.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    return px.join(sizes, "comp").select("row", "col", "comp", "size", (F.col("size") < least).alias("removed"))
+    from .graph import components, cut_lineage, forests
+
+    px = cut_lineage(with_runs(mask).withColumn("node", F.expr("row * 4294967296 + start")))
+    runs = px.groupBy("row", "block", "start", "node").agg(F.max("col").alias("end"), F.count(F.lit(1)).alias("n"))
+    runs = cut_lineage(runs)
+    links = run_links(runs).withColumn("strip", F.expr(f"u div {STRIP << 32}")).withColumn("block", F.expr(f"u % 4294967296 div {BLOCK}"))
+    inner = F.expr(f"v div {STRIP << 32} = strip and v % 4294967296 div {BLOCK} = block")
+    links = cut_lineage(links.withColumn("inner", inner))
+    comp = components(forests(links.where("inner"), "strip", "block").union(links.where("not inner").select("u", "v"))).withColumnRenamed("node", "_n")
+    comp = runs.join(comp, F.col("node") == F.col("_n"), "left").select("node", "n", F.coalesce("root", "node").alias("comp"))
+    sizes = comp.groupBy("comp").agg(F.sum("n").alias("size"))
+    of = comp.join(sizes, "comp").select(F.col("node").alias("_n"), "comp", "size")
+    return px.join(of, F.col("node") == F.col("_n")).select("row", "col", "comp", "size", (F.col("size") < least).alias("removed"))
 
 
 def mosaic(tiles: list[DataFrame], *keys: str) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import curve as c
 from ..functions.geo import pixel_centre
 from . import raster as r
+from . import scanline
 
 
 def labels_of(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
     """row, col, crop: pixels that lie in polygons of one crop, once the border of each crop is taken away."""
-    claims = r.burn(pixels.select("row", "col"), polygons, F.col("col") + 0.5, F.col("row") + 0.5, "row", "col")
+    claims = scanline.burn(pixels, polygons)
     return r.unambiguous(r.eroded(claims, "crop"), "row", "col")
 
 

@@ -100,8 +100,8 @@ def polygon_acres(spark, sf_dir):
     lon, lat = geo.centroid(F.col("xs"), F.col("ys"))
     along = lambda v, name: F.explode(F.sequence(geo.cell(F.array_min(v)), geo.cell(F.array_max(v)))).alias(name)
     d = t.select("*", lon.alias("lon"), lat.alias("lat")).select("*", along("xs", "i")).select("*", along("ys", "j"))
-    part = geo.clipped_polygon_area("xs", "ys", F.col("i") * 0.1, F.col("j") * 0.1, (F.col("i") + 1) * 0.1, (F.col("j") + 1) * 0.1)
-    by = d.withColumn("part", part).groupBy("id").agg((F.sum("part") * geo.metres2_per_degree2(28.5) / ACRE_M2).alias("acres"), F.first("lon").alias("lon"), F.first("lat").alias("lat"))
+    d = geo.clipped_to_box(d, F.col("i") * 0.1, F.col("j") * 0.1, (F.col("i") + 1) * 0.1, (F.col("j") + 1) * 0.1)
+    by = d.withColumn("part", F.when(F.size("xs") > 2, geo.area(F.col("xs"), F.col("ys"))).otherwise(0.0)).groupBy("id").agg((F.sum("part") * geo.metres2_per_degree2(28.5) / ACRE_M2).alias("acres"), F.first("lon").alias("lon"), F.first("lat").alias("lat"))
     return by.select("id", F.round("acres", 4).alias("acres"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 

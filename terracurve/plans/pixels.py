@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster as r
+from ..operators import scanline
 from ..schema import PIXEL_ACRES
-from ..sources.adapters import GRID_SQL, POLYGONS, grid, polygons
+from ..sources.adapters import GRID_SQL, POLYGONS, STARS_SQL, grid, polygons, stars
 from .registry import query
 
 KEYS = ("row", "col")
 
 
-def _centre():
-    return F.col("col") + 0.5, F.col("row") + 0.5
-
-
 def _edges_sql(name: str, shapes) -> str:
     rows = []
     for n, (crop, v) in enumerate(shapes):
@@ -44,20 +41,39 @@ def _touch_sql(boxes) -> str:
 
 @query(f'with {GRID_SQL}, {_EDGES} select "row", col, crop from ({_inside_sql("edges", "grid")})')
 def point_in_polygon(spark, sf_dir):
-    return r.burn(grid(spark, sf_dir), polygons(spark), *_centre(), *KEYS)
+    return scanline.burn(grid(spark, sf_dir), polygons(spark))
+
+
+_RAY = """select distinct "row", col{crop} from (select g."row", g.col, s.crop, s.id from grid g join star s on (y1 > g."row" + 0.5) <> (y2 > g."row" + 0.5)
+ and g.col + 0.5 < (x2 - x1) * (g."row" + 0.5 - y1) / (y2 - y1) + x1 group by all having count(*) % 2 = 1)"""
+
+
+@query(f"with {GRID_SQL}, {STARS_SQL} {_RAY.format(crop=', crop')}")
+def scanline_burn(spark, sf_dir):
+    """Pixels whose centre lies in a field, by crop."""
+    return scanline.burn(grid(spark, sf_dir), stars(spark, sf_dir))
+
+
+# A segment meets a square if neither a side of the square nor the segment's own line lies between them.
+@query(f"""with {GRID_SQL}, {STARS_SQL}, side as (select distinct g."row", g.col from grid g join star on least(x1, x2) <= col + 1 and greatest(x1, x2) >= col and least(y1, y2) <= "row" + 1 and greatest(y1, y2) >= "row"
+ and abs((x2 - x1) * ("row" + 0.5 - y1) - (y2 - y1) * (col + 0.5 - x1)) <= (abs(x2 - x1) + abs(y2 - y1)) / 2)
+select "row", col from side union {_RAY.format(crop="")}""")
+def pixel_touch_polygons(spark, sf_dir):
+    """Pixels whose square meets a field, slanted sides and corners included."""
+    return scanline.touched(grid(spark, sf_dir), stars(spark, sf_dir))
 
 
 @query(f'with {GRID_SQL} select "row", col from grid where {_touch_sql(_BOXES)}')
 def pixel_touch_join(spark, sf_dir):
-    return r.touched(grid(spark, sf_dir), polygons(spark, _BOXES), *KEYS)
+    return scanline.touched(grid(spark, sf_dir), polygons(spark, _BOXES))
 
 
 @query(f"""with {GRID_SQL}, {_edges_sql("aoi", _AOI)}, {_edges_sql("val", _VALIDATION)}, a as ({_inside_sql("aoi", "grid")}), v as ({_inside_sql("val", "grid")})
 select "row", col, "class" from grid where ("row", col) in (select "row", col from a) and ("row", col) not in (select "row", col from v) and "class" <> 255""")
 def inside_mask_outside_anti(spark, sf_dir):
     df = grid(spark, sf_dir).where("class <> 255")
-    aoi = r.within(df, polygons(spark, _AOI), *_centre())
-    return r.within(aoi, polygons(spark, _VALIDATION), *_centre(), outside=True).select("row", "col", "class")
+    aoi = scanline.within(df, polygons(spark, _AOI))
+    return scanline.within(aoi, polygons(spark, _VALIDATION), outside=True).select("row", "col", "class")
 
 
 _GOLDEN = [("cotton", [(2.1, 2.1), (7.9, 2.1), (7.9, 7.9), (2.1, 7.9)]), ("rice", [(12.1, 12.1), (17.9, 12.1), (17.9, 17.9), (12.1, 17.9)]), ("sugarcane", [(15.1, 12.1), (19.9, 12.1), (19.9, 17.9), (15.1, 17.9)])]
@@ -69,7 +85,7 @@ one as (select "row", col, min(crop) crop from er group by all having count(*) =
 def burn_erode_ambiguity(spark, sf_dir):
     """The hand-countable raster of 20 by 20, once for each region."""
     px = spark.range(400).select(F.expr("cast(id div 20 as int)").alias("row"), (F.col("id") % 20).cast("int").alias("col"))
-    claims = r.eroded(r.burn(px, polygons(spark, _GOLDEN), *_centre(), *KEYS), "crop")
+    claims = r.eroded(scanline.burn(px, polygons(spark, _GOLDEN)), "crop")
     counts = r.unambiguous(claims, *KEYS).groupBy("crop").agg(F.count(F.lit(1)).alias("n"))
     regions = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name")
     return regions.join(F.broadcast(counts), F.lit(True)).select("crop", "n", "r_name")
@@ -96,7 +112,7 @@ _SIEVE_AOI = "col < 36"
 select round(b * {PIXEL_ACRES}::double, 6) before, round(rm * {PIXEL_ACRES}::double, 6) removed, round((b - rm) * {PIXEL_ACRES}::double, 6) "after", round(coalesce(100.0::double * rm / nullif(b, 0), 0), 6) removed_pct from s""")
 def mask_erase_stats(spark, sf_dir):
     g = grid(spark, sf_dir)
-    marked = r.erased(g, r.touched(g, polygons(spark, _BOXES), *KEYS), 1, 4, *KEYS)
+    marked = r.erased(g, scanline.touched(g, polygons(spark, _BOXES)), 1, 4, *KEYS)
     stats = r.erase_stats(marked, F.expr(_SIEVE_AOI), 1, PIXEL_ACRES)
     return stats.select(*(F.round(c, 6).alias(c) for c in stats.columns))
 
@@ -106,7 +122,7 @@ select crop, count(*) ref_pixels, round(count(*) * {PIXEL_ACRES}::double, 6) ref
 from burned join mp using ("row", col), t group by crop""")
 def raster_scores(spark, sf_dir):
     g = grid(spark, sf_dir)
-    got = r.scored(g, r.burn(g, polygons(spark), *_centre(), *KEYS), 1, 255, PIXEL_ACRES, *KEYS)
+    got = r.scored(g, scanline.burn(g, polygons(spark)), 1, 255, PIXEL_ACRES, *KEYS)
     return got.select("crop", "ref_pixels", *(F.round(c, 6).alias(c) for c in ("ref_acres", "pct_mapped", "map_pct")), "mapped")
 
 

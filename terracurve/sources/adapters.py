@@ -75,12 +75,31 @@ POLYGONS = [
 
 
 def polygons(spark: SparkSession, shapes=POLYGONS) -> DataFrame:
-    """crop, xs, ys and bounding box."""
-    rows = [(c, [float(x) for x, _ in v], [float(y) for _, y in v]) for c, v in shapes]
-    df = spark.createDataFrame(rows, "crop string, xs array<double>, ys array<double>")
+    """id, crop, xs, ys and bounding box."""
+    rows = [(n, c, [float(x) for x, _ in v], [float(y) for _, y in v]) for n, (c, v) in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "id int, crop string, xs array<double>, ys array<double>")
     return df.select("*", F.array_min("xs").alias("xmin"), F.array_max("xs").alias("xmax"), F.array_min("ys").alias("ymin"), F.array_max("ys").alias("ymax"))
 
 
+#: Crops of the fields of ``stars``, and the directions of their corners.
+CROPS = ["cotton", "rice", "sugarcane", "fall_maize", "orchard"]
+_AROUND = [(5, 0), (3, 4), (0, 5), (-4, 3), (-5, 0), (-3, -4), (0, -5), (4, -3)]
+
+
+def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, crop, xs, ys: fields of eight corners, few of them convex, in the pixels of ``grid``; one for each supplier."""
+    k = F.col("s_suppkey")
+    x, y = 3.137 + (k * 37 % 45), 0.291 + k * 0.4
+    far = lambda j: (1 + (k * ((j + 3) * 7) + j * j) % 9) / 4.0
+    at = lambda c, i: F.array(*(c + v[i] * far(j) for j, v in enumerate(_AROUND)))
+    crop = F.element_at(F.array(*map(F.lit, CROPS)), (k % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "supplier").select(k.alias("id"), crop.alias("crop"), at(x, 0).alias("xs"), at(y, 1).alias("ys"))
+
+
+STARS_SQL = f"""around(j, dx, dy) as (values {", ".join(f"({j}, {x}, {y})" for j, (x, y) in enumerate(_AROUND))}),
+corner as (select s_suppkey id, {CROPS!r}[1 + s_suppkey % 5] crop, j, 3.137::double + (s_suppkey * 37 % 45) + dx * ((1 + (s_suppkey * ((j + 3) * 7) + j * j) % 9) / 4.0::double) x,
+ 0.291::double + s_suppkey * 0.4::double + dy * ((1 + (s_suppkey * ((j + 3) * 7) + j * j) % 9) / 4.0::double) y from supplier, around),
+star as (select a.id, a.crop, a.j, a.x x1, a.y y1, b.x x2, b.y y2 from corner a join corner b on a.id = b.id and b.j = (a.j + 1) % {len(_AROUND)})"""
 TS_SQL = """ts as (select l_suppkey entity, ((l_shipdate::date - date '1997-03-24') // 8 + 1)::int k, sum(case when l_returnflag = 'R' then l_quantity else 0 end)::double red,
  sum(case when l_returnflag <> 'R' then l_quantity else 0 end)::double nir from lineitem where l_shipdate >= timestamp '1997-03-24' and l_shipdate < timestamp '1997-12-29' group by all),
 nd as (select entity, k, date '1997-04-01' + (k - 1) * 8 end_date, red, nir, case when nir + red > 0 then (nir - red) / (nir + red) end nd from ts)"""

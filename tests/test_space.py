@@ -46,8 +46,10 @@ def test_geometry(spark):
     x, y = geo.centroid(F.col("xs"), F.col("ys"))
     r = df.select(geo.area(F.col("xs"), F.col("ys")).alias("a"), x.alias("x"), y.alias("y"), geo.clipped_area(F.col("xs"), F.col("ys"), F.lit(1.0), F.lit(1.0), F.lit(9.0), F.lit(9.0)).alias("c")).first()
     assert tuple(r) == (8.0, 2.0, 1.0, 3.0)
-    cut = geo.clip_polygon([(0, 0), (4, 0), (2, 4)], 0, 0, 4, 2)
-    assert abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(cut, cut[1:] + cut[:1], strict=True))) / 2 == pytest.approx(6)
+    rows = [([0.0, 4.0, 2.0], [0.0, 0.0, 4.0], 6.0), ([1.0, 3.0, 3.0], [1.0, 1.0, 1.5], 0.5), ([9.0, 10.0, 9.0], [0.0, 0.0, 1.0], None), ([-9.0, 9.0, 9.0, -9.0], [-9.0, -9.0, 9.0, 9.0], 8.0)]
+    cut = geo.clipped_to_box(spark.createDataFrame(rows, "xs array<double>, ys array<double>, want double"), *map(F.lit, (0.0, 0.0, 4.0, 2.0)))
+    for r in cut.select("want", F.size("xs").alias("n"), F.when(F.size("xs") > 2, geo.area(F.col("xs"), F.col("ys"))).alias("got")).collect():
+        assert r["n"] == 0 if r["want"] is None else r["got"] == pytest.approx(r["want"])
 
 
 def cell(i, j, score, south=False, **classes):
