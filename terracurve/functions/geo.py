@@ -32,8 +32,9 @@ def boxes_meet(a: str, b: str, buffer: float = 0.0) -> Column:
 
 
 def area(xs: Column, ys: Column) -> Column:
-    """Shoelace area."""
-    return F.abs(F.aggregate(edges(xs, ys), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])) / 2
+    """Shoelace area, from the first vertex, so that a small polygon far from the origin loses no digits."""
+    x, y = F.get(xs, F.lit(0)), F.get(ys, F.lit(0))
+    return F.abs(F.aggregate(edges(xs, ys), F.lit(0.0), lambda s, e: s + (e["x1"] - x) * (e["y2"] - y) - (e["x2"] - x) * (e["y1"] - y))) / 2
 
 
 def centroid(xs: Column, ys: Column) -> tuple[Column, Column]:

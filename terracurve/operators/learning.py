@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 from statistics import mean, median, pstdev
 
 from pyspark import __version__
@@ -11,7 +13,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import ContractError, require_dates
 from . import evaluate
+from .graph import cut_lineage
 
 #: Spark's trees are at most 30 deep.
 MAX_DEPTH = 30
@@ -76,17 +80,28 @@ def assign_folds(counts: dict, folds: int, seed: int = 42) -> dict:
     return out
 
 
+#: Groups up to which their table of folds is broadcast; rows then keep their order, and forests of one seed are the same again.
+BROADCAST_GROUPS = 10_000
+
+
+def with_folds(df: DataFrame, group: str, fold: dict) -> DataFrame:
+    """``df`` with the fold of its group, by a join; rows of other groups are left out."""
+    kind = next(t for n, t in df.dtypes if n == group)
+    table = df.sparkSession.createDataFrame(list(fold.items()), f"`{group}` {kind}, fold int")
+    return df.join(F.broadcast(table) if len(fold) <= BROADCAST_GROUPS else table, group)
+
+
 def hold_out(df: DataFrame, group: str, share: float = 0.25, seed: int = 42, label: str = "label") -> tuple[DataFrame, DataFrame, list]:
     """Training and held-out rows with no group in common, and the classes that the held-out rows lack."""
     counts = group_counts(df, group, label)
     if len(counts) < 2:
         raise ValueError("at least two groups are needed")
     fold = assign_folds(counts, fold_number(counts, share), seed)
-    test = [g for g, f in fold.items() if f == 0]
-    here = set().union(*(counts[g] for g in test))
+    here = set().union(*(counts[g] for g, f in fold.items() if f == 0))
     if len(here) < 2:
         raise ValueError("the held-out groups have fewer than two classes")
-    return df.where(~F.col(group).isin(test)), df.where(F.col(group).isin(test)), sorted(set().union(*counts.values()) - here)
+    rows = with_folds(df, group, fold)
+    return rows.where("fold <> 0").drop("fold"), rows.where("fold = 0").drop("fold"), sorted(set().union(*counts.values()) - here)
 
 
 def macro_f1(pred: DataFrame) -> float:
@@ -94,25 +109,75 @@ def macro_f1(pred: DataFrame) -> float:
     return evaluate.summary(evaluate.report(evaluate.confusion(pred))).first()["macro_f1"] or 0.0
 
 
-def search(df: DataFrame, group: str, trials: int, folds: int = 3, seed: int = 42, space: dict | None = None) -> list[dict]:
-    """Random search with fixed folds. A trial ends early if, after its second fold, its running mean lies below the median
-    of earlier trials at that fold. No trials: the defaults, with no value."""
+#: Trials that are drawn at random before densities are used, values that are drawn from the good density at each, and the most trials that count as good.
+START, DRAWS, GOOD = 10, 24, 25
+#: Times that values are drawn again if they were tried before: folds and seeds are fixed, so they would score the same.
+AGAIN = 20
+
+
+def _density(values: list, seen: list) -> list[float]:
+    """Weight of each value: a uniform prior of one trial, and a bump around each of ``seen``; numbers are near each other by rank, other values aren't."""
+    if not all(isinstance(v, (int, float)) for v in values):
+        return [1 / len(values) + seen.count(v) for v in values]
+    places = sorted(values.index(v) for v in seen)
+    weights = [1 / len(values)] * len(values)
+    for n, p in enumerate(places):
+        # As wide as the gap to the farther neighbour, but no narrower than the range over the number of trials.
+        gaps = [places[n] - places[n - 1] if n else p, places[n + 1] - p if n + 1 < len(places) else len(values) - 1 - p]
+        width = max(*gaps, (len(values) - 1) / min(100, len(places) + 1), 0.5)
+        bump = [math.exp(-(((k - p) / width) ** 2) / 2) for k in range(len(values))]
+        total = sum(bump)
+        weights = [w + b / total for w, b in zip(weights, bump, strict=True)]
+    return weights
+
+
+def suggested(space: dict[str, list], tried: list[tuple[dict, float]], rng: random.Random) -> dict:
+    """Values for the next trial by tree-structured Parzen estimators. ``tried``: values and score, higher ones better.
+
+    The best fifth of the trials makes the good density of a parameter and the rest the bad one; of some values drawn
+    from the good one, that with the largest ratio of the two is taken, which is where the expected improvement is largest.
+    """
+    if len(tried) < START:
+        return {k: rng.choice(list(v)) for k, v in space.items()}
+    order = [p for p, _ in sorted(tried, key=lambda t: -t[1])]
+    cut = min(math.ceil(len(order) / 5), GOOD)
+    values = {name: list(choices) for name, choices in space.items()}
+    both = {name: [_density(own, [p[name] for p in part]) for part in (order[:cut], order[cut:])] for name, own in values.items()}
+    for _ in range(AGAIN):
+        drawn = {name: rng.choices(range(len(own)), both[name][0], k=DRAWS) for name, own in values.items()}
+        out = {name: values[name][max(ks, key=lambda k, d=both[name]: d[0][k] / d[1][k])] for name, ks in drawn.items()}
+        if out not in order:
+            break
+    return out
+
+
+#: Values of the parameters that a search tries; splits of fewer rows than a number aren't a parameter of Spark's trees.
+SPACE = {"trees": range(150, 501, 50), "depth": range(8, MAX_DEPTH + 1), "leaf": range(1, 13), "features": ["sqrt", "log2", "0.3"]}
+
+
+def search(df: DataFrame, group: str, trials: int, folds: int = 3, seed: int = 42, space: dict | None = None, sampler: str = "tpe") -> list[dict]:
+    """Search with fixed folds, by Parzen estimators or (``sampler="random"``) at random. A trial ends early if, after its second
+    fold, its running mean lies below the median of earlier trials at that fold. No trials: the defaults, with no value.
+
+    Rows are computed once, with their folds.
+    """
     if trials <= 0:
         return [DEFAULTS | {"value": None, "pruned": False}]
-    space = space or {"trees": range(150, 501, 50), "depth": range(8, MAX_DEPTH + 1), "leaf": range(1, 13), "features": ["sqrt", "log2", "0.3"]}
+    space = space or SPACE
     counts = group_counts(df, group)
     fold = assign_folds(counts, max(2, min(folds, len(counts))), seed)
+    rows = cut_lineage(with_folds(df.select("features", "label", group), group, fold))
     names = sorted(set(fold.values()))
-    parts = [(df.where(~F.col(group).isin(own)), df.where(F.col(group).isin(own))) for f in names if (own := [g for g, x in fold.items() if x == f])]
     rng, found, at_step = random.Random(seed), [], {}
     for _ in range(trials):
-        params = {k: rng.choice(list(v)) for k, v in space.items()}
+        tried = [({k: t[k] for k in space}, t["value"]) for t in found] if sampler == "tpe" else []
+        params = suggested(space, tried, rng)
         values, pruned = [], False
-        for step, (train, test) in enumerate(parts):
-            model = fit(balanced(train), **params, seed=seed)
-            values.append(macro_f1(predict(model, test)))
+        for step, f in enumerate(names):
+            model = fit(balanced(rows.where(F.col("fold") != f)), **params, seed=seed)
+            values.append(macro_f1(predict(model, rows.where(F.col("fold") == f))))
             seen = at_step.setdefault(step, [])
-            pruned = step >= 1 and bool(seen) and step < len(parts) - 1 and mean(values) < median(seen)
+            pruned = step >= 1 and bool(seen) and step < len(names) - 1 and mean(values) < median(seen)
             seen.append(mean(values))
             if pruned:
                 break
@@ -122,6 +187,7 @@ def search(df: DataFrame, group: str, trials: int, folds: int = 3, seed: int = 4
 
 def k_fold(df: DataFrame, key: Column, folds: int = 3, seed: int = 42, **params) -> list[float]:
     """Macro F1 of each fold; rows are dealt to the folds in the order of a seeded hash of ``key``."""
+    df = cut_lineage(df)
     own = F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(folds))
     return [macro_f1(predict(fit(balanced(df.where(own != f)), seed=seed, **params), df.where(own == f))) for f in range(folds)]
 
@@ -134,6 +200,19 @@ def load(path: str) -> RandomForestClassificationModel:
     return RandomForestClassificationModel.load(path)
 
 
+def check_card(columns: list[str], codes: dict[str, int], card: dict) -> list[str]:
+    """The feature columns that a model of this card reads, in its order; refuses a table whose dates are missing, out of order or not
+    the card's, and class codes that mean something else than they did."""
+    require_dates(columns, card["dates"], "the table")
+    dated = [c for c in columns if re.fullmatch(r"\d{4}-\d\d-\d\d", c)]
+    if dated != card["dates"]:
+        raise ContractError(f"the table has {len(dated)} dates, the model was made for {len(card['dates'])}")
+    changed = sorted(k for k in card["codes"].keys() | codes.keys() if card["codes"].get(k) != codes.get(k))
+    if changed:
+        raise ContractError(f"codes differ from the model's: {changed}")
+    return card["dates"]
+
+
 def importance(spark, model, dates: list) -> DataFrame:
     """place, date, importance: one row a date."""
     rows = [(i, d, float(x)) for i, (d, x) in enumerate(zip(dates, model.featureImportances.toArray(), strict=True))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cells, chains, curves, learning, mapping, overlay, pixels, sampling, scoring, utility  # noqa: F401
+from . import cells, chains, curves, learning, mapping, overlay, pixels, sampling, scoring, storage, utility  # noqa: F401
 from .registry import QUERIES, SQL
 
 
