@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from .common import own_dir, sieve, sieved, table, written
 
 LEAST = 1000
-#: Bytes between two wanted records that are read with them; bytes of a read; bytes of a file that one task reads; bytes of an archive.
-GAP, SPAN, STRETCH, ARCHIVE = 64 << 10, 4 << 20, 64 << 20, 1 << 30
+#: Bytes between two wanted records that are read with them; bytes of a read; bytes of a stretch; bytes of an archive; bytes that a task reads, if that makes more tasks than a shuffle has.
+GAP, SPAN, STRETCH, ARCHIVE, TASK = 64 << 10, 4 << 20, 16 << 20, 1 << 30, 256 << 20
 #: Bytes of payloads that go to or from Spark at a time.
 OUT_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -215,8 +215,11 @@ def _fetched(batches: Iterator[pa.RecordBatch], gap: int, span: int, payloads: b
 def fetched(index: DataFrame, payloads: bool = True, gap: int = GAP, span: int = SPAN, stretch: int = STRETCH) -> DataFrame:
     """The records (columns of ``RECORD``) that the rows of ``index`` name, URLs as they stand in the archive; without
     ``payloads`` these are read and checked, but not returned."""
+    spark = index.sparkSession
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))  # the index is small, what it leads to isn't
     part = F.expr(f"offset div {stretch}")
-    dealt = index.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset")
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", part).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(lambda batches: _fetched(batches, gap, span, payloads), RECORD)
 
 
