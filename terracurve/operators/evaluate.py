@@ -32,9 +32,17 @@ def summary(rep: DataFrame) -> DataFrame:
 
 
 def rates(df: DataFrame, prob: str, cuts: list[float], *keys: str) -> DataFrame:
-    """keys, cut, pct: hundredths of rows with prob >= cut. Cuts are a short list; rows are counted before the shuffle."""
-    each = df.select(*keys, prob, F.explode(F.array(*(F.lit(c) for c in cuts))).alias("cut"))
-    return each.groupBy(*keys, "cut").agg((100 * F.avg((F.col(prob) >= F.col("cut")).cast("double"))).alias("pct"))
+    """keys, cut, pct: hundredths of rows with prob >= cut; null where no row of the keys has a prob.
+
+    Rows are counted once, by the number of cuts they reach; a cut's count is that of all rows that reach it or a later one.
+    """
+    cuts = sorted(cuts)
+    reached = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: F.col(prob) >= c))
+    counts = df.groupBy(*keys, F.when(F.col(prob).isNotNull(), reached).alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    by = counts.groupBy(*keys).agg(F.collect_list(F.struct("_r", "_n")).alias("_b"))  # one for each cut at most
+    total = lambda least: F.aggregate(F.filter("_b", lambda b: b["_r"] >= least), F.lit(0).cast("long"), lambda s, b: s + b["_n"])
+    each = by.select(*keys, "_b", F.posexplode(F.array(*(F.lit(c) for c in cuts))).alias("_i", "cut"))
+    return each.select(*keys, "cut", (100 * (total(F.col("_i") + 1) / F.nullif(total(F.lit(0)), F.lit(0)))).alias("pct"))
 
 
 CUTS = [round(0.05 + 0.025 * i, 3) for i in range(37)]

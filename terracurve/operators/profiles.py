@@ -49,7 +49,11 @@ def scores(curves: DataFrame, sharpness: float, profiles: DataFrame | None = Non
     One pass over the distances keeps the least one, its class (the smaller one
     of equals) and the sum of exponentials relative to it.
     """
-    df = profile_distances(curves, median_profiles(curves) if profiles is None else profiles)
+    return softmax(profile_distances(curves, median_profiles(curves) if profiles is None else profiles), sharpness)
+
+
+def softmax(df: DataFrame, sharpness: float) -> DataFrame:
+    """``scores`` of a frame that has its dists."""
     start = F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast("int").alias("cls"), F.lit(0.0).alias("s"))
 
     def step(a, x):
@@ -120,6 +124,10 @@ def drop_near(curves: DataFrame, profiles: DataFrame, positive: int) -> DataFram
     return nearest(profile_distances(curves, profiles)).where(F.col("nearest") != positive).select(*curves.columns)
 
 
+#: Slices of the ranks of a class and place, each of which is one task's work.
+RANK_SLICES = 256
+
+
 def medians_without(curves: DataFrame, group: str) -> DataFrame:
     """held, label, profile: for each group and each class in it, the class's exact medians over the rows of all other groups; null if there are none.
 
@@ -136,11 +144,14 @@ def medians_without(curves: DataFrame, group: str) -> DataFrame:
     passed = F.sum(F.when(F.col("before") - F.col("own") <= F.col("t"), F.col("c")).otherwise(0))
     # Both ranks of a pair may be one and the same; then they count once, which gives the same mean.
     wanted = cut_lineage(ranked.join(rest.where("m > 0").distinct(), ["label", "pos", "held"]).groupBy("label", "pos", "held", "t").agg(passed.alias("j")).select("label", "pos", "held", F.expr("t + j").alias("at")))
-    span = wanted.groupBy("label", "pos").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    near = ranked.join(span, ["label", "pos"]).where("before <= last and before + c > first")
-    events = near.select("label", "pos", F.col("before").alias("at"), F.lit(0).alias("kind"), "x", F.lit(None).cast(curves.schema[group].dataType).alias("held"))
-    events = events.unionByName(wanted.select("label", "pos", "at", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("x"), "held"))
-    value = F.last("x", True).over(Window.partitionBy("label", "pos").orderBy("at", "kind"))
+    # A value stands for the ranks from before on, c of them. Ranks lie in slices of a class and place, and a value in every slice that its ranks reach.
+    span = wanted.groupBy("label", "pos").agg(F.min("at").alias("first"), F.max("at").alias("last")).join(n, ["label", "pos"])
+    part = lambda at: F.expr(f"({at}) * {RANK_SLICES} div n")
+    near = ranked.join(span, ["label", "pos"]).where("before <= last and before + c > first").withColumn("slice", F.explode(F.sequence(part("before"), part("before + c - 1"))))
+    events = near.select("label", "pos", "slice", F.col("before").alias("at"), F.lit(0).alias("kind"), "x", F.lit(None).cast(curves.schema[group].dataType).alias("held"))
+    asked = wanted.join(n, ["label", "pos"]).select("label", "pos", part("at").alias("slice"), "at", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("x"), "held")
+    events = events.unionByName(asked)
+    value = F.last("x", True).over(Window.partitionBy("label", "pos", "slice").orderBy("at", "kind"))
     medians = events.withColumn("v", value).where("kind = 1").groupBy("held", "label", "pos").agg(F.avg("v").alias("m"))
     known = medians.groupBy("held", "label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("p")).select("held", "label", F.transform("p", lambda s: s["m"]).alias("profile"))
     gone = rest.where("m = 0").select("held", "label").distinct().select("held", "label", F.lit(None).cast("array<double>").alias("profile"))

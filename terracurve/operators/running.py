@@ -26,12 +26,16 @@ def running_total(df: DataFrame, group: list[str], slice_by: str, order: list[st
     return joined.drop("_w", "_b", *(f"_k{i}" for i in range(len(group) + 1)))
 
 
-#: Bins of a unit of value, by which the values of a group are counted before any of them is sorted.
-BINS = 256
+#: Bins of the values between a power of two and the next one, by which the values of a group are counted before any of them is sorted.
+BINS = 1024
 
 
 def value_bin(x: Column) -> Column:
-    return F.floor(x * BINS)
+    """Bins in the order of the values, from their leading digits, so that they are as fine for small values as for large ones. 0 is a bin of its own."""
+    power = F.floor(F.log2(F.abs(x)))
+    # Where the logarithm is rounded up to the next power, the second term is short by as much.
+    size = (power + 1100) * BINS + F.floor(F.abs(x) / F.pow(F.lit(2.0), power) * BINS) - BINS
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * size).cast("long")
 
 
 def quantiles(df: DataFrame, keys: list[str], shares: list[float], x: str = "x") -> DataFrame:

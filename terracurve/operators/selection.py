@@ -50,9 +50,9 @@ def two_lists(cells: DataFrame, value: str, region: Column, n: int, m: int) -> D
 def first_region_acres(points: DataFrame, *keys: str) -> DataFrame:
     """keys, first_acres, all_acres. ``points``: keys, id, rank of a region that holds the point, acres; a point in several
     regions has several rows. first_acres counts a cell in the first region it appears in; all_acres counts each point once."""
-    first = Window.partitionBy(*keys)
-    df = points.withColumn("_f", F.min("rank").over(first)).withColumn("_o", F.min("rank").over(Window.partitionBy(*keys, "id")))
-    return df.groupBy(*keys).agg(F.sum(F.when(F.col("rank") == F.col("_f"), F.col("acres"))).alias("first_acres"), F.sum(F.when(F.col("rank") == F.col("_o"), F.col("acres"))).alias("all_acres"))
+    own = points.groupBy(*keys, "id").agg(F.min("rank").alias("rank"), F.min_by("acres", "rank").alias("acres"))
+    by = own.groupBy(*keys, "rank").agg(F.sum("acres").alias("_a"))  # one row a region
+    return by.groupBy(*keys).agg(F.min_by("_a", "rank").alias("first_acres"), F.sum("_a").alias("all_acres"))
 
 
 @dataclass(frozen=True)
@@ -87,29 +87,39 @@ def _south(cell: dict) -> bool:
 CELL_RULES = [Rule(_south, SOUTH_MIN, d) for d in (3, 2, 1)] + [Rule(_anywhere, WANT, d, SOUTH_MAX) for d in (3, 2, 1)]
 
 
-def pilot_and_rest(selected: list[dict], classes: Iterable[str] = REQUIRED) -> tuple[list[dict], list[dict]]:
-    """Pilot and extension. The pilot takes cells that add required classes, then by score, within limits for the south;
-    a class it still lacks comes in by replacing its lowest score."""
-    if len(selected) < PILOT:
-        raise ValueError(f"{PILOT} cells are needed, there are {len(selected)}")
-    present = lambda c: {k for k in classes if c[k] > 0}
-    pilot: list[dict] = []
-    while len(pilot) < PILOT:
-        rest, n_south = [c for c in selected if c not in pilot], sum(c["south"] for c in pilot)
-        only = None
-        if n_south >= PILOT_SOUTH[1]:
-            only = False
-        elif PILOT_SOUTH[0] - n_south >= PILOT - len(pilot):
-            only = True
-        pool = [c for c in rest if only is None or c["south"] == only] or rest
-        have = set().union(*map(present, pilot)) if pilot else set()
-        pilot.append(max(pool, key=lambda c: (len(present(c) - have), c["score"])))
-    for k in classes:
-        donors = [c for c in selected if c not in pilot and c[k] > 0]
-        if not any(c[k] > 0 for c in pilot) and donors:
-            pilot.remove(min(pilot, key=lambda c: c["score"]))
-            pilot.append(max(donors, key=lambda c: c["score"]))
-    return pilot, [c for c in selected if c not in pilot]
+def _picked(cells: Column, pilot: Column) -> Column:
+    """``pilot`` with the best of the other ``cells``: first those that keep the south within its limits, then by required classes that
+    the pilot lacks, by score, and by place."""
+    south = F.size(F.filter(pilot, lambda c: c["south"]))
+    only_north, only_south = south >= PILOT_SOUTH[1], PILOT_SOUTH[0] - south >= PILOT - F.size(pilot)
+    covered = F.flatten(F.transform(pilot, lambda c: c["has"]))
+    fits = lambda c: F.when(only_north, ~c["south"]).when(only_south, c["south"]).otherwise(F.lit(True))
+    ranked = F.transform(F.array_except(cells, pilot), lambda c: F.struct(fits(c).alias("fits"), F.size(F.array_except(c["has"], covered)).alias("new"), c["score"].alias("score"), (-c["place"]).alias("before"), c.alias("cell")))
+    return F.concat(pilot, F.array(F.array_max(ranked)["cell"]))
+
+
+def _covering(cells: Column, pilot: Column, name: Column) -> Column:
+    """``pilot`` with a class that it lacks and another cell has: the best such cell comes in for the pilot's lowest score."""
+    has = lambda c: F.array_contains(c["has"], name)
+    others = F.filter(F.array_except(cells, pilot), has)
+    best = F.array_max(F.transform(others, lambda c: F.struct(c["score"].alias("score"), (-c["place"]).alias("before"), c.alias("cell"))))["cell"]
+    lowest = F.array_min(F.transform(pilot, lambda c: F.struct(c["score"].alias("score"), c["place"].alias("place"))))["place"]
+    lacks = ~F.exists(pilot, has) & (F.size(others) > 0)
+    return F.when(lacks, F.concat(F.filter(pilot, lambda c: c["place"] != lowest), F.array(best))).otherwise(pilot)
+
+
+def pilot_and_rest(selected: DataFrame, classes: Iterable[str] = REQUIRED) -> DataFrame:
+    """``selected`` (place, i, j, score, south, acres of ``classes``; 16 rows or so) with batch: pilot or extension; no row if there are too few for a pilot.
+
+    Both steps fold over one array of the cells: the pilot's places one after the other, then the required classes.
+    """
+    has = F.filter(F.array(*(F.when(F.col(c) > 0, F.lit(c)) for c in classes)), lambda c: c.isNotNull())
+    cell = F.struct("place", "score", "south", has.alias("has"))
+    row = selected.agg(F.sort_array(F.collect_list(cell)).alias("cells")).where(F.size("cells") >= PILOT)
+    row = row.withColumn("pilot", F.aggregate(F.sequence(F.lit(1), F.lit(PILOT)), F.slice("cells", 1, 0), lambda pilot, _: _picked(F.col("cells"), pilot)))
+    row = row.withColumn("pilot", F.aggregate(F.array(*map(F.lit, classes)), F.col("pilot"), lambda pilot, name: _covering(F.col("cells"), pilot, name)))
+    met = selected.join(F.broadcast(row.select(F.transform("pilot", lambda c: c["place"]).alias("_pilot"))), F.lit(True))
+    return met.withColumn("batch", F.when(F.array_contains("_pilot", F.col("place")), "pilot").otherwise("extension")).drop("_pilot")
 
 
 def negative_rules(want: int = 4) -> list[Rule]:

@@ -135,14 +135,39 @@ def greedy_separated(spark, sf_dir):
     return spark.createDataFrame([(c["i"], c["j"], n) for n, c in enumerate(_chosen(spark, sf_dir), 1)], "i long, j long, place int")
 
 
-@query()
+# The state of the recursion is the list of the pilot's places: six steps that add one, then one for each required class.
+_PILOT_SQL = _GREEDY_SQL + f""",
+pc as (select place, i, j, score, (j + 0.5) * 0.1::double < {sel.SOUTH_LAT}::double south, list_filter([{", ".join(f"case when {c} > 0 then '{c}' end" for c in sel.REQUIRED)}], lambda x: x is not null) has from chosen join short using (i, j)),
+pl as (select list(has order by place) hs, list(south order by place) ss, list(score order by place) sc from pc),
+ps(t, pilot) as (select 0, []::int[] union all
+ select t + 1, case when t < {sel.PILOT} then list_append(any_value(pilot), arg_max(place, (fits, gain, score, -place)))
+  when max(gain) > 0 then list_append(list_filter(any_value(pilot), lambda p: p <> any_value(lowest)), arg_max(place, (gain, score, -place))) else any_value(pilot) end
+ from (select *, case when t < {sel.PILOT} then len(list_filter(has, lambda x: not list_contains(flatten(list_transform(pilot, lambda p: hs[p])), x)))
+    else (list_contains(has, want) and not list_contains(flatten(list_transform(pilot, lambda p: hs[p])), want))::int end gain,
+   case when ns >= {sel.PILOT_SOUTH[1]} then not south when {sel.PILOT_SOUTH[0]} - ns >= {sel.PILOT} - len(pilot) then south else true end fits
+  from (select ps.*, pc.*, pl.*, {list(sel.REQUIRED)!r}[t - {sel.PILOT - 1}] want, len(list_filter(pilot, lambda p: ss[p])) ns,
+    list_sort(list_transform(pilot, lambda p: {{'s': sc[p], 'p': p}}))[1].p lowest from ps, pc, pl where t < {sel.PILOT + len(sel.REQUIRED)} and not list_contains(pilot, pc.place)) a) b group by t),
+pilot as (select unnest(pilot) place from ps where t = (select max(t) from ps)),
+batches as (select case when place in (select place from pilot) then 'pilot' else 'extension' end batch, pc.* from pc where (select count(*) from pc) >= {sel.PILOT})"""
+
+
+def _batches(spark, sf_dir):
+    rows = [(n, c["i"], c["j"], c["score"], c["south"], *(float(c[k]) for k in CLASSES)) for n, c in enumerate(_chosen(spark, sf_dir), 1)]
+    return sel.pilot_and_rest(spark.createDataFrame(rows, "place int, i long, j long, score double, south boolean, " + ", ".join(f"{c} double" for c in CLASSES)))
+
+
+@query(f"with recursive {_PILOT_SQL} select batch, i, j, round(b.score, 6) score, ({' + '.join(f'({c} > 0)::int' for c in CLASSES)})::int n_classes from batches b join wide using (i, j)")
 def pilot_batch_split(spark, sf_dir):
-    chosen = _chosen(spark, sf_dir)
-    if len(chosen) < sel.PILOT:
-        return spark.createDataFrame([], "batch string, i long, j long, score double, n_classes int")
-    pilot, rest = sel.pilot_and_rest(chosen)
-    rows = [(b, c["i"], c["j"], c["score"], sum(c[k] > 0 for k in CLASSES)) for b, cs in (("pilot", pilot), ("extension", rest)) for c in cs]
-    return spark.createDataFrame(rows, "batch string, i long, j long, score double, n_classes int")
+    """The chosen cells in two batches."""
+    n = F.size(F.filter(F.array(*CLASSES), lambda x: x > 0))
+    return _batches(spark, sf_dir).select("batch", "i", "j", _R6("score"), n.alias("n_classes"))
+
+
+@query(f"with recursive {_PILOT_SQL} select batch, count(*) cells, count(*) filter (south) southern, " + ", ".join(f"round(sum({c}), 6) {c}" for c in CLASSES) + " from batches join wide using (i, j) group by batch")
+def batch_report(spark, sf_dir):
+    """Cells and acres of the pilot and of the extension."""
+    by = _batches(spark, sf_dir).groupBy("batch")
+    return by.agg(F.count(F.lit(1)).alias("cells"), F.count_if("south").alias("southern"), *(F.round(F.sum(c), 6).alias(c) for c in CLASSES))
 
 
 @query(f"with recursive {_GREEDY_SQL} select case when place <= 6 then 'first' else 'later' end batch, count(*) cells, " + ", ".join(f"round(sum({c}), 6) {c}" for c in CLASSES) + " from chosen join wide using (i, j) group by 1")

@@ -56,9 +56,9 @@ def threshold_sweep(spark, sf_dir):
 def _both(spark, sf_dir):
     """Curves with both models' probabilities, pa and pb, against the same profiles."""
     df = vec_curves(spark, sf_dir)
-    prof = p.median_profiles(df)
-    a = p.scores(df, float(V1), prof).withColumn("pa", p.prob_of(1)).drop("dists", "best", "sharpness", "pred", "conf")
-    return p.scores(a, float(V2), prof).withColumn("pb", p.prob_of(1))
+    dists = p.profile_distances(df, p.median_profiles(df))
+    a = p.softmax(dists, float(V1)).withColumn("pa", p.prob_of(1)).drop("best", "sharpness", "pred", "conf")
+    return p.softmax(a, float(V2)).withColumn("pb", p.prob_of(1))
 
 
 _TARGETS = [75.0, 78.0, 80.0, 83.0, 85.0]

@@ -64,16 +64,56 @@ def test_selection():
     assert selection.SOUTH_MIN <= sum(c["south"] for c in got) <= selection.SOUTH_MAX
     far = selection.chosen_by([selection.Rule(lambda c: True, 9, 4)], cells)
     assert all(max(abs(a["i"] - b["i"]), abs(a["j"] - b["j"])) >= 4 for a in far for b in far if a is not b)
-    got[-1]["rice"] = got[-2]["orchard"] = got[-3]["sugarcane"] = 5
-    pilot, rest = selection.pilot_and_rest(got)
-    assert len(pilot) == selection.PILOT and len(rest) == selection.WANT - selection.PILOT
-    assert all(any(c[k] > 0 for c in pilot) for k in selection.REQUIRED)
-    with pytest.raises(ValueError):
-        selection.pilot_and_rest(got[:5])
     negatives = selection.chosen_by(selection.negative_rules(), cells)
     assert len(negatives) == 4 and [c["south"] for c in negatives[:2]] == [False, True]
 
 
+def by_rule(cells):
+    """The pilot's places, step by step."""
+    pilot = []
+    while len(pilot) < 6:
+        free = [c for c in cells if c not in pilot]
+        south = sum(c["south"] for c in pilot)
+        fit = [c for c in free if not c["south"]] if south >= 3 else [c for c in free if c["south"]] if 2 - south >= 6 - len(pilot) else free
+        covered = {k for c in pilot for k in selection.REQUIRED if c[k] > 0}
+        pilot.append(max(fit or free, key=lambda c: (sum(c[k] > 0 and k not in covered for k in selection.REQUIRED), c["score"], -c["place"])))
+    for k in selection.REQUIRED:
+        more = [c for c in cells if c not in pilot and c[k] > 0]
+        if more and not any(c[k] > 0 for c in pilot):
+            pilot.remove(min(pilot, key=lambda c: (c["score"], c["place"])))
+            pilot.append(max(more, key=lambda c: (c["score"], -c["place"])))
+    return {c["place"] for c in pilot}
+
+
+def test_pilots(spark):
+    rng, names = random.Random(9), ["cotton", *[k for k in selection.REQUIRED if k != "cotton"]]
+    columns = ["place", "i", "j", "score", "south", *names]
+    for n in (16, 16, 16, 16, 7, 6, 5, 0):
+        few = rng.random() * 0.4
+        cells = [{"place": p, "i": p, "j": p, "score": float(rng.randrange(4)), "south": rng.random() < rng.choice([0.1, 0.5])} | {k: float(rng.random() < few) for k in names} for p in range(1, n + 1)]
+        df = spark.createDataFrame([tuple(c[k] for k in columns) for c in cells], "place int, i long, j long, score double, south boolean, " + ", ".join(f"{k} double" for k in names))
+        got = selection.pilot_and_rest(df).collect()
+        assert len(got) == (n if n >= 6 else 0) and {r["place"] for r in got if r["batch"] == "pilot"} == (by_rule(cells) if n >= 6 else set())
+
+
+def test_rates_of_cuts(spark):
+    from terracurve.operators import evaluate
+
+    rows = [("a", 0.1), ("a", 0.5), ("a", 0.5), ("a", None), ("b", None), ("c", 0.9)]
+    got = {(r["k"], r["cut"]): r["pct"] for r in evaluate.rates(spark.createDataFrame(rows, "k string, p double"), "p", [0.9, 0.5, 0.05], "k").collect()}
+    assert got == {("a", 0.05): 100, ("a", 0.5): pytest.approx(200 / 3), ("a", 0.9): 0, ("b", 0.05): None, ("b", 0.5): None, ("b", 0.9): None, ("c", 0.05): 100, ("c", 0.5): 100, ("c", 0.9): 100}
+
+
+def test_bins_follow_the_values(spark):
+    from terracurve.operators.running import value_bin
+
+    rng = random.Random(10)
+    xs = sorted([0.0, 1.0, -1.0, 2.0**-1070, -(2.0**1000), 1e308, *(2.0**k * (1 - 2.0**-53) for k in range(-60, 60)), *(2.0**k for k in range(-60, 60)), *(rng.gauss(0, 1) * 10 ** rng.randrange(-9, 9) for _ in range(2000))])
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r["b"] for r in df.select("x", value_bin(F.col("x")).alias("b")).orderBy("x").collect()]
+    assert got == sorted(got) and len(set(got)) > 1500
+
+
 def test_quotas(spark):
     df = spark.createDataFrame([(i, i % 2, i < 6) for i in range(100)], "id int, label int, bad boolean")
     got = sampling.hard_easy(df, 10, 0.5, F.col("bad"), F.col("id"), 1, "label").collect()
