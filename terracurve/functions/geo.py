@@ -15,6 +15,13 @@ def edges(xs: Column, ys: Column) -> Column:
     return F.transform(at, lambda i: F.struct(F.get(xs, i).alias("x1"), F.get(ys, i).alias("y1"), F.get(xs, nxt(i)).alias("x2"), F.get(ys, nxt(i)).alias("y2")))
 
 
+def usable(xs: Column, ys: Column) -> Column:
+    """Whether arrays are a polygon's: neither is null or holds a null or non-finite place, and there are three corners at least, not all on a line."""
+    whole = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    corners = (F.size(xs) == F.size(ys)) & (F.size(xs) >= 3)
+    return F.coalesce(whole(xs) & whole(ys) & corners, F.lit(False)) & F.coalesce(F.when(whole(xs) & whole(ys) & corners, area(xs, ys) > 0), F.lit(False))
+
+
 def in_polygon(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     """Even-odd rule with half-open edges: polygons that share a border share no point."""
     crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
@@ -31,10 +38,14 @@ def boxes_meet(a: str, b: str, buffer: float = 0.0) -> Column:
     return (F.col(f"{a}xmin") < F.col(f"{b}xmax") + buffer) & (F.col(f"{a}xmax") > F.col(f"{b}xmin") - buffer) & (F.col(f"{a}ymin") < F.col(f"{b}ymax") + buffer) & (F.col(f"{a}ymax") > F.col(f"{b}ymin") - buffer)
 
 
-def area(xs: Column, ys: Column) -> Column:
-    """Shoelace area, from the first vertex, so that a small polygon far from the origin loses no digits."""
+def signed_area(xs: Column, ys: Column) -> Column:
+    """Shoelace area, from the first vertex, so that a small polygon far from the origin loses no digits; above 0 for a ring that turns left."""
     x, y = F.get(xs, F.lit(0)), F.get(ys, F.lit(0))
-    return F.abs(F.aggregate(edges(xs, ys), F.lit(0.0), lambda s, e: s + (e["x1"] - x) * (e["y2"] - y) - (e["x2"] - x) * (e["y1"] - y))) / 2
+    return F.aggregate(edges(xs, ys), F.lit(0.0), lambda s, e: s + (e["x1"] - x) * (e["y2"] - y) - (e["x2"] - x) * (e["y1"] - y)) / 2
+
+
+def area(xs: Column, ys: Column) -> Column:
+    return F.abs(signed_area(xs, ys))
 
 
 def centroid(xs: Column, ys: Column) -> tuple[Column, Column]:

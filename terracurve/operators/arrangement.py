@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import clipped_to_box, signed_area
 from .graph import cut_lineage
 from .scanline import edge_rows
 
@@ -48,10 +49,11 @@ def _at(y: Column) -> Column:
     return F.when(y == F.col("y2"), F.col("x2")).otherwise(F.col("x1") + (F.col("x2") - F.col("x1")) * ((y - F.col("y1")) / (F.col("y2") - F.col("y1"))))
 
 
-def trapezoids(edges: DataFrame, *keys: str) -> DataFrame:
+def trapezoids(edges: DataFrame, *keys: str, winding: bool = False) -> DataFrame:
     """keys, low, high (heights), left_low, left_high, right_low, right_high (places of the sides at these), in0, in1.
 
-    ``edges`` come from ``layered``, of layer 0 and, if there is one, 1. Trapezoids in neither layer are left out.
+    ``edges`` come from ``layered``, of layer 0 and, if there is one, 1. Trapezoids in neither layer are left out. With
+    ``winding`` a place is inside if the ``turns`` of the edges to its left don't add up to 0, not if their number is odd.
     """
     edges = cut_lineage(edges)  # used five times
     ends = edges.select(*keys, F.col("y1").alias("y")).union(edges.select(*keys, "y2")).union(_crossings(edges, *keys)).distinct()
@@ -60,12 +62,14 @@ def trapezoids(edges: DataFrame, *keys: str) -> DataFrame:
     rank = events.select(*keys, "y", "slab")
     e = edges.join(rank.withColumnsRenamed({"y": "y1", "slab": "_a"}), [*keys, "y1"]).join(rank.withColumnsRenamed({"y": "y2", "slab": "_b"}), [*keys, "y2"])
     e = e.withColumn("slab", F.explode(F.sequence("_a", F.col("_b") - 1))).join(events.withColumnRenamed("y", "low"), [*keys, "slab"])
-    e = e.select(*keys, "layer", "slab", "low", "high", _at(F.col("low")).alias("left_low"), _at(F.col("high")).alias("left_high"))
+    weight = F.col("turns") if winding else F.lit(1)
+    e = e.select(*keys, "layer", weight.alias("_w"), "slab", "low", "high", _at(F.col("low")).alias("left_low"), _at(F.col("high")).alias("left_high"))
     side = Window.partitionBy(*keys, "slab").orderBy(F.col("left_low") + F.col("left_high"), "layer")
-    inside = lambda layer: F.sum(F.when(F.col("layer") == layer, 1).otherwise(0)).over(side.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1
+    so_far = lambda layer: F.sum(F.when(F.col("layer") == layer, F.col("_w")).otherwise(0)).over(side.rowsBetween(Window.unboundedPreceding, 0))
+    inside = lambda layer: so_far(layer) != 0 if winding else so_far(layer) % 2 == 1
     to = lambda c: F.lead(c).over(side)
     e = e.withColumns({"right_low": to("left_low"), "right_high": to("left_high"), "in0": inside(0), "in1": inside(1)})
-    return e.where("in0 or in1").drop("layer", "slab")
+    return e.where("in0 or in1").drop("layer", "slab", "_w")
 
 
 def trapezoid_area() -> Column:
@@ -77,6 +81,23 @@ def trapezoid_vertices() -> tuple[Column, Column]:
     return F.array("left_low", "right_low", "right_high", "left_high"), F.array("low", "low", "high", "high")
 
 
+def dissolved(shapes: DataFrame, side: float, *keys: str) -> DataFrame:
+    """keys, ci, cj, and trapezoids of the union of all simple shapes (keys, xs, ys) of the same keys, cell by cell of ``side``.
+
+    Shapes are cut by the cells they meet, so a task holds what lies in one cell, however many shapes the keys have. All
+    rings are turned the same way; a place is in the union if the edges to its left go up more often than down.
+    """
+    along = lambda c, n: F.explode(F.sequence(F.floor(F.array_min(c) / side), F.floor(F.array_max(c) / side))).alias(n)
+    df = shapes.select(*keys, "xs", "ys", along("xs", "ci")).select("*", along("ys", "cj"))
+    df = clipped_to_box(df, F.col("ci") * side, F.col("cj") * side, (F.col("ci") + 1) * side, (F.col("cj") + 1) * side).where(F.size("xs") > 2)
+    at = [*keys, "ci", "cj"]
+    e = edge_rows(df.withColumn("left", signed_area(F.col("xs"), F.col("ys")) > 0), *at, "left").where("y1 <> y2")
+    up = F.col("y1") < F.col("y2")
+    ends = [F.when(up, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
+    turns = F.when(up == F.col("left"), -1).otherwise(1)
+    return trapezoids(e.select(*at, F.lit(0).alias("layer"), turns.alias("turns"), *ends), *at, winding=True).drop("in0", "in1")
+
+
 def overlaid(first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:
     """Trapezoids of two shapes (keys, xs, ys) for each of the keys; ``in0 and in1`` is their intersection, ``in0 and not in1`` their difference."""
     return trapezoids(layered(first, 0, *keys).unionByName(layered(second, 1, *keys)), *keys)

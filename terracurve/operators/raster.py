@@ -22,6 +22,19 @@ def eroded(mask: DataFrame, *group: str) -> DataFrame:
     return votes.groupBy(*group, "row", "col").agg(F.count(F.lit(1)).alias("n")).where("n = 9").drop("n")
 
 
+def usable_labels(burned: DataFrame, code: str = "code", none: int = 0, several: int = 255) -> DataFrame:
+    """Pixels with the code of a class: not that of pixels without a label, nor that of pixels which several classes claim."""
+    return burned.where(F.col(code).isNotNull() & ~F.col(code).isin(none, several))
+
+
+def coded(pixels: DataFrame, claims: DataFrame, codes: dict[str, int], none: int = 0, several: int = 255) -> DataFrame:
+    """``pixels`` (row, col, ...) with code: the class that alone claims the pixel (row, col, crop), ``several`` if more than one does, ``none`` if no one does."""
+    of = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
+    by = claims.groupBy("row", "col").agg(F.count_distinct("crop").alias("_n"), F.min("crop").alias("_crop"))
+    met = pixels.join(by, ["row", "col"], "left")
+    return met.withColumn("code", F.when(F.col("_n") > 1, several).otherwise(F.coalesce(F.try_element_at(of, F.col("_crop")), F.lit(none)))).drop("_n", "_crop")
+
+
 def unambiguous(claims: DataFrame, *keys: str) -> DataFrame:
     """Pixels that exactly one crop claims."""
     return claims.groupBy(*keys).agg(F.count_distinct("crop").alias("n"), F.min("crop").alias("crop")).where("n = 1").drop("n")

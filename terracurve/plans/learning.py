@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learning as ml
+from ..operators import sampling
 from ..schema import DATES, ContractError, check_labelled
 from ..sources.adapters import vec_curves
 from .registry import query
@@ -40,6 +41,18 @@ def rf_group_cv_search(spark, sf_dir):
     return spark.createDataFrame(rows, "place int, trees int, depth int, leaf int, features string, macro_f1 double, pruned boolean")
 
 
+@query()
+def capped_group_forest(spark, sf_dir):
+    """At most 30 rows a class, whole tiles held out of these, and a forest (20 trees of depth 10) on the rest: rows of each class, and hits among the held-out ones."""
+    df = sampling.cap(_set(spark, sf_dir), 30, F.col("vec_id"), 42, "label").select("vec_id", "label", "tile", "features")
+    train, test, _ = ml.hold_out(df, "tile")
+    pred = ml.predict(ml.fit(ml.balanced(train), trees=20, depth=10), test)
+    tested = pred.groupBy("label").agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("pred") == F.col("label")).alias("hits"))
+    by = df.groupBy("label").agg(F.count(F.lit(1)).alias("n_capped")).join(tested, "label", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return by.select("label", "n_capped", (F.col("n_capped") - zero("n_test")).alias("n_train"), zero("n_test").alias("n_test"), zero("hits").alias("hits"))
+
+
 @query()
 def rf_importance_by_date(spark, sf_dir):
     model, _ = _trained(spark, sf_dir)

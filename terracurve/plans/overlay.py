@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions import projection as pr
 from ..operators import arrangement as ar
 from ..operators import nearness
@@ -170,3 +171,30 @@ def points_near_areas(spark, sf_dir):
     """Points in an area or within the buffer around it."""
     found = nearness.points_near(points(spark, sf_dir).select(F.col("id").alias("point"), "lon", "lat"), _validation(spark, sf_dir), _NEAR, "point", "lon", "lat")
     return found.select("point", F.col("id").alias("area"))
+
+
+_UNION_CELL = 8.0
+
+
+@query(f"""with {STARS_SQL}, o as (select id, sign(sum(x1 * y2 - x2 * y1)) ccw from star group by id), e as (select star.*, ccw from star join o using (id)),
+met as (select a.id, a.j, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) d, (b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1) tn, (b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1) un
+ from e a join e b on a.crop = b.crop and a.id <> b.id and least(a.x1, a.x2) <= greatest(b.x1, b.x2) and least(b.x1, b.x2) <= greatest(a.x1, a.x2) and least(a.y1, a.y2) <= greatest(b.y1, b.y2) and least(b.y1, b.y2) <= greatest(a.y1, a.y2)),
+cuts as (select id, j, tn / d t from met where d <> 0 and tn / d between 0 and 1 and un / d between 0 and 1 union select id, j, 0 from e union select id, j, 1 from e),
+pieces as (select *, lead(t) over (partition by id, j order by t) t2 from cuts),
+m as (select e.*, t, t2, x1 + (x2 - x1) * (t + t2) / 2 mx, y1 + (y2 - y1) * (t + t2) / 2 my from pieces join e using (id, j) where t2 > t),
+held as (select distinct id, j, t from (select m.id, m.j, m.t, b.id other from m join e b on m.crop = b.crop and m.id <> b.id and (b.y1 > my) <> (b.y2 > my) and mx < (b.x2 - b.x1) * (my - b.y1) / (b.y2 - b.y1) + b.x1 group by all having count(*) % 2 = 1))
+select crop, round(sum(ccw * ((x1 + (x2 - x1) * t) * (y1 + (y2 - y1) * t2) - (x1 + (x2 - x1) * t2) * (y1 + (y2 - y1) * t))) / 2 * {PIXEL_ACRES}::double, 4) acres from m anti join held using (id, j, t) group by crop""")
+def dissolved_acres(spark, sf_dir):
+    """Acres of each crop's fields as one shape: what several hold counts once."""
+    parts = ar.dissolved(stars(spark, sf_dir), _UNION_CELL, "crop")
+    return parts.groupBy("crop").agg(F.round(F.sum(ar.trapezoid_area()) * PIXEL_ACRES, 4).alias("acres"))
+
+
+@query(f"""with {STARS_SQL}, k as (select id, id % 6 kind, abs(sum(x1 * y2 - x2 * y1)) / 2 a from star group by id) select id, round(a, 6) area from k where kind in (0, 5)""")
+def usable_polygons(spark, sf_dir):
+    """Fields of which some lack their vertices, a part of one, a corner, or any extent."""
+    s, kind = stars(spark, sf_dir), F.col("id") % 6
+    xs = F.when(kind == 1, F.lit(None)).when(kind == 2, F.concat("xs", F.array(F.lit(None).cast("double")))).when(kind == 3, F.slice("xs", 1, 2)).when(kind == 4, F.transform("ys", lambda y: 2 * y)).otherwise(F.col("xs"))
+    ys = F.when(kind == 2, F.concat("ys", F.array(F.lit(0.0)))).when(kind == 3, F.slice("ys", 1, 2)).otherwise(F.col("ys"))
+    df = s.select("id", xs.alias("xs"), ys.alias("ys"))
+    return df.where(geo.usable(F.col("xs"), F.col("ys"))).select("id", F.round(geo.area(F.col("xs"), F.col("ys")), 6).alias("area"))

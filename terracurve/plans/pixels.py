@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import raster as r
 from ..operators import scanline
-from ..schema import PIXEL_ACRES
+from ..schema import CODES, PIXEL_ACRES
 from ..sources.adapters import GRID_SQL, POLYGONS, STARS_SQL, grid, polygons, stars
 from .registry import query
 
@@ -54,6 +54,14 @@ def scanline_burn(spark, sf_dir):
     return scanline.burn(grid(spark, sf_dir), stars(spark, sf_dir))
 
 
+@query(f"""with {GRID_SQL}, {STARS_SQL}, b as ({_RAY.format(crop=', crop')}), n as (select "row", col, count(*) n, min(crop) crop from b group by all)
+select "row", col, case crop {" ".join(f"when '{k}' then {v}" for k, v in CODES.items())} end code from grid join n using ("row", col) where n = 1""")
+def usable_label_pixels(spark, sf_dir):
+    """Pixels with a usable label: some class claims them, and no other does."""
+    g = grid(spark, sf_dir).select("row", "col")
+    return r.usable_labels(r.coded(g, scanline.burn(g, stars(spark, sf_dir)), CODES)).select("row", "col", "code")
+
+
 # A segment meets a square if neither a side of the square nor the segment's own line lies between them.
 @query(f"""with {GRID_SQL}, {STARS_SQL}, side as (select distinct g."row", g.col from grid g join star on least(x1, x2) <= col + 1 and greatest(x1, x2) >= col and least(y1, y2) <= "row" + 1 and greatest(y1, y2) >= "row"
  and abs((x2 - x1) * ("row" + 0.5 - y1) - (y2 - y1) * (col + 0.5 - x1)) <= (abs(x2 - x1) + abs(y2 - y1)) / 2)

@@ -10,7 +10,7 @@ from ..operators import learning as ml
 from ..schema import CODES, DATES, ContractError
 from ..session import scratch
 from ..sources import io, lattice, probe
-from ..sources.adapters import STARS_SQL, read, stars, vec_curves
+from ..sources.adapters import GRID_SQL, STARS_SQL, grid, read, stars, vec_curves
 from ..streaming.composite import composite_files
 from .registry import query
 
@@ -122,3 +122,60 @@ def card_guard(spark, sf_dir):
         except ContractError:
             rows.append((name, True, 0))
     return spark.createDataFrame(rows, "name string, refused boolean, n long")
+
+
+@query("""select year(o_orderdate)::int "year", 'orders_' || year(o_orderdate) stem, count(*) n, count(*) filter (year(o_orderdate) >= 1995 and o_orderpriority = '1-URGENT') urgent from orders group by all""")
+def multi_file_scan(spark, sf_dir):
+    """A file a year, of which the older ones lack a column, read as one table with the file's name as a key."""
+    path = scratch(spark, "years")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("priority"))
+    for y in [r["year"] for r in o.select("year").distinct().collect()]:  # a handful of years
+        part = o.where(F.col("year") == y)
+        io.write_named(part if y >= 1995 else part.drop("priority"), f"{path}/orders_{y}__v1.parquet")
+    got = io.scan_files(spark, f"{path}/*.parquet")
+    by = got.groupBy("year", io.stem(F.col("file")).alias("stem"))
+    return by.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("priority") == "1-URGENT").alias("urgent"))
+
+
+_LINES = StructType([StructField("key", LongType()), StructField("price", DoubleType()), StructField("day", DateType())])
+
+
+@query("""select case when o_orderkey % 5 = 0 then 'bad' else 'good' end kind, count(*) n, count(*) n_keys, round(sum(case when o_orderkey % 5 = 0 then 0 else o_totalprice end)::double, 2) price from orders group by all""")
+def csv_with_bad_lines(spark, sf_dir):
+    """Lines of which every fifth has a word where a number belongs."""
+    path = scratch(spark, "lines")
+    o = read(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 5 == 0, "none").otherwise(F.col("o_totalprice").cast("string"))
+    o.select(F.col("o_orderkey").alias("key"), price.alias("price"), F.col("o_orderdate").cast("date").alias("day")).write.option("header", True).csv(path)
+    got = io.scan_csv(spark, path, _LINES)
+    by = got.groupBy(F.when(F.col("bad_record").isNotNull(), "bad").otherwise("good").alias("kind"))
+    return by.agg(F.count(F.lit(1)).alias("n"), F.count("key").alias("n_keys"), F.round(F.coalesce(F.sum("price"), F.lit(0.0)), 2).alias("price"))
+
+
+@query("""with o as (select year(o_orderdate) % 2 half, count(*) n from orders group by all) select 1 "read", n, 1 made from o where half = 1 union all select 2, n, 1 from o where half = 1 union all select 3, sum(n)::bigint, 2 from o""")
+def cached_table(spark, sf_dir):
+    """Rows behind a cache that is read twice and, after its source has grown, a third time; and how often it was made."""
+    source, cache, made, rows = scratch(spark, "source"), scratch(spark, "cache"), [], []
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.year("o_orderdate") % 2).alias("half"))
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(source)
+
+    for n, more in enumerate((1, None, 0), 1):
+        if more is not None:
+            o.where(F.col("half") == more).write.mode("append").parquet(source)
+        rows.append((n, io.cached_while(spark, cache, make, source).count(), len(made)))
+    return spark.createDataFrame(rows, "read int, n long, made int")
+
+
+_SOME = (3, 17, 10, 30)
+
+
+@query(f"""with {GRID_SQL} select "row", col, "class", size, 'class,size' bands, 16 side, 'crops' title from grid where "row" between {_SOME[0]} and {_SOME[1]} and col between {_SOME[2]} and {_SOME[3]}""")
+def raster_roundtrip(spark, sf_dir):
+    """A raster written in blocks with its description, and a window of it read again."""
+    path = scratch(spark, "raster")
+    io.write_raster(grid(spark, sf_dir), path, 16, {"title": "crops", "nodata": 255})
+    df, told = io.read_raster(spark, path, _SOME)
+    return df.select("row", "col", "class", "size", F.lit(",".join(told["bands"])).alias("bands"), F.lit(told["side"]).alias("side"), F.lit(told["title"]).alias("title"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -28,6 +30,11 @@ def scan_boxed(spark: SparkSession, path: str, box: tuple[float, float, float, f
     return scan(spark, path, columns, (F.col("xmax") >= x0) & (F.col("xmin") <= x1) & (F.col("ymax") >= y0) & (F.col("ymin") <= y1))
 
 
+def scan_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """All files of a pattern as one table, columns by name: a column that a file lacks is null there. ``file`` is the file's name, which gives the order of files."""
+    return spark.read.option("mergeSchema", "true").parquet(pattern).select("*", F.col("_metadata.file_name").alias("file"))
+
+
 def scan_stems(spark: SparkSession, path: str, key: str = "aoi") -> DataFrame:
     """A folder of files with the file's stem, up to a double underscore, as a column."""
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
@@ -44,6 +51,15 @@ def scan_clusters(spark: SparkSession, path: str, dates: Iterable[str]) -> DataF
     return spark.read.schema(cluster_schema(dates)).option("header", True).csv(path)
 
 
+def scan_csv(spark: SparkSession, path: str, schema: StructType, bad: str = "bad_record") -> DataFrame:
+    """Rows of CSV files with a header, by a schema. A line that doesn't fit it keeps what could be read, and ``bad`` holds the line; else that is null.
+
+    Lines are parsed whole whatever is selected, so that which ones are bad doesn't depend on the query.
+    """
+    kept = StructType([*schema.fields, StructField(bad, StringType())])
+    return spark.read.schema(kept).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", bad).csv(path)
+
+
 def extent(features: DataFrame) -> DataFrame:
     return features.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
 
@@ -70,6 +86,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_named(df: DataFrame, path: str) -> None:
+    """One Parquet file under a name of its own, for tables of one task's size: written beside and moved."""
+    spark = df.sparkSession
+    aside = f"{path}.{uuid.uuid4().hex}"
+    df.coalesce(1).write.parquet(aside)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    store = jvm.Path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in store.listStatus(jvm.Path(aside)) if s.getPath().getName().startswith("part-"))
+    store.delete(jvm.Path(path), False)
+    if not store.rename(part, jvm.Path(path)):
+        raise OSError(f"{path} couldn't be written")
+    store.delete(jvm.Path(aside), True)
+
+
 def write_tiles(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("tile").parquet(path)
 
@@ -143,5 +173,43 @@ def cached(spark: SparkSession, path: str, make, refresh: bool = False) -> DataF
     return spark.read.parquet(path)
 
 
+def _state(spark: SparkSession, source: str) -> str:
+    """Changes when a file of ``source`` is added, removed, or written again; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "length", "modificationTime")
+    return str(files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("h")).first())
+
+
+def cached_while(spark: SparkSession, path: str, make, *sources: str) -> DataFrame:
+    """The table under ``path`` as long as the files of all ``sources`` are those it was made from; else it is made again.
+
+    Each version has a folder of its own, so that readers of an older one aren't disturbed, and none is used before it is whole.
+    """
+    state = hashlib.sha256("|".join(_state(spark, s) for s in sources).encode()).hexdigest()[:24]
+    version = f"{path}/{state}"
+    there = _if_there(spark, f"{version}/rows")
+    if there is None or _if_there(spark, f"{version}/done") is None:
+        make().write.mode("overwrite").parquet(f"{version}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{version}/done")
+    return spark.read.parquet(f"{version}/rows")
+
+
+def write_raster(df: DataFrame, path: str, side: int, description: dict) -> None:
+    """Pixels (row, col, bands) in blocks of ``side`` by ``side``, each in a partition of its own, with what describes the raster beside them."""
+    block = lambda c: F.expr(f"{c} div {side}").cast("int")
+    blocks = df.withColumn("block_row", block("row")).withColumn("block_col", block("col"))
+    blocks.repartition("block_row", "block_col").sortWithinPartitions("row", "col").write.mode("overwrite").partitionBy("block_row", "block_col").parquet(f"{path}/blocks")
+    write_json(df.sparkSession, description | {"side": side, "bands": [c for c in df.columns if c not in ("row", "col")]}, f"{path}/description")
+
+
+def read_raster(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None) -> tuple[DataFrame, dict]:
+    """Pixels, and the description. ``window``: first and last row, first and last column; only its blocks are read."""
+    told = read_json(spark, f"{path}/description")
+    df = spark.read.parquet(f"{path}/blocks")
+    if window is not None:
+        for c, a, b in (("row", *window[:2]), ("col", *window[2:])):
+            df = df.where(F.col(f"block_{c}").between(a // told["side"], b // told["side"]) & F.col(c).between(a, b))
+    return df.drop("block_row", "block_col"), told
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)

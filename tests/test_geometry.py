@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.01"
 SHAPES = "id long, crop string, xs array<double>, ys array<double>"
 
 
-@pytest.mark.parametrize("name", ["utm_roundtrip", "projected_acres", "tile_bounds_lonlat", "scanline_burn", "pixel_touch_polygons", "clip_polygons", "exact_cell_acres", "repaired_polygons", "buffered_exclusion", "points_near_areas", "sieve_components"])
+@pytest.mark.parametrize("name", ["utm_roundtrip", "projected_acres", "tile_bounds_lonlat", "scanline_burn", "pixel_touch_polygons", "clip_polygons", "exact_cell_acres", "repaired_polygons", "buffered_exclusion", "points_near_areas", "sieve_components", "dissolved_acres", "usable_polygons", "usable_label_pixels"])
 def test_sql(spark, name):
     got = spark_rows(catalog.QUERIES[name](spark, SF))
     assert got[1] and got == duck_rows(duck(SF).sql(catalog.SQL[name]))
@@ -209,6 +209,14 @@ def test_overlay_of_rough_shapes(spark):
         assert [(r["in0"], r["in1"]) for r in on] == ([want] if any(want := (holds(x, y, [a[k]]), holds(x, y, [b[k]]))) else [])
 
 
+def test_dissolve(spark):
+    shapes = [("a", [0, 4, 4, 0], [0, 0, 4, 4]), ("a", [2, 2, 6, 6], [1, 9, 9, 1]), ("a", [0, 4, 4, 0], [0, 0, 4, 4]), ("b", [0.5, 9.5, 5.0], [0.5, 0.5, 8.0]), ("b", [5.0, 9.5, 0.5], [8.0, 0.5, 0.5])]
+    df = spark.createDataFrame([(k, list(map(float, xs)), list(map(float, ys))) for k, xs, ys in shapes], "k string, xs array<double>, ys array<double>")
+    for side in (2.5, 100.0):
+        got = {r["k"]: r["a"] for r in ar.dissolved(df, side, "k").groupBy("k").agg(F.sum(ar.trapezoid_area()).alias("a")).collect()}
+        assert got == {"a": pytest.approx(42), "b": pytest.approx(33.75)}
+
+
 def test_repair(spark):
     bow = shape(spark, ([0, 2, 2, 0], [0, 2, 0, 2]))
     assert areas_of(ar.repaired(bow, "k"), "true") == pytest.approx([2])

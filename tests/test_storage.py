@@ -1,6 +1,7 @@
 """Stored features, broken files, streams, cards and the search for parameters."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tests.compare import DATA, duck, duck_rows, spark_rows
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["lattice_walk", "vector_window", "vector_extent", "tile_probe", "tolerant_sources", "stream_composite", "card_guard", "polygon_acres"])
+@pytest.mark.parametrize("name", ["lattice_walk", "vector_window", "vector_extent", "tile_probe", "tolerant_sources", "stream_composite", "card_guard", "polygon_acres", "multi_file_scan", "csv_with_bad_lines", "cached_table", "raster_roundtrip", "pilot_batch_split", "batch_report"])
 def test_sql(spark, name):
     got = spark_rows(catalog.QUERIES[name](spark, SF))
     assert got[1] and got == duck_rows(duck(SF).sql(catalog.SQL[name]))
@@ -100,6 +101,55 @@ def test_composites_after_a_stop(spark, tmp_path):
     assert got == {r["e"].isoformat(): (r["n"], r["m"]) for r in whole if r["e"].isoformat() <= "2025-04-27"} and len(got) > 4
 
 
+def test_lines_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("key,price,day\n1,2.5,2025-04-01\n2,x,2025-04-01\n3,1.0,never\n4\n,,\n")
+    from terracurve.plans.storage import _LINES
+
+    got = {r["bad_record"]: (r["key"], r["price"]) for r in io.scan_csv(spark, f"{tmp_path}/a.csv", _LINES).where("bad_record is not null").collect()}
+    assert {k.split(",")[0] for k in got} == {"2", "3", "4"} and got["2,x,2025-04-01"] == (2, None) and got["3,1.0,never"] == (3, 1.0)
+    assert len(io.scan_csv(spark, f"{tmp_path}/a.csv", _LINES).select("key", "bad_record").where("bad_record is null").collect()) == 2
+
+
+def test_caches_follow_their_sources(spark, tmp_path):
+    source, made = f"{tmp_path}/s", []
+    spark.range(5).write.parquet(source)
+    make = lambda: made.append(1) or spark.read.parquet(source)
+    read = lambda: io.cached_while(spark, f"{tmp_path}/c", make, source).count()
+    assert (read(), read(), len(made)) == (5, 5, 1)
+    spark.range(3).write.mode("append").parquet(source)
+    assert (read(), read(), len(made)) == (8, 8, 2)
+    spark.range(2).write.mode("overwrite").parquet(source)
+    assert (read(), len(made)) == (2, 3)
+    # A version that was cut off before it was whole isn't used.
+    version = max((tmp_path / "c").iterdir(), key=lambda p: p.stat().st_mtime)
+    shutil.rmtree(version / "done")
+    assert (read(), len(made)) == (2, 4)
+
+
+def test_rasters_are_read_by_blocks(spark, tmp_path):
+    px = spark.range(900).selectExpr("cast(id div 30 as int) row", "cast(id % 30 as int) col", "id * 2 v")
+    io.write_raster(px, f"{tmp_path}/r", 8, {"crs": "EPSG:32642"})
+    df, told = io.read_raster(spark, f"{tmp_path}/r", (3, 9, 20, 25))
+    assert told == {"crs": "EPSG:32642", "side": 8, "bands": ["v"]}
+    assert {tuple(r) for r in df.select("row", "col", "v").collect()} == {(r, c, 2 * (30 * r + c)) for r in range(3, 10) for c in range(20, 26)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(block_row" in plan and io.read_raster(spark, f"{tmp_path}/r")[0].count() == 900
+
+
+def test_files_by_name(spark, tmp_path):
+    for n, df in (("b__1", spark.range(2)), ("a__1", spark.range(3).withColumn("x", F.lit("y")))):
+        io.write_named(df, f"{tmp_path}/f/{n}.parquet")
+    io.write_named(spark.range(4), f"{tmp_path}/f/b__1.parquet")  # in the place of the first
+    got = io.scan_files(spark, f"{tmp_path}/f/*.parquet")
+    assert sorted((r["file"], r["id"], r["x"]) for r in got.collect()) == [("a__1.parquet", i, "y") for i in range(3)] + [("b__1.parquet", i, None) for i in range(4)]
+
+
+def test_forest_of_capped_rows(spark):
+    got = catalog.QUERIES["capped_group_forest"](spark, SF).collect()
+    assert {r["label"] for r in got} == set(range(10)) and all(r["n_train"] + r["n_test"] == r["n_capped"] <= 30 for r in got)
+    assert sum(r["n_test"] for r in got) > 0 and all(r["hits"] <= r["n_test"] for r in got)
+
+
 def test_cards():
     card = {"dates": DATES, "codes": CODES}
     assert ml.check_card(["tile", *DATES, "x"], CODES, card) == DATES
