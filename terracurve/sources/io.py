@@ -54,10 +54,12 @@ def scan_clusters(spark: SparkSession, path: str, dates: Iterable[str]) -> DataF
 def scan_csv(spark: SparkSession, path: str, schema: StructType, bad: str = "bad_record") -> DataFrame:
     """Rows of CSV files with a header, by a schema. A line that doesn't fit it keeps what could be read, and ``bad`` holds the line; else that is null.
 
-    Lines are parsed whole whatever is selected, so that which ones are bad doesn't depend on the query.
+    The reader parses the selected columns only; ``bad`` depends on all of them here, so that which lines are bad doesn't depend on the query.
     """
     kept = StructType([*schema.fields, StructField(bad, StringType())])
-    return spark.read.schema(kept).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", bad).csv(path)
+    df = spark.read.schema(kept).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).csv(path)
+    never = F.xxhash64(*(F.col(f"`{c}`") for c in schema.fieldNames())).bitwiseAND(F.lit(0)) == 1
+    return df.withColumn(bad, F.when(never, F.lit("")).otherwise(F.col(bad)))
 
 
 def extent(features: DataFrame) -> DataFrame:
