@@ -94,24 +94,31 @@ def _nearest_pairs(pos: pd.DataFrame, neg: pd.DataFrame, radius: float) -> pd.Da
 def contradictions(curves: DataFrame, positive, radius: float, key: str = "vec_id", label: str = "label") -> DataFrame:
     """Each curve's nearest curve of the opposite binary label, if nearer than ``radius``.
 
-    The distance of two curves is at least that of their means. So curves meet
-    only in buckets of the mean, as wide as the radius, and the two beside. Each
+    The distance of two curves is at least that of their means, and at least that of any of their sums with fixed
+    signs, over the number of places: here of the first half less the second one. So curves meet
+    only in buckets of both, as wide as the radius, and the eight around. Each
     bucket is cut into as many blocks of either side as it needs itself; a task
     compares two blocks as matrices, which built-in array functions do some fifty
     times slower.
     """
-    mean = F.aggregate("curve", F.lit(0.0), lambda s, x: s + x) / F.size("curve")
-    df = curves.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("label"), "curve", positive.alias("pos"), F.floor(mean / radius).alias("bucket"))
-    a = df.where("pos").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    n = F.size("curve")
+    half = F.floor(n / 2).cast("int")
+    first, second = total(F.slice("curve", F.lit(1), half)), total(F.slice("curve", half + 1, n - half))
+    at = lambda v: F.floor(v / n / radius)
+    df = curves.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("label"), "curve", positive.alias("pos"), at(first + second).alias("bucket"), at(first - second).alias("turn"))
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    a = df.where("pos").withColumn("bucket", around("bucket")).withColumn("turn", around("turn"))
     b = df.where("not pos")
-    cut = lambda side, n: side.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
-    blocks = cut(a, "n_pos").join(cut(b, "n_neg"), "bucket")
+    place = ["bucket", "turn"]
+    cut = lambda side, n: side.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    blocks = cut(a, "n_pos").join(cut(b, "n_neg"), place)
     own = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = a.join(blocks, "bucket").withColumn("i", own("n_pos")).withColumn("j", each("n_neg"))
-    b = b.join(blocks, "bucket").withColumn("j", own("n_neg")).withColumn("i", each("n_pos"))
-    cols = [F.col(c).alias(c) for c in ("bucket", "i", "j", "k", "label", "curve")]
-    keys = ["bucket", "i", "j"]
+    a = a.join(blocks, place).withColumn("i", own("n_pos")).withColumn("j", each("n_neg"))
+    b = b.join(blocks, place).withColumn("j", own("n_neg")).withColumn("i", each("n_pos"))
+    cols = [F.col(c).alias(c) for c in (*place, "i", "j", "k", "label", "curve")]
+    keys = [*place, "i", "j"]
     met = a.select(*cols).groupBy(*keys).cogroup(b.select(*cols).groupBy(*keys)).applyInPandas(lambda x, y: _nearest_pairs(x, y, radius), "a long, label_a int, b long, label_b int, gap double")
     best = met.groupBy("a", "label_a").agg(F.min(F.struct("gap", "b", "label_b")).alias("m"))
     return best.select("a", "label_a", F.col("m.b").alias("b"), F.col("m.label_b").alias("label_b"), F.col("m.gap").alias("gap"))
