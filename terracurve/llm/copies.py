@@ -15,7 +15,9 @@ forest of the true links, never all pairs. Large components are cut into chunks,
 each pair of chunks is one task's work.
 
 Null texts count as empty. Texts without a shingle are like equal words only.
-Repeated rows belong to one component. Very long texts are read whole.
+Repeated rows belong to one component. Very long texts are read whole. Ties have no part in it: components don't depend on the order
+of rows, and their name is the smallest doc_id. Only doc_id and text are read, so other columns may have any names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,12 +1,10 @@
 """Packing: optimal length buckets and token-budget batches.
 
 Lengths (words) are counted in a global histogram, one row for each length that
-occurs; its size is bounded by the longest text and not by the rows. Dynamic
+occurs, at every size of the input: there are no more of them than the longest text has words,
+nor than the root of twice all words. Dynamic
 programming over it finds the bucket boundaries with the least total padding, in
-at most buckets * lengths * log(lengths) steps. Should texts have more than ``EXACT``
-different lengths, those above 4,096 words are binned, with 256 bins for each power
-of two; a boundary is then the greatest length seen in its bin, and the padding is
-the least for such boundaries, above the optimum by at most 1 / 256 of the words.
+at most buckets * lengths * log(lengths) steps.
 Within a bucket documents are shuffled by a seeded key and numbered without gaps;
 every ``budget // boundary`` of them, at least one, form a batch.
 
@@ -25,20 +23,13 @@ from pyspark.sql import functions as F
 from .common import running_total, shuffle_key, table, words, written
 
 BUCKETS, BUDGET, SEED = 16, 65_536, 29
-#: Different lengths up to which the histogram isn't binned.
-EXACT = 100_000
-
-
-def _bin():
-    shift = F.greatest(F.length(F.bin("n_tokens")) - 9, F.lit(0)).cast("int")
-    return F.when(F.col("n_tokens") <= 4096, F.col("n_tokens")).otherwise(F.call_function("shiftleft", F.call_function("shiftright", F.col("n_tokens"), shift), shift))
 
 
 def boundaries(most: list[int], count: list[int], total: list[int], buckets: int) -> list[int]:
     """Greatest lengths of the buckets, ascending, with the least sum of boundary minus length.
 
-    Bins are in order; each has its greatest length, its rows and the sum of
-    their lengths. ``best[j]`` is the least cost of bins before j. Costs are
+    ``most`` are lengths in order, with the rows of each and the sum of
+    their lengths. ``best[j]`` is the least cost of lengths before j. Costs are
     exact while they stay under 2**63, and rows times length does so in practice.
     """
     h = len(most)
@@ -50,7 +41,7 @@ def boundaries(most: list[int], count: list[int], total: list[int], buckets: int
     best[0] = 0
     for _ in range(min(buckets, h)):
         now, cut = np.full(h + 1, far, dtype=np.int64), np.zeros(h + 1, dtype=np.int64)
-        # The best first bin of the last bucket moves up with its end (the costs obey the quadrangle inequality), so halves are solved within bounds.
+        # The best first length of the last bucket moves up with its end (the costs obey the quadrangle inequality), so halves are solved within bounds.
         todo = [(1, h, 0, h - 1)]
         while todo:
             lo, hi, first, last = todo.pop()
@@ -71,11 +62,9 @@ def boundaries(most: list[int], count: list[int], total: list[int], buckets: int
     return found[::-1]
 
 
-def histogram(lengths: DataFrame, exact: int = EXACT) -> DataFrame:
-    """bin, most, count, total: one row for each length, or each bin if there are more than ``exact`` lengths."""
-    each = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("count"))
-    own = F.col("n_tokens") if each.limit(exact + 1).count() <= exact else _bin()
-    return each.groupBy(own.alias("bin")).agg(F.max("n_tokens").alias("most"), F.sum("count").alias("count"), F.sum(F.col("n_tokens") * F.col("count")).alias("total"))
+def histogram(lengths: DataFrame) -> DataFrame:
+    """n_tokens, count: one row for each length."""
+    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("count"))
 
 
 def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = SEED) -> DataFrame:
@@ -83,13 +72,12 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed:
     key = shuffle_key(seed)
     lengths = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_tokens"), key.alias("key")).withColumn("slice", F.substring("key", 1, 3))
     lengths = written(lengths, "pack-lengths")
-    bins = histogram(lengths).orderBy("bin").collect()  # bounded: see above
-    tops = boundaries([r["most"] for r in bins], [r["count"] for r in bins], [r["total"] for r in bins], buckets)
+    each = histogram(lengths).orderBy("n_tokens").collect()  # bounded: see above
+    tops = boundaries([r["n_tokens"] for r in each], [r["count"] for r in each], [r["n_tokens"] * r["count"] for r in each], buckets)
     edges = F.array(*(F.lit(x) for x in tops)).cast("array<bigint>")
     df = lengths.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("n_tokens")))).withColumn("padded_to", F.get(edges, F.col("bucket")))
     df = running_total(df, ["bucket", "padded_to"], "slice", ["key", "doc_id", "n_tokens"], F.lit(1), "rank")
-    each = F.greatest(F.expr(f"{budget} div greatest(padded_to, 1)"), F.lit(1)).cast("long")
-    df = df.withColumn("_each", each)
+    df = df.withColumn("_each", F.greatest(F.expr(f"{budget} div greatest(padded_to, 1)"), F.lit(1)).cast("long"))
     return df.select("doc_id", "n_tokens", "bucket", "padded_to", F.expr("rank div _each").alias("batch"), F.expr("rank % _each").alias("slot"), (F.col("padded_to") - F.col("n_tokens")).alias("padding"))
 
 

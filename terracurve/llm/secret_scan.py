@@ -117,7 +117,7 @@ def scan(docs: DataFrame, ledger: str, rules=RULES) -> DataFrame:
     found = _read(spark, f"{ledger}/findings", "blob binary, kind int, pair string, start bigint, end bigint")
     kinds = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(_pair(r)), F.lit(i))))
     found = found.withColumn("kind", kinds[F.col("pair")]).where(F.col("kind").isNotNull()).select("blob", "kind", "start", "end").distinct()
-    return found.join(blobs, "blob", "left_semi")
+    return found.join(blobs.distinct(), "blob", "left_semi")  # counted where they lie, so that the copies of a text don't meet in one task
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
