@@ -6,7 +6,7 @@ what a stage wrote on the way is deleted.
 
 Null texts count as empty and fail the quality rules. Rows without doc_id go
 through all stages; equal texts of theirs are copies. Repeated rows are copies too,
-so one stays. Very long texts are read whole by every stage. Extra columns, whatever
+so one stays. Ties are broken by doc_id, then by the text, in every stage; rows equal in both are one and the same. Very long texts are read whole by every stage. Extra columns, whatever
 their names, travel on to the last stage, which returns places in batches. An empty
 table gives an empty result.
 """
