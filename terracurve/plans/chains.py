@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import curve as c
@@ -14,13 +12,13 @@ from ..operators import sampling as s
 from ..operators import selection as sel
 from ..operators import tiles
 from ..schema import ACRE_M2, CODES
-from ..session import shared_dir
-from ..sources import io
-from ..sources.adapters import GRID_SQL, POLYGONS, grid, polygons, read, vec_curves
+from ..session import scratch
+from ..sources import io, lattice
+from ..sources.adapters import GRID_SQL, STARS_SQL, grid, polygons, read, stars, vec_curves
 from .cells import _LEAK_SQL, _LEAKS, _SAT, _WIDE_SQL, wide_cells
 from .curves import _NEAR_SQL, _R6, _SMOOTH_SQL, _rows_sql
 from .learning import _set
-from .pixels import _EDGES, _ERODED, _edges_sql, _inside_sql
+from .pixels import _EDGES, _ERODED, _inside_sql
 from .registry import query
 
 BANDS, WINDOW, BLOCK = 40, (3, 35), 16
@@ -132,14 +130,14 @@ def glob_match(spark, sf_dir):
 _VECTORS = (10.0, 0.0, 35.0, 25.0)
 
 
-@query(f"""with {_edges_sql("edges", POLYGONS)}, b as (select crop, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) area, min(x1) xmin, max(x1) xmax, min(y1) ymin, max(y1) ymax from edges group by crop)
-select crop, area from b where xmax >= {_VECTORS[0]} and ymax >= {_VECTORS[1]} and xmin <= {_VECTORS[2]} and ymin <= {_VECTORS[3]}""")
+@query(f"""with {STARS_SQL}, b as (select id, crop, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) area, min(x1) xmin, max(x1) xmax, min(y1) ymin, max(y1) ymax from star group by id, crop)
+select id, crop, area from b where xmax >= {_VECTORS[0]} and ymax >= {_VECTORS[1]} and xmin <= {_VECTORS[2]} and ymin <= {_VECTORS[3]}""")
 def vector_table(spark, sf_dir):
-    """Polygons written with their boxes, and those that meet a window read again."""
-    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}.parquet"
-    io.write_vectors(polygons(spark), path)
-    got = io.scan_boxed(spark, path, _VECTORS, ["crop", "xs", "ys"])
-    return got.select("crop", F.round(geo.area(F.col("xs"), F.col("ys")), 6).alias("area"))
+    """Fields written with their boxes, and those that meet a window read again."""
+    path = scratch(spark, "vectors")
+    io.write_vectors(lattice.boxed(stars(spark, sf_dir)), path)
+    got = io.scan_boxed(spark, path, _VECTORS, ["id", "crop", "xs", "ys"])
+    return got.select("id", "crop", F.round(geo.area(F.col("xs"), F.col("ys")), 6).alias("area"))
 
 
 @query("""with b as (select o_custkey % 50 pixel, strftime(o_orderdate, '%Y_%m_01') d, sum(o_totalprice)::double v from orders group by all)
@@ -163,7 +161,7 @@ def rf_kfold_report(spark, sf_dir):
 @query()
 def rf_saved_model(spark, sf_dir):
     """Predictions of a forest, of the same forest saved and loaded, and whether they agree."""
-    path = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
+    path = scratch(spark, "forest")
     df = _set(spark, sf_dir)
     model = ml.fit(ml.balanced(df), trees=5, depth=5)
     ml.save(model, path)
@@ -175,7 +173,7 @@ def rf_saved_model(spark, sf_dir):
 @query("""with t as (select count(distinct vec_id % 12) tiles from embeddings) select label::varchar code, count(*) n_rows, max(t.tiles) tiles, 64 dates, 'table' source from embeddings, t group by label""")
 def model_card_file(spark, sf_dir):
     """The card written to the shared folder and read again; it names the real source of the rows."""
-    path = f"{shared_dir(spark)}/card-{uuid.uuid4().hex}.json"
+    path = scratch(spark, "card")
     df = vec_curves(spark, sf_dir).select("label", "tile")
     io.write_json(spark, ml.card(df, [f"step_{i:02d}" for i in range(64)], CODES, ml.DEFAULTS, "table"), path)
     card = io.read_json(spark, path)

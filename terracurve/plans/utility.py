@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch
 from ..sources import io
 from ..sources.adapters import read
 from .registry import query
@@ -58,7 +56,7 @@ def json_metrics_roundtrip(spark, sf_dir):
 @query()
 def resumable_write(spark, sf_dir):
     """The second run adds only the items that the first lacked."""
-    path = f"{shared_dir(spark)}/resumable-{uuid.uuid4().hex}.parquet"
+    path = scratch(spark, "resumable")
     df = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     first = io.write_missing(spark, df.where("s_suppkey % 2 = 0"), path, "s_suppkey")
     second = io.write_missing(spark, df, path, "s_suppkey")
