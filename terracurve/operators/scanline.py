@@ -54,7 +54,8 @@ def _pixels(found: DataFrame, *names: str) -> DataFrame:
 def burn(pixels: DataFrame, shapes: DataFrame, key: str = "id", label: str = "crop") -> DataFrame:
     """row, col, label: pixels whose centre lies in a shape of that label, each once."""
     cells = _pixels(spans(shapes, key, label), label).distinct()
-    return pixels.select("row", "col").join(cells, ["row", "col"]).select("row", "col", label)
+    # Merged, as the planner guesses pixels by their files, which are far smaller than a table of them for a broadcast.
+    return pixels.select("row", "col").join(cells.hint("merge"), ["row", "col"]).select("row", "col", label)
 
 
 def within(pixels: DataFrame, shapes: DataFrame, key: str = "id", outside: bool = False) -> DataFrame:

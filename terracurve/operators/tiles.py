@@ -11,6 +11,10 @@ from ..functions import curve as c
 from ..functions.geo import pixel_centre
 from . import raster as r
 from . import scanline
+from .graph import cut_lineage
+
+#: Labelled pixels up to which they are broadcast.
+FEW = 50_000
 
 
 def labels_of(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -31,12 +35,16 @@ def labelled_rows(
 ) -> DataFrame:
     """row, col, crop, code, lon, lat, curve of the pixels that one crop holds and that have a value.
 
-    ``pixels``: row, col, red and nir (arrays by date). Labels come first, so that only labelled pixels carry their bands
-    through a shuffle. Curves are smoothed whole and cut to ``window`` (first place, number) afterwards.
+    ``pixels``: row, col, red and nir (arrays by date). Labels come first and are counted: a few meet the pixels where these
+    lie, and many are shuffled with them. Pixels are never broadcast, however small the planner takes their arrays for. Curves
+    are smoothed whole and cut to ``window`` (first place, number) afterwards.
     """
     names = F.create_map(*(x for k, v in codes.items() for x in (F.lit(k), F.lit(v))))
-    df = pixels.join(labels_of(pixels, polygons), ["row", "col"])
-    df = df.withColumn("curve", F.zip_with("nir", "red", c.normalized_difference)).where(c.has_value(F.col("curve")))
+    labels = cut_lineage(labels_of(pixels, polygons))
+    few = labels.limit(FEW + 1).count() <= FEW
+    df = pixels.join(labels.hint("broadcast" if few else "merge"), ["row", "col"])
+    # Depends on both sides, so that no curve is made of a pixel without a label.
+    df = df.withColumn("curve", F.when(F.col("crop").isNotNull(), F.zip_with("nir", "red", c.normalized_difference))).where(c.has_value(F.col("curve")))
     df = df.withColumn("curve", smooth(F.col("curve")))
     df = df if window is None else df.withColumn("curve", c.cut(F.col("curve"), *window))
     lon, lat = pixel_centre(F.col("col"), origin[0], step[0]), pixel_centre(F.col("row"), origin[1], step[1])

@@ -30,6 +30,18 @@ def test_golden_tile(spark):
     assert tiles.labelled_rows(px.limit(0), polygons(spark, _GOLDEN), CODES, (0.0, 0.0), (1.0, 1.0)).count() == 0
 
 
+def test_pixels_are_never_broadcast(spark, monkeypatch):
+    """Files of pixels are small beside the arrays made of them; few labels and many give the same rows."""
+    found = []
+    for few in (tiles.FEW, 0):
+        monkeypatch.setattr(tiles, "FEW", few)
+        df = catalog.QUERIES["tile_labelled_rows"](spark, SF)
+        assert "BuildLeft" not in df._jdf.queryExecution().executedPlan().toString()
+        found.append(spark_rows(df))
+    assert found[0][1] and found[0] == found[1]
+    assert "BroadcastHashJoin" not in catalog.QUERIES["scanline_burn"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quantiles_are_exact(spark):
     rows = [("a", float(x)) for x in [3, 1, 2, 2, 2, 9.5, -4]] + [("b", 0.001 * i) for i in range(100)] + [("b", None), ("c", None), (None, 7.0)]
     got = {r["g"]: (r["q0"], r["q1"]) for r in running.quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], [0.5, 0.9]).collect()}
