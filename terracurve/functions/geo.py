@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .curve import let
+
 
 def edges(xs: Column, ys: Column) -> Column:
     """(x1, y1, x2, y2) of each edge, the closing one included."""
@@ -76,8 +78,11 @@ def clipped_to_box(shapes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Co
             cut = point(a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"]))
             return F.concat(F.when(inside(a), F.array(a)).otherwise(none), F.when(inside(a) != inside(b), F.array(cut)).otherwise(none))
 
-        after = F.concat(F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0))), F.slice("_v", 1, 1))
-        df = df.withColumn("_v", F.flatten(F.zip_with("_v", after, pieces)))
+        def clipped(v: Column) -> Column:
+            after = F.concat(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 1, 1))
+            return F.flatten(F.zip_with(v, after, pieces))
+
+        df = df.withColumn("_v", let(F.col("_v"), clipped))  # a filter on what is left takes all four sides to where the shapes are read, each once
     return df.withColumns({"xs": F.transform("_v", lambda p: p["x"]), "ys": F.transform("_v", lambda p: p["y"])}).drop("_v")
 
 

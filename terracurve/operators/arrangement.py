@@ -13,6 +13,8 @@ band of heights. Work for a key is that of its edges' slabs; a key with n long e
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,21 +83,95 @@ def trapezoid_vertices() -> tuple[Column, Column]:
     return F.array("left_low", "right_low", "right_high", "left_high"), F.array("low", "low", "high", "high")
 
 
+#: Edges of a cell up to which one task dissolves them in memory, pairs of edges that it compares at a time, and sides of slabs that it holds at a time.
+MANY, PAIRS, SIDES = 1_000, 1 << 20, 1 << 20
+
+
+def _heights(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """Heights of all ends of edges, and where two of them cross or touch, in order."""
+    found, step = [y1, y2], max(PAIRS // len(x1), 1)
+    dx, dy = x2 - x1, y2 - y1
+    for at in range(0, len(x1), step):
+        part = slice(at, at + step)
+        a = [v[part, None] for v in (x1, y1, dx, dy)]
+        d = a[2] * dy - a[3] * dx
+        ok = d != 0
+        d = np.where(ok, d, 1.0)
+        bx, by = x1 - a[0], y1 - a[1]
+        t, u = (bx * dy - by * dx) / d, (bx * a[3] - by * a[2]) / d
+        ok &= (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        found.append((a[1] + t * a[3])[ok])
+    return np.unique(np.concatenate(found))
+
+
+def _union(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """low, high, left_low, left_high, right_low, right_high of the places where the turns of the edges to the left don't add up to 0.
+
+    A trapezoid reaches from one outer side to the next, and goes on for as many slabs as both sides do.
+    """
+    ys = _heights(x1, y1, x2, y2)
+    first, end = np.searchsorted(ys, y1), np.searchsorted(ys, y2)
+    active = np.cumsum(np.bincount(first, minlength=len(ys)) - np.bincount(end, minlength=len(ys)))
+    block = np.cumsum(active) // SIDES
+    found = []
+    for s0, s1 in zip(*(np.searchsorted(block, np.unique(block), side=side) for side in ("left", "right")), strict=True):
+        a, n = np.maximum(first, s0), np.maximum(np.minimum(end, s1) - np.maximum(first, s0), 0)
+        e = np.repeat(np.arange(len(n)), n)
+        slab = np.arange(len(e)) + np.repeat(a - np.cumsum(n) + n, n)
+
+        def at(y: np.ndarray, e: np.ndarray) -> np.ndarray:
+            return np.where(y == y2[e], x2[e], x1[e] + (x2[e] - x1[e]) * ((y - y1[e]) / (y2[e] - y1[e])))
+
+        order = np.lexsort((at(ys[slab], e) + at(ys[np.minimum(slab + 1, len(ys) - 1)], e), slab))
+        e, slab = e[order], slab[order]
+        so_far = np.cumsum(turns[e])  # 0 after every slab, as rings are closed
+        before = so_far - turns[e]
+        left, right = np.flatnonzero((before == 0) & (so_far != 0)), np.flatnonzero((before != 0) & (so_far == 0))
+        a, b, slab = e[left], e[right], slab[left]
+        order = np.lexsort((slab, b, a))
+        a, b, slab = a[order], b[order], slab[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (slab[1:] != slab[:-1] + 1)
+        to = np.append(np.flatnonzero(new)[1:], len(a)) - 1 if len(a) else np.flatnonzero(new)
+        a, b, low, high = a[new], b[new], ys[slab[new]], ys[slab[to] + 1]
+        found.append(np.stack([low, high, at(low, a), at(high, a), at(low, b), at(high, b)]))
+    return np.concatenate(found, axis=1)
+
+
 def dissolved(shapes: DataFrame, side: float, *keys: str) -> DataFrame:
     """keys, ci, cj, and trapezoids of the union of all simple shapes (keys, xs, ys) of the same keys, cell by cell of ``side``.
 
-    Shapes are cut by the cells they meet, so a task holds what lies in one cell, however many shapes the keys have. All
-    rings are turned the same way; a place is in the union if the edges to its left go up more often than down.
+    Shapes are cut by the cells they meet, so a task holds what lies in one cell, however many shapes the keys have; equal
+    shapes count once. All rings are turned the same way; a place is in the union if the edges to its left go up more often than
+    down. Only the union's outer sides leave a task. Cells of more than ``MANY`` edges are dealt to many tasks by their slabs.
     """
     along = lambda c, n: F.explode(F.sequence(F.floor(F.array_min(c) / side), F.floor(F.array_max(c) / side))).alias(n)
-    df = shapes.select(*keys, "xs", "ys", along("xs", "ci")).select("*", along("ys", "cj"))
-    df = clipped_to_box(df, F.col("ci") * side, F.col("cj") * side, (F.col("ci") + 1) * side, (F.col("cj") + 1) * side).where(F.size("xs") > 2)
     at = [*keys, "ci", "cj"]
+    df = shapes.select(*keys, "xs", "ys").distinct().select(*keys, "xs", "ys", along("xs", "ci")).select("*", along("ys", "cj"))
+    df = clipped_to_box(df.repartition(*at), F.col("ci") * side, F.col("cj") * side, (F.col("ci") + 1) * side, (F.col("cj") + 1) * side).where(F.size("xs") > 2)
     e = edge_rows(df.withColumn("left", signed_area(F.col("xs"), F.col("ys")) > 0), *at, "left").where("y1 <> y2")
     up = F.col("y1") < F.col("y2")
     ends = [F.when(up, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
     turns = F.when(up == F.col("left"), -1).otherwise(1)
-    return trapezoids(e.select(*at, F.lit(0).alias("layer"), turns.alias("turns"), *ends), *at, winding=True).drop("in0", "in1")
+    e = cut_lineage(e.select(*at, turns.alias("turns"), *ends))
+    full = e.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MANY).drop("_n")
+    full = cut_lineage(full.select(*(F.col(c).alias(f"_{c}") for c in at)))
+    same = F.lit(True)
+    for c in at:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    names = ["low", "high", "left_low", "left_high", "right_low", "right_high"]
+
+    def one(cell: pa.Table) -> pa.Table:
+        got = _union(*(cell.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2", "turns")))
+        first = np.zeros(got.shape[1], dtype=np.int64)
+        return pa.table({c: cell.column(c).take(first) for c in at} | dict(zip(names, got, strict=True)))
+
+    types = ", ".join(f"`{c}` {e.schema[c].dataType.simpleString()}" for c in at)
+    light = e.join(full, same, "left_anti").groupBy(*at).applyInArrow(one, f"{types}, {', '.join(f'{c} double' for c in names)}")
+    if full.limit(1).count() == 0:
+        return light
+    dense = e.join(full, same, "left_semi").select(*at, F.lit(0).alias("layer"), "turns", "x1", "y1", "x2", "y2")
+    return light.unionByName(trapezoids(dense, *at, winding=True).select(*at, *names))
 
 
 def overlaid(first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:

@@ -4,9 +4,11 @@ import math
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terracurve.functions import geo
 from terracurve.functions import projection as pr
 from terracurve.operators import arrangement as ar
 from terracurve.operators import graph, nearness, raster, scanline
@@ -271,3 +273,29 @@ def test_cells_near_shapes(spark):
 @pytest.mark.parametrize("name", ["buffered_exclusion", "points_near_areas", "clip_polygons", "scanline_burn"])
 def test_no_nested_loops(spark, name):
     assert "NestedLoop" not in catalog.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_union_is_its_outer_sides(spark, monkeypatch):
+    """Shapes upon one another leave few trapezoids, copies count once, and cells too full for one task give the same area."""
+    rng = random.Random(5)
+    rows = [(k % 2, *ring(rng, 5, size=3, ox=rng.uniform(0, 3), oy=rng.uniform(0, 3))) for k in range(40)]
+    df = spark.createDataFrame(rows + rows, "k long, xs array<double>, ys array<double>")
+    area = lambda parts: {r["k"]: r["a"] for r in parts.groupBy("k").agg(F.sum(ar.trapezoid_area()).alias("a")).collect()}
+    parts = ar.dissolved(df, 4.0, "k").persist()
+    light, n = area(parts), parts.count()
+    assert n < 20 * len(rows)
+    monkeypatch.setattr(ar, "MANY", 8)
+    assert area(ar.dissolved(df, 4.0, "k")) == pytest.approx(light, rel=1e-9)
+    monkeypatch.setattr(ar, "MANY", 1000)
+    for name in ("PAIRS", "SIDES"):
+        monkeypatch.setattr(ar, name, 64)
+    one = [np.array(v) for v in ([0.0, 2, 1, 3], [0.0, 0, 1, 1], [0.0, 2, 1, 3], [2.0, 2, 3, 3], [1, -1, 1, -1])]
+    got = ar._union(*one)
+    assert sorted(map(tuple, got.T)) == [(0, 1, 0, 0, 2, 2), (1, 2, 0, 0, 3, 3), (2, 3, 1, 1, 3, 3)]
+
+
+def test_a_clip_step_is_computed_once(spark):
+    """A filter on what is left of a shape must not multiply the steps before."""
+    df = spark.createDataFrame([(1, [0.0, 4.0, 0.0], [0.0, 0.0, 4.0])], "id long, xs array<double>, ys array<double>")
+    cut = geo.clipped_to_box(df, *map(F.lit, (1.0, 1.0, 2.0, 2.0))).where(F.size("xs") > 2)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("zip_with") < 20
