@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut_lineage
 from .scanline import border, edge_rows, spans
 
 _EDGE = ("x1", "y1", "x2", "y2")
@@ -57,20 +58,38 @@ def cells_near(cells: DataFrame, shapes: DataFrame, side: float, distance: float
     return met.select(F.col("ci").alias("i"), F.col("cj").alias("j")).union(ij.join(held, ["ci", "cj"]).select("ci", "cj")).distinct()
 
 
+#: Parts that the keys of equal shapes are dealt into.
+PARTS = 256
+
+
 def points_near(points: DataFrame, shapes: DataFrame, distance: float, id_col: str, x: str, y: str, key: str = "id") -> DataFrame:
-    """id_col, key of points in a shape or no farther than ``distance`` from it, each pair once."""
-    p = points.select(F.col(id_col).alias("_p"), (F.col(x) / distance).alias("_x"), (F.col(y) / distance).alias("_y"))
-    p = p.withColumn("ci", F.floor("_x")).withColumn("cj", F.floor("_y"))
+    """id_col, key of points in a shape or no farther than ``distance`` from it, each pair once.
+
+    Places and forms meet, each once; points then get the keys of the forms near their place, as lists that are unfolded last. So
+    no pair of a point and a shape is shuffled or held, but for points that are given at several places.
+    """
+    p = points.select(F.col(id_col).alias("_p"), (F.col(x) / distance).alias("_x"), (F.col(y) / distance).alias("_y")).where("_x is not null and _y is not null")
     px, py = F.col("_x"), F.col("_y")
-    met = p.join(_dealt(shapes, distance, key), ["ci", "cj"]).where(to_segment(px, py) <= 1.0).select("_p", key)
-    # Ray through the point: the cells of a shape's rows, so that no point meets a shape that is elsewhere.
-    scaled = _scaled(shapes, distance, key)
-    rows = edge_rows(scaled, key).where("y1 <> y2")
+    keyed = shapes.select(key, F.struct("xs", "ys").alias("_ring")).groupBy(key).agg(F.sort_array(F.collect_list("_ring")).alias("_rings"))
+    keyed = cut_lineage(keyed.select(key, F.sha2(F.to_json("_rings"), 256).alias("_f"), "_rings"))
+    forms = keyed.groupBy("_f").agg(F.first("_rings").alias("_rings"))
+    rings = forms.select("_f", F.inline("_rings"))
+    at = p.select("_x", "_y").distinct().withColumn("ci", F.floor("_x")).withColumn("cj", F.floor("_y"))
+    met = at.join(_dealt(rings, distance, "_f"), ["ci", "cj"]).where(to_segment(px, py) <= 1.0).select("_x", "_y", "_f")
+    # Ray through the point: the cells of a form's rows, so that no place meets a form that is elsewhere.
+    rows = edge_rows(_scaled(rings, distance, "_f"), "_f").where("y1 <> y2")
     rows = rows.withColumn("cj", F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))))
-    box = scaled.select(F.col(key).alias("_k"), F.floor(F.array_min("xs")).alias("_i0"), F.floor(F.array_max("xs")).alias("_i1"), F.floor(F.array_min("ys")).alias("_j0"), F.floor(F.array_max("ys")).alias("_j1"))
+    bound = lambda f, c: F.floor(f(F.flatten(F.transform("_rings", lambda r: r[c]))) / distance)
+    box = forms.select("_f", *(bound(f, c).alias(n) for n, f, c in (("_i0", F.array_min, "xs"), ("_i1", F.array_max, "xs"), ("_j0", F.array_min, "ys"), ("_j1", F.array_max, "ys"))))
     box = box.withColumn("ci", F.explode(F.sequence("_i0", "_i1"))).withColumn("cj", F.explode(F.sequence("_j0", "_j1")))
-    asks = p.join(box.select("_k", "ci", "cj"), ["ci", "cj"]).select("_p", "_x", "_y", "_k", "cj")
-    e = rows.withColumnRenamed(key, "_k")
+    asks = at.join(box.select("_f", "ci", "cj"), ["ci", "cj"]).select("_x", "_y", "_f", "cj")
     ray = ((F.col("y1") > py) != (F.col("y2") > py)) & (px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    held = asks.join(e, ["_k", "cj"]).where(ray).groupBy("_p", "_k").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("_p", F.col("_k").alias(key))
-    return met.union(held).distinct().withColumnRenamed("_p", id_col)
+    held = asks.join(rows, ["_f", "cj"]).where(ray).groupBy("_x", "_y", "_f").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("_x", "_y", "_f")
+    lists = keyed.groupBy("_f", F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("_part")).agg(F.collect_list(F.struct(key)).alias("_keys"))
+    near = cut_lineage(met.union(held).distinct().join(lists, "_f").select("_x", "_y", "_keys"))
+    places = p.groupBy("_p").agg(F.min(F.struct("_x", "_y")).alias("_a"), F.max(F.struct("_x", "_y")).alias("_b"))
+    several = places.where("_a <> _b").select(F.col("_p").alias("_q"))
+    unfolded = lambda df: df.join(near.hint("merge"), ["_x", "_y"]).select("_p", F.inline("_keys"))
+    once = unfolded(places.where("_a = _b").select("_p", "_a.*"))
+    more = unfolded(p.join(several, F.col("_p").eqNullSafe(F.col("_q")), "left_semi")).distinct()
+    return once.union(more).withColumnRenamed("_p", id_col)

@@ -299,3 +299,25 @@ def test_a_clip_step_is_computed_once(spark):
     df = spark.createDataFrame([(1, [0.0, 4.0, 0.0], [0.0, 0.0, 4.0])], "id long, xs array<double>, ys array<double>")
     cut = geo.clipped_to_box(df, *map(F.lit, (1.0, 1.0, 2.0, 2.0))).where(F.size("xs") > 2)
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("zip_with") < 20
+
+
+def test_pairs_of_points_and_areas_are_not_shuffled(spark):
+    """Many points at few places near many equal areas; an area of two rings, a point at two places, a hole."""
+    square = lambda a, b: ([a, b, b, a], [a, a, b, b])
+    shapes = [(k, *square(0.0, 5.0)) for k in range(100)] + [(200, *square(0.0, 5.0)), (200, *square(1.5, 3.5)), (300, *square(20.0, 20.2)), (300, *square(20.4, 20.6))]
+    at = [(2.5, 2.5), (0.5, 0.5), (20.1, 20.1), (9.0, 9.0)]
+    rows = [(i, *at[i % 4]) for i in range(400)] + [(400, 2.5, 2.5), (400, 0.5, 0.5), (401, None, 1.0)]
+    pts = spark.createDataFrame(rows, "p long, x double, y double")
+    areas = spark.createDataFrame(shapes, "id long, xs array<double>, ys array<double>")
+    got = nearness.points_near(pts, areas, 0.3, "p", "x", "y")
+    pairs = sorted(map(tuple, got.collect()))
+    near = {0: set(range(100)), 1: {*range(100), 200}, 2: {300}, 3: set()}
+    want = {(i, k) for i in range(400) for k in near[i % 4]} | {(400, k) for k in near[1]}
+    assert pairs == sorted(want)
+    store, sc = spark._jsc.sc().statusStore(), spark.sparkContext
+    sc.setJobGroup("near", "near")
+    nearness.points_near(pts, areas, 0.3, "p", "x", "y").write.format("noop").mode("overwrite").save()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("near") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 10_000 < len(pairs)
