@@ -12,23 +12,17 @@ longest run has 25), and two texts with a common run have a joint window there
 with one key. So no hash need be lucky, and a frequent line that is shorter than
 a run seldom makes a key.
 
-Every window is linked to the first one of its key (by text and place, not by
-partition). Links of a pair of texts that follow one another are joined to
-regions, which are verified on their tokens: the longest spans whose tokens
-occur in the other region with a density of ``DENSE``, trimmed to tokens in
+All texts that share a key are compared. Under a key of few windows pairs of windows are rows; those of
+a pair of texts that follow one another are joined to regions, which are verified on their tokens: the longest
+spans whose tokens occur in the other region with a density of ``DENSE``, trimmed to tokens in
 common, are a passage if both hold ``WORDS`` words and their Jaccard similarity is
-at least ``LEAST``. Similarity isn't transitive, and the first window of a frequent
-line's key resembles few others. So windows that no verified passage settles are dealt again by
-their key and what stands around them: the minima, under ``MINIMA`` functions, of ``BLOCKS`` blocks
-of ``BLOCK`` tokens on either side. Windows of one passage agree in some block, as
-the passage reaches beyond the line; those that share the line only agree in blocks within it. Each is linked to the
-first one of every such key, in ``ROUNDS`` rounds of other functions, however little a round
-finds. So the work is linear in the windows, and pairs within a key are never made.
-
-What may be lost: two passages whose common keys are all shared with others that
-come first and resemble neither, where no block's minimum agrees or those too come
-after others, and further links of a passage
-that is linked already. tests/llm measures the recall; README has figures.
+at least ``LEAST``; where they aren't, all spans of ``TOKENS`` tokens are compared. Texts with a key of over ``LARGE`` windows are
+dealt into blocks, and a task takes two blocks that have such a key in common. There texts that hold the same
+of what others hold too are one class; pairs of classes are verified, and links are counted for each text, so pairs of texts are never
+rows. A pair with a large key is compared there only, any other one by its regions only.
+
+The blocks' pairs, and the pairs of classes of texts that differ in what they share (edited copies of one text), grow with the
+square of a group. Where a text repeats a passage, each of its places is compared until it is linked.
 
 Equal texts are compared once, and copies get the passages of their text. Classes
 of passages are components of the verified links and of equal texts of ``WORDS``
@@ -43,6 +37,9 @@ have any names. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,12 +61,14 @@ SPAN = RUN - ANCHOR + 1
 #: A span has density p / q if hits * q >= p * length. A similarity of 0.8 needs 8 / 9; a long span that
 #: has no more than that may yet fail, so denser ones in it are tried, down to unbroken runs.
 DENSE = [(8, 9), (19, 20), (1, 1)]
+#: Tokens in common of two spans of TOKENS that have that similarity, and spans of a text that are compared with others at once.
+COMMON, STRIP = math.ceil(2 * TOKENS * LEAST / (1 + LEAST)), 128
 #: Words by which offsets in a region may differ from one window to the next, and places from one window to the next.
 DRIFT, GAP = 16, 2 * MARGIN
 #: Bounds of regions are rounded to this, so that a text's regions with many others are the same few.
 ROUND = 64
-#: Rounds that deal windows by what stands around them; tokens of a block of these, blocks on either side, and hash functions of a block.
-ROUNDS, BLOCK, BLOCKS, MINIMA = 2, 8, 6, 2
+#: A key of more windows is large: its pairs of texts aren't made as rows but counted by pairs of blocks of about MEMBERS texts.
+LARGE, MEMBERS = 32, 256
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -146,33 +145,47 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(text), pa.array(c.astype(np.int32))], ["key", "text", "c"])
 
 
-def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads windows sorted by (key, text, c): links each window of another text than its key's first one to that; n: windows of the key so far, the first one not counted."""
-    key = first = text = c = n = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [batch.column(i).to_numpy() for i in range(3)]
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads windows sorted by (key, text, c): gives those of keys that two texts or more have, each once; large: the key has over ``LARGE`` windows."""
+    held, before = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)], None
+    for batch in itertools.chain(batches, [None]):
+        rows = held if batch is None else [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
         new = np.ones(len(rows[0]), dtype=bool)
-        new[1:] = rows[0][1:] != rows[0][:-1]
-        new[0] = rows[0][0] != key
-        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-        head = np.maximum(start, 0)
-        t2, c2 = np.where(start < 0, text if text is not None else 0, rows[1][head]), np.where(start < 0, c if c is not None else 0, rows[2][head])
-        n_ = np.arange(len(new)) - start + np.where(start < 0, n if n is not None else 0, 0)
-        again = np.zeros(len(new), dtype=bool)
-        again[1:] = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1]) & (rows[2][1:] == rows[2][:-1])
-        on = np.flatnonzero((rows[1] != t2) & ~again)
-        key, text, c, n = rows[0][-1], t2[-1], c2[-1], n_[-1]
-        if len(on):
-            cols = [rows[0][on], rows[1][on], rows[2][on], t2[on], c2[on].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in cols], ["key", "t1", "c1", "t2", "c2"])
-
-
-def window_links(rows: DataFrame) -> DataFrame:
-    """key, t1, c1, t2, c2: every window linked to the first one (by text, then place) of its key. ``rows``: text_hash, text (binary)."""
+        new[1:] = np.any([z[1:] != z[:-1] for z in rows], axis=0)
+        if before is not None and len(new):
+            new[0] = any(z[0] != y for z, y in zip(rows, before, strict=True))
+        rows = [z[new] for z in rows]
+        key, text, _ = rows
+        if not len(key):
+            held = rows
+            continue
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(start, len(key)))
+        on = before is not None and key[0] == before[0]  # the first key is a large one that was given in part
+        large, give = count > LARGE, text[start] != text[start + count - 1]
+        large[0] |= on
+        give[0] |= on
+        if batch is not None:  # the last key may go on
+            give[-1] &= large[-1]
+        keep = start[-1] if batch is not None and not give[-1] else len(key)
+        before = [z[-1] for z in rows] if give[-1] else None
+        chosen = np.repeat(give, count)
+        if chosen.any():
+            yield pa.RecordBatch.from_arrays([*(pa.array(z[chosen]) for z in rows), pa.array(np.repeat(large, count)[chosen])], ["key", "t", "c", "large"])
+        held = [z[keep:] for z in rows]
+
+
+def shared_windows(rows: DataFrame) -> DataFrame:
+    """key, t, c, large: the windows whose key two texts or more have. ``rows``: text_hash, text (binary)."""
     windows = rows.mapInArrow(_windows, "key long, text long, c int")
-    return windows.repartition("key").sortWithinPartitions("key", "text", "c").mapInArrow(_starred, "key long, t1 long, c1 int, t2 long, c2 int")
+    return windows.repartition("key").sortWithinPartitions("key", "text", "c").mapInArrow(_shared, "key long, t long, c int, large boolean")
+
+
+def window_links(shared: DataFrame) -> DataFrame:
+    """t1, c1, t2, c2: all pairs of windows of two texts under each key that isn't large, at most ``LARGE`` / 2 for each window."""
+    small = shared.where("not large")
+    one, two = small.select("key", F.col("t").alias("t1"), F.col("c").alias("c1")), small.select(F.col("key").alias("_key"), F.col("t").alias("t2"), F.col("c").alias("c2"))
+    return one.join(two, (F.col("key") == F.col("_key")) & (F.col("t1") > F.col("t2"))).select("t1", "c1", "t2", "c2")
 
 
 def regions(links: DataFrame) -> DataFrame:
@@ -227,42 +240,92 @@ def _trimmed(hit: np.ndarray, span: tuple[int, int]) -> tuple[int, int]:
     return span[0] + int(inside[0]), span[0] + int(inside[-1]) + 1
 
 
-def _similarity(x: np.ndarray, y: np.ndarray) -> float:
-    one, two = np.unique(x), np.unique(y)
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return both / (len(one) + len(two) - both)
+def _marked(x: np.ndarray, n: int) -> np.ndarray:
+    """Of each number below ``n``: whether ``x`` has it."""
+    out = np.zeros(n, dtype=bool)
+    out[x] = True
+    return out
+
+
+def _similarity(x: np.ndarray, y: np.ndarray, n: int) -> float:
+    one, two = _marked(x, n), _marked(y, n)
+    return np.count_nonzero(one & two) / np.count_nonzero(one | two)
+
+
+def _full(hit: np.ndarray) -> np.ndarray:
+    """The places from which on ``TOKENS`` places have the ``COMMON`` hits that two such spans of a similarity of ``LEAST`` share."""
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return np.flatnonzero(total[TOKENS:] - total[:-TOKENS] >= COMMON)
+
+
+def _spans_in(x: np.ndarray, y: np.ndarray, n: int) -> tuple[int, int, int, int, float] | None:
+    """The first of the spans of ``TOKENS`` tokens, each against each, that are similar enough, and those of x that follow it without a gap."""
+    todo = _full(_marked(y, n)[x])
+    while len(todo):
+        some, todo = todo[todo < todo[0] + STRIP], todo[todo >= todo[0] + STRIP]
+        part = x[some[0] : some[-1] + TOKENS]
+        others = _full(_marked(part, n)[y])
+        while len(others):
+            near, others = others[others < others[0] + STRIP], others[others >= others[0] + STRIP]
+            same = np.zeros((len(part) + 1, near[-1] - near[0] + TOKENS + 1), dtype=np.int32)
+            same[1:, 1:] = part[:, None] == y[None, near[0] : near[-1] + TOKENS]
+            same = same.cumsum(axis=0).cumsum(axis=1)
+            both = same[TOKENS:, TOKENS:] - same[:-TOKENS, TOKENS:] - same[TOKENS:, :-TOKENS] + same[:-TOKENS, :-TOKENS]
+            found = None
+            for r in np.flatnonzero((both >= COMMON).any(axis=1)).tolist():
+                v, p = int(near[0]) + int(both[r].argmax()), int(some[0]) + r
+                s = _similarity(x[p : p + TOKENS], y[v : v + TOKENS], n)
+                if s < LEAST:
+                    continue
+                if found and p > found[1] - TOKENS + 1:
+                    break
+                found = (found[0], p + TOKENS, min(found[2], v), max(found[3], v + TOKENS), max(found[4], s)) if found else (p, p + TOKENS, v, v + TOKENS, s)
+            if found:
+                return found
+    return None
 
 
 def passages_in(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
     """(first, end) in x and in y, in tokens, and similarity of the passages in common; longest first, then on either side of it.
 
     A span counts if it is long enough and similar enough, with or without the tokens at its ends that aren't in common; it is
-    given without them. So a run of 45 words counts that spans of 50 words around it share to 0.8.
+    given without them. So a run of 45 words counts that spans of 50 words around it share to 0.8. Where the longest spans aren't
+    similar enough, all spans of ``TOKENS`` tokens are tried.
     """
-    todo, in_y = [(0, len(x))], np.isin(x, y)
+    ids, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y, n = both[: len(x)], both[len(x) :], len(ids)
+    todo, in_y = [(0, len(x), True)], _marked(y, n)[x]
     while todo:
-        a, b = todo.pop()
+        a, b, new = todo.pop()
         if b - a < TOKENS:
             continue
-        p = q = None
+        p = q = found = None
         for part in DENSE:
             own = _dense(in_y[a:b], part)
             if own is None or own[1] - own[0] < TOKENS:
                 break
             own = (a + own[0], a + own[1])
             p, q = _trimmed(in_y, own)
-            hit = np.isin(y, x[p:q])
+            hit = _marked(x[p:q], n)[y]
             other = _dense(hit, part)
             if other is None or other[1] - other[0] < TOKENS:
                 continue
             u, v = _trimmed(hit, other)
-            s = _similarity(x[p:q], y[u:v]) if min(q - p, v - u) >= TOKENS else 0.0
-            s = s if s >= LEAST else _similarity(x[own[0] : own[1]], y[other[0] : other[1]])
+            s = _similarity(x[p:q], y[u:v], n) if min(q - p, v - u) >= TOKENS else 0.0
+            s = s if s >= LEAST else _similarity(x[own[0] : own[1]], y[other[0] : other[1]], n)
             if s >= LEAST:
-                yield p, q, u, v, s
+                found = p, q, u, v, s
                 break
+        if p is not None and not found and new:
+            found = _spans_in(x[a:b], y, n)
+            if found:
+                p, q = a + found[0], a + found[1]
+                found = p, q, *found[2:]
+            new = found is not None
+        if found:
+            yield found
         if p is not None:
-            todo += [(a, p), (q, b)]
+            todo += [(a, p, new), (q, b, new)]
 
 
 _FOUND = "t1 long, s1 int, e1 int, t2 long, s2 int, e2 int, similarity double"
@@ -303,102 +366,247 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     return both.select("t1", "l1", "x", "t2", "l2", "y").mapInArrow(_verified, _FOUND)
 
 
-def unsettled(links: DataFrame, found: DataFrame) -> DataFrame:
-    """key, t1, c1 of the links that no passage of ``found`` covers on both sides."""
-    spans = found.groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.collect_list(F.struct("s1", "e1", "s2", "e2")).alias("_spans"))
-    covered = F.exists("_spans", lambda s: (F.col("c1") >= s["s1"]) & (F.col("c1") < s["e1"]) & (F.col("c2") >= s["s2"]) & (F.col("c2") < s["e2"]))
-    met = links.join(spans, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left")
-    return met.where(~F.coalesce(covered, F.lit(False))).select("key", "t1", "c1")
+def members(shared: DataFrame) -> DataFrame:
+    """t, block, windows, keys (the large ones): the texts that have a large key, dealt into blocks of about ``MEMBERS`` by the smallest."""
+    large = shared.where("large").groupBy(F.col("t").alias("_t")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    met = shared.join(large, F.col("t") == F.col("_t")).groupBy("t").agg(F.collect_list(F.struct("key", "c", "large")).alias("windows"), F.first("keys").alias("keys"))
+    met = written(met.withColumn("_least", F.col("keys")[0]), "large")
+    of = met.groupBy(F.col("_least").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("_n"))
+    return met.join(of, F.col("_least") == F.col("_key")).select("t", F.xxhash64("_least", F.pmod(F.xxhash64("t"), "_n")).alias("block"), "windows", "keys")
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """Keys of windows with the minima of the blocks around them. Blocks that the text is too short for are left out."""
-    offsets = [BLOCK * b + (b >= 0) for b in range(-BLOCKS, BLOCKS)]
+def _hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens, cut to 32 bits, of each text from its first window to its last, with a margin; l: the first one's place."""
+    schema = pa.schema([("_t", pa.int64()), ("l", pa.int32()), ("x", pa.list_(pa.int32()))])
     for batch in batches:
-        found = []
+        out, held = [], 0
         for name, body, windows in zip(batch.column("text_hash").to_pylist(), batch.column("text"), batch.column("windows"), strict=True):
-            x = tokens(body.as_buffer().to_pybytes())
-            key, c = (windows.values.field(n).to_numpy(zero_copy_only=False) for n in ("key", "c"))
-            key = key.view(np.uint64)
-            for f in range(MINIMA):
-                h = _mixed(x ^ _mixed(np.array([seed * MINIMA + f + 1], dtype=np.uint64) * _ODD[3]))
-                least = h.copy()
-                for step in (1, 2, 4):  # minima of BLOCK tokens from each place on
-                    least = np.minimum(least[: len(least) - step], least[step:]) if len(least) > step else least[:0]
-                for n, offset in enumerate(offsets):
-                    ok = np.flatnonzero((c + offset >= 0) & (c + offset < len(least)))
-                    if len(ok):
-                        sub = _mixed(key[ok] ^ _mixed(least[c[ok] + offset] + np.uint64(f * len(offsets) + n) * _ODD[4]))
-                        found.append((sub, np.full(len(ok), name, dtype=np.int64), c[ok]))
-        if found:
-            sub, t, c = (np.concatenate(z) for z in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(sub.view(np.int64)), pa.array(t), pa.array(c.astype(np.int32))], ["key", "t1", "c1"])
-
-
-def by_context(left: DataFrame, docs: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
-    """key, t1, c1: the windows of ``left`` (key, t1, c1) under a key for each block around them."""
-    wanted = left.distinct().groupBy("t1").agg(F.collect_list(F.struct("key", F.col("c1").alias("c"))).alias("windows"))
-    return _with_texts(wanted.withColumnRenamed("t1", "t"), docs, ids, "windows").mapInArrow(lambda batches: _contexts(batches, seed), "key long, t1 long, c1 int")
-
-
-def redealt(left: DataFrame) -> DataFrame:
-    """Links of the windows of ``left`` (key, t1, c1) to the first one of each key, each once; the smaller text hash is the second, as in ``window_links``."""
-    first = left.groupBy("key").agg(F.min(F.struct("t1", "c1")).alias("f"), F.max("t1").alias("most")).where("f.t1 < most")
-    first = written(first.select(F.col("key").alias("_key"), F.col("f.t1").alias("t2"), F.col("f.c1").alias("c2")), "firsts")
-    return left.join(first, F.col("key") == F.col("_key")).where("t1 <> t2").select("t1", "c1", "t2", "c2").distinct()
-
-
-def unlinked(left: DataFrame, found: DataFrame) -> DataFrame:
-    """The windows of ``left`` (key, t1, c1) that no passage of ``found`` covers."""
-    each = found.select(F.col("t1").alias("t"), F.col("s1").alias("s"), F.col("e1").alias("e")).union(found.select("t2", "s2", "e2")).distinct()
-    spans = each.groupBy(F.col("t").alias("_t")).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    covered = F.exists("_spans", lambda p: (F.col("c1") >= p["s"]) & (F.col("c1") < p["e"]))
-    met = left.join(spans, F.col("t1") == F.col("_t"), "left")
-    return met.where(~F.coalesce(covered, F.lit(False))).select("key", "t1", "c1")
+            c = windows.values.field("c").to_numpy(zero_copy_only=False)
+            low = max(int(c.min()) - MARGIN, 0)
+            x = tokens(body.as_buffer().to_pybytes()).astype(np.uint32).view(np.int32)[low : int(c.max()) + MARGIN + 1]
+            out.append((name, low, x))
+            held += len(x)
+            if held >= 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+class _Class:
+    """Texts of a job that hold the same of what others there hold too, at the same distances: tokens from ``low`` on, places by key."""
+
+    def __init__(self, x: np.ndarray, places: dict[int, list[int]]):
+        self.x, self.places, self.texts = x, places, ([], [])
+
+
+def _classes(job: pa.Table) -> list[_Class]:
+    """Tokens that no other text of the job has are told apart by class and, within it, by the first of them that is equal."""
+    job = job.sort_by("t")  # so that no result depends on the order of rows
+    xs = [x.values.to_numpy() for x in job.column("x")]
+    ends = np.cumsum([0, *(len(x) for x in xs)])
+    _, ids = np.unique(np.concatenate(xs), return_inverse=True)
+    of = np.repeat(np.arange(len(xs)), np.diff(ends))
+    pairs = np.unique(ids.astype(np.int64) * len(xs) + of)
+    met = np.bincount(pairs // len(xs)) > 1
+    held = Counter(k for w in job.column("windows") for k in set(w.values.field("key").to_pylist()))
+    found = {}
+    for i, (t, low, side, w) in enumerate(zip(*(job.column(c).to_pylist() for c in ("t", "l", "side")), job.column("windows"), strict=True)):
+        x = ids[ends[i] : ends[i + 1]].astype(np.int64)
+        hit = np.flatnonzero(met[x])
+        if not len(hit):
+            continue
+        more = (hit[-1] - hit[0]) // 8 + 2  # a span of density 8 / 9 reaches no farther
+        a = max(int(hit[0] - more), 0)
+        x = x[a : int(hit[-1]) + more + 1]
+        own = np.flatnonzero(~met[x])
+        _, first, again = np.unique(x[own], return_index=True, return_inverse=True)
+        x[own] = -1 - own[first][again] if len(own) else 0
+        windows = sorted((k, c - low - a) for k, c in zip(w.values.field("key").to_pylist(), w.values.field("c").to_pylist(), strict=True) if held[k] > 1)
+        name = (x.tobytes(), tuple(windows))
+        if name not in found:
+            x[own] -= len(found) << 32
+            places = defaultdict(list)
+            for k, c in windows:
+                places[k].append(c)
+            found[name] = _Class(x, places)
+        found[name].texts[side].append((t, low + a))
+    return list(found.values())
+
+
+def _chains(one: _Class, two: _Class) -> list[list[tuple[int, int]]]:
+    """The common windows of two classes that ``regions`` puts into one region each, as places in both; most first."""
+    met = sorted((c1 - c2, c1, c2) for k in one.places.keys() & two.places.keys() for c1 in one.places[k] for c2 in two.places[k])
+    chains = []
+    for i, (d, c1, c2) in enumerate(met):
+        if not (i and d - met[i - 1][0] <= DRIFT and abs(c1 - met[i - 1][1]) <= GAP):
+            chains.append([])
+        chains[-1].append((c1, c2))
+    return sorted(chains, key=len, reverse=True)
+
+
+def _hulls_merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for p, q in sorted(spans):
+        if out and p < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], q)
+        else:
+            out.append((p, q))
+    return out
+
+
+def _linked(one: _Class, two: _Class, y: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]], float]:
+    """The passages of each of two classes that the other has too, and their greatest similarity. ``y``: the second's tokens.
+
+    Where both repeat a passage, each of its places is compared until it is linked, not with all of the other's.
+    """
+    chains, mine, theirs, most = _chains(one, two), [], [], 0.0
+    free = lambda c, spans: not any(p <= c < q for p, q in spans)
+    for need in (all, any) if len(chains) > 1 else (any,):
+        for chain in chains:
+            if not any(need((free(c1, mine), free(c2, theirs))) for c1, c2 in chain):
+                continue
+            (a, b), (c, d) = ((max(min(z) - MARGIN, 0), max(z) + MARGIN + 1) for z in zip(*chain, strict=True))
+            for p, q, u, v, s in passages_in(one.x[a:b], y[c:d]):
+                mine.append((a + p, a + q))
+                theirs.append((c + u, c + v))
+                most = max(most, s)
+    return _hulls_merged(mine), _hulls_merged(theirs), most
+
+
+def _may_hold(hits: np.ndarray) -> np.ndarray:
+    """Of each row: whether it has a span of ``TOKENS`` places or more of the first density; without one there is no passage."""
+    p, q = DENSE[0]
+    total = np.zeros((len(hits), hits.shape[1] + 1), dtype=np.int32)
+    np.cumsum(np.where(hits, q - p, -p), axis=1, out=total[:, 1:])
+    if total.shape[1] <= TOKENS:
+        return np.zeros(len(hits), dtype=bool)
+    return (total[:, TOKENS:] >= np.minimum.accumulate(total, axis=1)[:, :-TOKENS]).any(axis=1)
+
+
+_COUNTED = "t long, start_word int, end_word int, n_links long, similarity double, other long"
+
+
+def _counted(job: pa.Table) -> pa.Table:
+    """All pairs of texts of two blocks (or of one) that have a large key in common, verified by classes, and counted for each passage.
+
+    other: one of the texts that the job's links lead to, the same for all of them."""
+    own = job.column("own")[0].as_py()
+    classes = _classes(job)
+    n = len(classes)
+    meet, by_key = np.zeros((n, n), dtype=bool), defaultdict(list)
+    large = {k for w in job.column("windows") for k, on in zip(w.values.field("key").to_pylist(), w.values.field("large").to_pylist(), strict=True) if on}
+    for i, c in enumerate(classes):
+        for k in c.places.keys() & large:
+            by_key[k].append(i)
+    for at in by_key.values():
+        meet[np.ix_(at, at)] = True
+    has = np.array([[bool(c.texts[s]) for c in classes] for s in (0, 1)], dtype=bool)
+    if own:
+        meet &= ~np.diag(np.array([len(c.texts[0]) == 1 for c in classes], dtype=bool))
+    else:
+        meet &= (has[0][:, None] & has[1]) | (has[1][:, None] & has[0])
+    # The classes that hold each token, token by token.
+    pairs = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(c.x[c.x >= 0] * n + i for i, c in enumerate(classes))]))
+    token, holder = pairs // max(n, 1), pairs % max(n, 1)
+    root, found = {}, {}
+
+    def top(v):
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    def linked(i, side, first, end, more, similarity):
+        was = found.get((i, side, first, end), (0, 0.0))
+        found[i, side, first, end] = was[0] + more, max(was[1], similarity)
+
+    for i, one in enumerate(classes):
+        near = i + np.flatnonzero(meet[i, i:])
+        if not len(near):
+            continue
+        own_tokens, at = np.unique(one.x, return_inverse=True)
+        low, high = np.searchsorted(token, own_tokens, "left"), np.searchsorted(token, own_tokens, "right")
+        count = high - low
+        places = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
+        holds = np.zeros((n, len(own_tokens)), dtype=bool)
+        holds[holder[places], np.repeat(np.arange(len(own_tokens)), count)] = True
+        for part in np.array_split(near, -(-len(near) * len(at) // 4_000_000)):
+            for j in part[_may_hold(holds[np.ix_(part, at)])].tolist():
+                two = classes[j]
+                y = two.x if i != j else np.where(two.x < 0, two.x - (1 << 62), two.x)  # two texts of a class have own tokens each
+                mine, theirs, s = _linked(one, two, y)
+                for s1, s2 in [(0, 0)] if own else [(0, 1), (1, 0)][: 1 + (i != j)]:
+                    if not mine or not one.texts[s1] or not two.texts[s2]:
+                        continue
+                    root[top((i, s1))] = top((j, s2))
+                    for p, q in mine:
+                        linked(i, s1, p, q, len(two.texts[s2]) - (own and i == j), s)
+                    for u, v in theirs if not (own and i == j) else []:
+                        linked(j, s2, u, v, len(one.texts[s1]), s)
+    least = {}
+    for i, side in root:
+        least[top((i, side))] = min([least.get(top((i, side)), 1 << 63), *(t for t, _ in classes[i].texts[side])])
+    out = [(t, low + p, low + q + SHINGLE - 1, m, s, least[top((i, side))]) for (i, side, p, q), (m, s) in found.items() for t, low in classes[i].texts[side]]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["t", "start_word", "end_word", "n_links", "similarity", "other"])
+
+
+def counted(met: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """t, start_word, end_word, n_links, similarity, other: the passages of ``met`` (``members``), for each pair of blocks with a large key in common."""
+    keys = met.select("block", F.explode("keys").alias("key")).distinct()
+    jobs = keys.join(keys.toDF("_block", "_key"), (F.col("key") == F.col("_key")) & (F.col("block") <= F.col("_block"))).select("block", "_block").distinct()
+    jobs = written(jobs.toDF("a", "b"), "jobs")
+    hulls = _with_texts(met.select("t", "windows"), docs, ids, "windows").mapInArrow(_hulls, "_t long, l int, x array<int>")
+    texts = written(met.join(hulls, F.col("t") == F.col("_t")).select("t", "block", "windows", "l", "x"), "members")
+    own = (F.col("a") == F.col("b")).alias("own")
+    dealt = jobs.select("a", "b", own, F.col("a").alias("_block"), F.lit(0).alias("side")).union(jobs.where("a <> b").select("a", "b", own, "b", F.lit(1)))
+    return texts.join(dealt, F.col("block") == F.col("_block")).drop("block", "_block").groupBy("a", "b").applyInArrow(_counted, _COUNTED)
 
 
 def linked_passages(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """t1, s1, e1, t2, s2, e2, similarity: verified links of passages between different texts. ``ids``: text_hash, least (doc_id)."""
+    """t, start_word, end_word, n_links, similarity, other: passages that another text has too, n_links verified links of each. ``ids``: text_hash, least (doc_id).
+
+    ``other`` is linked with the text, straight or by way of others."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    links = written(window_links(texts.select("text_hash", "text")), "links")
-    tried = written(regions(links), "regions")
-    every = written(verified(tried, texts, ids), "passages")
-    left = written(unsettled(links, every).distinct(), "unsettled")
-    for seed in range(ROUNDS):
-        links = written(redealt(written(by_context(left, texts, ids, seed), "contexts")), "links")
-        pairs = written(regions(links).join(tried, tried.columns, "left_anti"), "regions")  # those of windows within a line come up in every round
-        found = written(verified(pairs, texts, ids), "passages")
-        every, tried = every.union(found), tried.union(pairs)
-        left = written(unlinked(left, found), "unsettled")
-    return every
-
-
-def merged(spans: DataFrame) -> DataFrame:
-    """t, start_word, end_word, n_links, similarity: overlapping spans of a text as one."""
-    order = Window.partitionBy("t").orderBy("start_word", "end_word")
+    shared = written(shared_windows(texts.select("text_hash", "text")), "shared")
+    met = written(members(shared), "blocks")
+    pairs = written(regions(window_links(shared)), "regions")
+    # Pairs with a large key in common are counted with their blocks.
+    keys = [met.select(F.col("t").alias(f"_t{i}"), F.col("keys").alias(f"_keys{i}")) for i in (1, 2)]
+    pairs = pairs.join(keys[0], F.col("t1") == F.col("_t1"), "left").join(keys[1], F.col("t2") == F.col("_t2"), "left")
+    pairs = written(pairs.where(~F.coalesce(F.arrays_overlap("_keys1", "_keys2"), F.lit(False))).select("t1", "l1", "r1", "t2", "l2", "r2"), "pairs")
+    found = written(verified(pairs, texts, ids), "passages")
+    each = found.select(F.col("t1").alias("t"), F.col("s1").alias("start_word"), F.col("e1").alias("end_word"), F.lit(1).cast("long").alias("n_links"), "similarity", F.col("t2").alias("other"))
+    each = merged(each.union(found.select("t2", "s2", "e2", F.lit(1).cast("long"), "similarity", "t1")), "other")
+    each = each.select("t", "start_word", "end_word", F.lit(1).cast("long").alias("n_links"), "similarity", "other")  # a partner counts once
+    return each.union(written(counted(met, texts, ids), "counted"))
+
+
+def merged(spans: DataFrame, *by: str) -> DataFrame:
+    """t, start_word, end_word, n_links, similarity and the columns ``by``: overlapping spans of a text as one, for each value of these."""
+    order = Window.partitionBy("t", *by).orderBy("start_word", "end_word")
     before = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     df = spans.withColumn("_new", F.coalesce(F.col("start_word") >= before, F.lit(True)).cast("int"))
     df = df.withColumn("_at", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy("t", "_at").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.sum("n_links").alias("n_links"), F.max("similarity").alias("similarity")).drop("_at")
+    return df.groupBy("t", *by, "_at").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.sum("n_links").alias("n_links"), F.max("similarity").alias("similarity")).drop("_at")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), class_id, n_links, similarity: passages that another document has too.
 
     class_id is the smallest doc_id that is linked to the document by passages;
-    n_links counts the verified links of its text's passage, similarity is the
-    greatest. A whole text that has copies is a passage of similarity 1.
+    n_links counts the texts that its text's passage is linked with (one for each of the spans that
+    make it up which share no word), similarity is the greatest. A whole text that has copies is a passage of similarity 1.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).alias("n_words")).distinct(), "texts")
     ids = written(own.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words")), "text-classes")
     found = linked_passages(docs, ids.select("text_hash", "least"))
-    nodes = components(found.select(F.col("t1").alias("u"), F.col("t2").alias("v")))
+    nodes = components(found.select(F.col("t").alias("u"), F.col("other").alias("v")))
     named = written(nodes.join(ids, F.col("node") == F.col("text_hash")).select("node", "root", "least"), "nodes")
     roots = named.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = named.select("node", "root").join(written(roots, "roots"), "root").select(F.col("node").alias("t"), "class_id")
-    each = found.select(F.col("t1").alias("t"), F.col("s1").alias("start_word"), F.col("e1").alias("end_word"), "similarity").union(found.select("t2", "s2", "e2", "similarity"))
-    each = each.groupBy("t", "start_word", "end_word").agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("similarity"))
+    each = found.groupBy("t", "start_word", "end_word").agg(F.sum("n_links").alias("n_links"), F.max("similarity").alias("similarity"))
     whole = ids.where((F.col("copies") > 1) & (F.col("n_words") >= WORDS))
     whole = whole.select(F.col("text_hash").alias("t"), F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), (F.col("copies") - 1).alias("n_links"), F.lit(1.0).alias("similarity"))
     spans = merged(each.union(whole))

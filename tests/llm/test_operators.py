@@ -490,6 +490,53 @@ def test_passages_against_brute_force(spark):
     assert len(lost) <= 0.02 * len(want), lost
 
 
+def test_passages_keep_every_link(spark):
+    """Every text of a group counts all its partners: groups of few and of many texts, exact and with changed words, and texts that share a line only."""
+    rng = random.Random(51)
+    texts, groups = [], []
+    for copies, edits in ((20, 0), (150, 0), (14, 1), (90, 1)):
+        base = prose(rng, 60).split()
+        groups.append((range(len(texts), len(texts) + copies), " ".join(base), edits))
+        for i in range(copies):
+            w = list(base)
+            if edits:
+                w[rng.randrange(60)] = f"changed{i}"
+            texts.append(f"{prose(rng, rng.randrange(20, 60))} {' '.join(w)} {prose(rng, rng.randrange(20, 60))}")
+    line = prose(rng, 30)
+    texts += [f"{prose(rng, 40)} {line} {prose(rng, 40)}" for _ in range(100)]
+    want = Counter(i for pair in brute_passages(texts) for i in pair)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    results = [Counter(map(tuple, passages.repeated_passages(df.repartition(n, "doc_id")).collect())) for n in (1, 13)]
+    assert results[0] == results[1]
+    found = {r[0]: r for r in results[0]}
+    assert len(found) == sum(results[0].values()) and set(found) == set(want)
+    for own, base, edits in groups:
+        for i in own:
+            doc_id, start, end, class_id, n_links, similarity = found[i]
+            if not edits:
+                assert n_links == want[i] == len(own) - 1 and class_id == own[0] and similarity == 1.0
+                assert base in " ".join(texts[i].split()[start:end])
+            else:  # spans of over 50 words may be alike where none of 50 is
+                assert want[i] <= n_links <= len(own) - 1 and class_id in own
+
+
+def test_passages_in_pairs_against_brute_force():
+    """Spans of two edited copies: none that is similar enough is lost beside a longer one that isn't."""
+    rng = random.Random(5)
+    lost = 0
+    for _ in range(600):
+        base, found = prose(rng, rng.randrange(48, 140)).split(), []
+        for _ in range(2):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(w) // 40)):
+                at, kind = rng.randrange(len(w)), rng.randrange(3)
+                w[at : at + (kind < 2)] = [] if kind == 1 else [f"edit{rng.random()}"]
+            found.append(f"{prose(rng, rng.randrange(0, 60))} {' '.join(w)} {prose(rng, rng.randrange(0, 60))}")
+        x, y = (passages.tokens(t.encode()).astype(np.uint32).view(np.int32) for t in found)
+        lost += bool(brute_passages(found)) and not list(passages.passages_in(x, y))
+    assert lost == 0
+
+
 def test_shards(docs, rows):
     got = sharding.sharded(docs).collect()
     assert len(got) == len(rows)
