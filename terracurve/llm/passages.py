@@ -39,7 +39,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,55 +226,138 @@ def _parts(schema, names, ls, rs, parts) -> pa.RecordBatch:
 
 
 def _dense(hit: np.ndarray, part: tuple[int, int]) -> tuple[int, int] | None:
-    """The longest span (first, end) of that density."""
-    total = np.concatenate([[0], np.cumsum(part[1] * hit.astype(np.int64) - part[0])])
-    low = np.minimum.accumulate(total)
-    start = np.searchsorted(-low, -total, side="left")  # of each end: the first place with no greater total
-    end = int(np.argmax(np.arange(len(total)) - start))
-    return (int(start[end]), end) if end > start[end] else None
+    """The longest span (first, end) of that density, if it has ``TOKENS`` places."""
+    if np.count_nonzero(hit) * part[1] < TOKENS * part[0]:
+        return None
+    total = np.zeros(len(hit) + 1, dtype=np.int32)
+    np.where(hit, np.int32(part[1] - part[0]), np.int32(-part[0])).cumsum(out=total[1:])
+    start = (-np.minimum.accumulate(total)).searchsorted(-total)  # of each end: the first place with no greater total
+    end = int((np.arange(len(total)) - start).argmax())
+    return (int(start[end]), end) if end - start[end] >= TOKENS else None
 
 
 def _trimmed(hit: np.ndarray, span: tuple[int, int]) -> tuple[int, int]:
     """The span without what doesn't hit at both ends."""
-    inside = np.flatnonzero(hit[span[0] : span[1]])
+    inside = hit[span[0] : span[1]].nonzero()[0]
     return span[0] + int(inside[0]), span[0] + int(inside[-1]) + 1
 
 
-def _marked(x: np.ndarray, n: int) -> np.ndarray:
-    """Of each number below ``n``: whether ``x`` has it."""
-    out = np.zeros(n, dtype=bool)
-    out[x] = True
-    return out
+class _Marks:
+    """Sets of numbers below ``n``, in arrays that are made once for many pairs of texts."""
 
+    def __init__(self, n: int):
+        self.on, self.last = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int32)
 
-def _similarity(x: np.ndarray, y: np.ndarray, n: int) -> float:
-    one, two = _marked(x, n), _marked(y, n)
-    return np.count_nonzero(one & two) / np.count_nonzero(one | two)
+    def hits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of each number in ``x``: whether ``y`` has it."""
+        self.on[y] = True
+        out = self.on[x]
+        self.on[y] = False
+        return out
 
+    def distinct(self, x: np.ndarray) -> np.ndarray:
+        at = np.arange(len(x), dtype=np.int32)
+        self.last[x] = at
+        return x[self.last[x] == at]
 
-def _full(hit: np.ndarray) -> np.ndarray:
-    """The places from which on ``TOKENS`` places have the ``COMMON`` hits that two such spans of a similarity of ``LEAST`` share."""
-    total = np.concatenate([[0], np.cumsum(hit)])
-    return np.flatnonzero(total[TOKENS:] - total[:-TOKENS] >= COMMON)
+    def similarity(self, x: np.ndarray, y: np.ndarray) -> float:
+        one, two = self.distinct(x), self.distinct(y)
+        both = int(np.count_nonzero(self.hits(one, two)))
+        return both / (len(one) + len(two) - both)
 
 
-def _spans_in(x: np.ndarray, y: np.ndarray, n: int) -> tuple[int, int, int, int, float] | None:
+def _full(hit: np.ndarray) -> np.ndarray:
+    """The places from which on ``TOKENS`` places have the ``COMMON`` hits that two such spans of a similarity of ``LEAST`` share."""
+    total = np.zeros(len(hit) + 1, dtype=np.int32)
+    hit.cumsum(out=total[1:])
+    return (total[TOKENS:] - total[:-TOKENS] >= COMMON).nonzero()[0]
+
+
+def _repeats(x: np.ndarray) -> np.ndarray | None:
+    """Of each place, the last one before it with the same number, or -1; None if no number is repeated."""
+    order = x.argsort(kind="stable")
+    again = x[order[1:]] == x[order[:-1]]
+    if not again.any():
+        return None
+    before = np.full(len(x), -1, dtype=np.int32)
+    before[order[1:][again]] = order[:-1][again]
+    return before
+
+
+def _sets(x: np.ndarray, hit: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different sets that spans of ``TOKENS`` places are and of which so much hits that another can have a similarity of ``LEAST``:
+    a span of each, its members (places after its first that hit and are new in it) and its size; and of each span its set, or -1."""
+    at = _full(hit)
+    span = at[:, None] + np.arange(TOKENS)
+    new = np.ones(span.shape, dtype=bool) if before is None else before[span] < at[:, None]
+    size, inside = new.sum(axis=1), new & hit[span]
+    alike = inside.sum(axis=1) >= LEAST * size - 1e-9
+    at, size, inside, new, span = at[alike], size[alike], inside[alike], new[alike], span[alike]
+    name = np.where(new, _mixed(x.astype(np.uint64))[span], np.uint64(0)).sum(axis=1)
+    _, first, again = np.unique(name, return_index=True, return_inverse=True)
+    of = np.full(max(len(x) - TOKENS + 1, 0), -1)
+    of[at] = again
+    return at[first], inside[first], size[first], of
+
+
+def _sets_in(x: np.ndarray, y: np.ndarray, in_y: np.ndarray, in_x: np.ndarray, before: tuple) -> tuple[int, int, int, int, float] | None:
+    """``_spans_in`` where tokens are repeated: spans with the same tokens are compared once, by the number of those in common."""
+    one, two = _sets(x, in_y, before[0]), _sets(y, in_x, before[1])
+    if not len(one[0]) or not len(two[0]):
+        return None
+    names, both = np.unique(np.concatenate([x[in_y], y[in_x]]), return_inverse=True)
+    ids = [np.zeros(len(z), dtype=np.int64) for z in (x, y)]
+    ids[0][in_y], ids[1][in_x] = both[: np.count_nonzero(in_y)], both[np.count_nonzero(in_y) :]
+
+    def table(side, at, inside):
+        out = np.zeros((len(at), len(names)), dtype=np.float32)
+        row, place = inside.nonzero()
+        out[row, ids[side][at[row] + place]] = 1
+        return out
+
+    step = max((4 << 20) // len(names), 1)
+    most, there = np.zeros(len(one[0])), np.zeros(len(one[0]), dtype=np.int64)
+    for j in range(0, len(two[0]), step):
+        held = table(1, two[0][j : j + step], two[1][j : j + step]).T
+        for i in range(0, len(one[0]), step):
+            common = table(0, one[0][i : i + step], one[1][i : i + step]) @ held
+            s = common / (one[2][i : i + step, None] + two[2][None, j : j + step] - common)
+            best = s.argmax(axis=1)
+            s = s[np.arange(len(s)), best]
+            more = s > most[i : i + step]
+            most[i : i + step][more], there[i : i + step][more] = s[more], two[0][j + best[more]]
+    at = np.flatnonzero((one[3] >= 0) & (np.append(most, 0.0)[one[3]] >= LEAST - 1e-9))
+    if not len(at):
+        return None
+    gap = np.flatnonzero(np.diff(at) > TOKENS - 1)
+    at = at[: gap[0] + 1] if len(gap) else at
+    v = there[one[3][at]]
+    return int(at[0]), int(at[-1]) + TOKENS, int(v.min()), int(v.max()) + TOKENS, float(most[one[3][at]].max())
+
+
+def _spans_in(x: np.ndarray, y: np.ndarray, marks: _Marks) -> tuple[int, int, int, int, float] | None:
     """The first of the spans of ``TOKENS`` tokens, each against each, that are similar enough, and those of x that follow it without a gap."""
-    todo = _full(_marked(y, n)[x])
+    in_y, in_x = marks.hits(x, y), marks.hits(y, x)
+    todo = _full(in_y)
+    if not len(todo) or not len(_full(in_x)):
+        return None
+    before = _repeats(x), _repeats(y)
+    if before[0] is not None or before[1] is not None:
+        return _sets_in(x, y, in_y, in_x, before)
     while len(todo):
         some, todo = todo[todo < todo[0] + STRIP], todo[todo >= todo[0] + STRIP]
         part = x[some[0] : some[-1] + TOKENS]
-        others = _full(_marked(part, n)[y])
+        others = _full(marks.hits(y, part))
         while len(others):
             near, others = others[others < others[0] + STRIP], others[others >= others[0] + STRIP]
             same = np.zeros((len(part) + 1, near[-1] - near[0] + TOKENS + 1), dtype=np.int32)
             same[1:, 1:] = part[:, None] == y[None, near[0] : near[-1] + TOKENS]
-            same = same.cumsum(axis=0).cumsum(axis=1)
+            same = same.cumsum(axis=0, dtype=np.int32).cumsum(axis=1, dtype=np.int32)
             both = same[TOKENS:, TOKENS:] - same[:-TOKENS, TOKENS:] - same[TOKENS:, :-TOKENS] + same[:-TOKENS, :-TOKENS]
             found = None
             for r in np.flatnonzero((both >= COMMON).any(axis=1)).tolist():
                 v, p = int(near[0]) + int(both[r].argmax()), int(some[0]) + r
-                s = _similarity(x[p : p + TOKENS], y[v : v + TOKENS], n)
+                s = marks.similarity(x[p : p + TOKENS], y[v : v + TOKENS])
                 if s < LEAST:
                     continue
                 if found and p > found[1] - TOKENS + 1:
@@ -285,47 +368,63 @@ def _spans_in(x: np.ndarray, y: np.ndarray, n: int) -> tuple[int, int, int, int,
     return None
 
 
-def passages_in(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-    """(first, end) in x and in y, in tokens, and similarity of the passages in common; longest first, then on either side of it.
+def passages_in(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(first, end) in x and in y, in tokens, and similarity of the passages in common; longest first, then on either side of it."""
+    ids, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+    return _passages(both[: len(x)], both[len(x) :], _Marks(len(ids)))
+
+
+def _passages(x: np.ndarray, y: np.ndarray, marks: _Marks) -> list[tuple[int, int, int, int, float]]:
+    """``passages_in`` of numbers below that of ``marks``.
 
     A span counts if it is long enough and similar enough, with or without the tokens at its ends that aren't in common; it is
     given without them. So a run of 45 words counts that spans of 50 words around it share to 0.8. Where the longest spans aren't
     similar enough, all spans of ``TOKENS`` tokens are tried.
     """
-    ids, both = np.unique(np.concatenate([x, y]), return_inverse=True)
-    x, y, n = both[: len(x)], both[len(x) :], len(ids)
-    todo, in_y = [(0, len(x), True)], _marked(y, n)[x]
+    out, todo, in_y = [], [(0, len(x), True)], marks.hits(x, y)
     while todo:
         a, b, new = todo.pop()
         if b - a < TOKENS:
             continue
+        at = in_y[a:b].nonzero()[0]
+        if len(at) * DENSE[0][1] < TOKENS * DENSE[0][0]:
+            continue
         p = q = found = None
+        if len(at) >= TOKENS and at[-1] - at[0] + 1 == len(at):
+            # All that hits is one run; if it is one in y as well, both have the same tokens.
+            p, q = a + int(at[0]), a + int(at[-1]) + 1
+            there = marks.hits(y, x[p:q]).nonzero()[0]
+            if len(there) >= TOKENS and there[-1] - there[0] + 1 == len(there):
+                out.append((p, q, int(there[0]), int(there[-1]) + 1, 1.0))
+                continue
+            p = q = None
         for part in DENSE:
             own = _dense(in_y[a:b], part)
-            if own is None or own[1] - own[0] < TOKENS:
+            if own is None:
                 break
             own = (a + own[0], a + own[1])
             p, q = _trimmed(in_y, own)
-            hit = _marked(x[p:q], n)[y]
+            hit = marks.hits(y, x[p:q])
             other = _dense(hit, part)
-            if other is None or other[1] - other[0] < TOKENS:
+            if other is None:
                 continue
             u, v = _trimmed(hit, other)
-            s = _similarity(x[p:q], y[u:v], n) if min(q - p, v - u) >= TOKENS else 0.0
-            s = s if s >= LEAST else _similarity(x[own[0] : own[1]], y[other[0] : other[1]], n)
+            s = marks.similarity(x[p:q], y[u:v]) if min(q - p, v - u) >= TOKENS else 0.0
+            s = s if s >= LEAST else marks.similarity(x[own[0] : own[1]], y[other[0] : other[1]])
             if s >= LEAST:
                 found = p, q, u, v, s
                 break
         if p is not None and not found and new:
-            found = _spans_in(x[a:b], y, n)
+            found = _spans_in(x[a:b], y, marks)
             if found:
                 p, q = a + found[0], a + found[1]
                 found = p, q, *found[2:]
             new = found is not None
         if found:
-            yield found
+            out.append(found)
         if p is not None:
             todo += [(a, p, new), (q, b, new)]
+    return out
 
 
 _FOUND = "t1 long, s1 int, e1 int, t2 long, s2 int, e2 int, similarity double"
@@ -394,44 +493,76 @@ def _hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Class:
-    """Texts of a job that hold the same of what others there hold too, at the same distances: tokens from ``low`` on, places by key."""
+    """Texts of a job that hold the same of what others there hold too, at the same distances: numbers of tokens, places by key."""
 
     def __init__(self, x: np.ndarray, places: dict[int, list[int]]):
         self.x, self.places, self.texts = x, places, ([], [])
 
 
-def _classes(job: pa.Table) -> list[_Class]:
-    """Tokens that no other text of the job has are told apart by class and, within it, by the first of them that is equal."""
+def _windows_of(job: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of the key, place and whether the key is large of each window of a job's texts."""
+    lists = job.column("windows").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    key, c, large = (lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("key", "c", "large"))
+    return row, np.unique(key, return_inverse=True)[1], c, large
+
+
+def _meeting(job: pa.Table) -> pa.Table:
+    """The texts of the job that have a large key in common with one of the other side, or of the same if there is one only."""
+    row, key, _, large = _windows_of(job)
+    if not len(key):
+        return job.slice(0, 0)
+    side = job.column("side").to_numpy() if not job.column("own")[0].as_py() else np.arange(job.num_rows)
+    row, key = row[large], key[large]
+    least, most = np.full(key.max(initial=0) + 1, 1 << 62), np.full(key.max(initial=0) + 1, -1)
+    np.minimum.at(least, key, side[row])
+    np.maximum.at(most, key, side[row])
+    return job.take(pa.array(np.unique(row[least[key] != most[key]])))
+
+
+def _classes(job: pa.Table) -> tuple[list[_Class], np.ndarray, set[int]]:
+    """The classes, of each token's number whether two texts of the job have it, and the large keys.
+
+    Tokens that no other text of the job has are told apart, within a class, by the first of them that is equal."""
     job = job.sort_by("t")  # so that no result depends on the order of rows
     xs = [x.values.to_numpy() for x in job.column("x")]
     ends = np.cumsum([0, *(len(x) for x in xs)])
-    _, ids = np.unique(np.concatenate(xs), return_inverse=True)
+    ids = np.unique(np.concatenate(xs), return_inverse=True)[1]
     of = np.repeat(np.arange(len(xs)), np.diff(ends))
-    pairs = np.unique(ids.astype(np.int64) * len(xs) + of)
-    met = np.bincount(pairs // len(xs)) > 1
-    held = Counter(k for w in job.column("windows") for k in set(w.values.field("key").to_pylist()))
+    first, last = (np.zeros(ids.max(initial=-1) + 1, dtype=np.int64) for _ in "ab")
+    first[ids[::-1]] = np.arange(len(ids))[::-1]
+    last[ids] = np.arange(len(ids))
+    met = of[first] != of[last]
+    row, key, c, large = _windows_of(job)
+    both = np.unique(key.astype(np.int64) * len(xs) + row)
+    chosen = (np.bincount(both // len(xs)) > 1)[key]
+    large = set(key[large].tolist())
+    row, key, c = row[chosen], key[chosen], c[chosen]
+    order = np.lexsort((c, key, row))
+    row, key, c = row[order], key[order], c[order]
+    cut = np.searchsorted(row, np.arange(len(xs) + 1))
     found = {}
-    for i, (t, low, side, w) in enumerate(zip(*(job.column(c).to_pylist() for c in ("t", "l", "side")), job.column("windows"), strict=True)):
-        x = ids[ends[i] : ends[i + 1]].astype(np.int64)
-        hit = np.flatnonzero(met[x])
+    for i, (t, low, side) in enumerate(zip(*(job.column(z).to_pylist() for z in ("t", "l", "side")), strict=True)):
+        x = ids[ends[i] : ends[i + 1]]
+        hit = met[x].nonzero()[0]
         if not len(hit):
             continue
-        more = (hit[-1] - hit[0]) // 8 + 2  # a span of density 8 / 9 reaches no farther
-        a = max(int(hit[0] - more), 0)
+        more = int(hit[-1] - hit[0]) // 8 + 2  # a span of density 8 / 9 reaches no farther
+        a = max(int(hit[0]) - more, 0)
         x = x[a : int(hit[-1]) + more + 1]
-        own = np.flatnonzero(~met[x])
-        _, first, again = np.unique(x[own], return_index=True, return_inverse=True)
-        x[own] = -1 - own[first][again] if len(own) else 0
-        windows = sorted((k, c - low - a) for k, c in zip(w.values.field("key").to_pylist(), w.values.field("c").to_pylist(), strict=True) if held[k] > 1)
-        name = (x.tobytes(), tuple(windows))
+        keys, places = key[cut[i] : cut[i + 1]], c[cut[i] : cut[i + 1]] - (low + a)
+        own = ~met[x]
+        shape = x.copy()
+        shape[own] = -1 - (first[x[own]] - (ends[i] + a)) % (1 << 31)
+        name = (shape.tobytes(), keys.tobytes(), places.tobytes())
         if name not in found:
-            x[own] -= len(found) << 32
-            places = defaultdict(list)
-            for k, c in windows:
-                places[k].append(c)
-            found[name] = _Class(x, places)
+            by_key = defaultdict(list)
+            for k, z in zip(keys.tolist(), places.tolist(), strict=True):
+                by_key[k].append(z)
+            found[name] = _Class(x, by_key)
         found[name].texts[side].append((t, low + a))
-    return list(found.values())
+    return list(found.values()), met, large
 
 
 def _chains(one: _Class, two: _Class) -> list[list[tuple[int, int]]]:
@@ -455,7 +586,7 @@ def _hulls_merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _linked(one: _Class, two: _Class, y: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]], float]:
+def _linked(one: _Class, two: _Class, y: np.ndarray, marks: _Marks) -> tuple[list[tuple[int, int]], list[tuple[int, int]], float]:
     """The passages of each of two classes that the other has too, and their greatest similarity. ``y``: the second's tokens.
 
     Where both repeat a passage, each of its places is compared until it is linked, not with all of the other's.
@@ -467,7 +598,7 @@ def _linked(one: _Class, two: _Class, y: np.ndarray) -> tuple[list[tuple[int, in
             if not any(need((free(c1, mine), free(c2, theirs))) for c1, c2 in chain):
                 continue
             (a, b), (c, d) = ((max(min(z) - MARGIN, 0), max(z) + MARGIN + 1) for z in zip(*chain, strict=True))
-            for p, q, u, v, s in passages_in(one.x[a:b], y[c:d]):
+            for p, q, u, v, s in _passages(one.x[a:b], y[c:d], marks):
                 mine.append((a + p, a + q))
                 theirs.append((c + u, c + v))
                 most = max(most, s)
@@ -484,6 +615,30 @@ def _may_hold(hits: np.ndarray) -> np.ndarray:
     return (total[:, TOKENS:] >= np.minimum.accumulate(total, axis=1)[:, :-TOKENS]).any(axis=1)
 
 
+#: Bytes of the table of a job's tokens and some of its classes.
+HELD = 64 << 20
+
+
+def _may_meet(classes: list[_Class], met: np.ndarray, meet: np.ndarray) -> np.ndarray:
+    """The pairs of classes in ``meet`` of which each has a span dense enough in what the other holds."""
+    n, may = len(classes), np.zeros_like(meet)
+    at = np.where(met, np.cumsum(met) - 1, np.count_nonzero(met))  # tokens that one text has hit nothing: the last column
+    xs = [at[c.x] for c in classes]
+    width = np.count_nonzero(met) + 1
+    step = max(HELD // width, 1)
+    for begin in range(0, n, step):
+        holds = np.zeros((min(step, n - begin), width), dtype=bool)
+        for j in range(len(holds)):
+            holds[j, xs[begin + j]] = True
+        holds[:, -1] = False
+        for i, x in enumerate(xs):
+            near = meet[i, begin : begin + step].nonzero()[0]
+            if len(near):
+                for part in np.array_split(near, -(-len(near) * len(x) // 4_000_000)):
+                    may[i, begin + part] = _may_hold(holds[part[:, None], x])
+    return meet & may & may.T
+
+
 _COUNTED = "t long, start_word int, end_word int, n_links long, similarity double, other long"
 
 
@@ -492,10 +647,10 @@ def _counted(job: pa.Table) -> pa.Table:
 
     other: one of the texts that the job's links lead to, the same for all of them."""
     own = job.column("own")[0].as_py()
-    classes = _classes(job)
+    job = _meeting(job)
+    classes, met, large = _classes(job) if job.num_rows else ([], np.zeros(0, dtype=bool), set())
     n = len(classes)
     meet, by_key = np.zeros((n, n), dtype=bool), defaultdict(list)
-    large = {k for w in job.column("windows") for k, on in zip(w.values.field("key").to_pylist(), w.values.field("large").to_pylist(), strict=True) if on}
     for i, c in enumerate(classes):
         for k in c.places.keys() & large:
             by_key[k].append(i)
@@ -506,9 +661,8 @@ def _counted(job: pa.Table) -> pa.Table:
         meet &= ~np.diag(np.array([len(c.texts[0]) == 1 for c in classes], dtype=bool))
     else:
         meet &= (has[0][:, None] & has[1]) | (has[1][:, None] & has[0])
-    # The classes that hold each token, token by token.
-    pairs = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(c.x[c.x >= 0] * n + i for i, c in enumerate(classes))]))
-    token, holder = pairs // max(n, 1), pairs % max(n, 1)
+    meet = _may_meet(classes, met, meet)
+    marks = _Marks(2 * len(met))
     root, found = {}, {}
 
     def top(v):
@@ -520,29 +674,18 @@ def _counted(job: pa.Table) -> pa.Table:
         was = found.get((i, side, first, end), (0, 0.0))
         found[i, side, first, end] = was[0] + more, max(was[1], similarity)
 
-    for i, one in enumerate(classes):
-        near = i + np.flatnonzero(meet[i, i:])
-        if not len(near):
-            continue
-        own_tokens, at = np.unique(one.x, return_inverse=True)
-        low, high = np.searchsorted(token, own_tokens, "left"), np.searchsorted(token, own_tokens, "right")
-        count = high - low
-        places = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
-        holds = np.zeros((n, len(own_tokens)), dtype=bool)
-        holds[holder[places], np.repeat(np.arange(len(own_tokens)), count)] = True
-        for part in np.array_split(near, -(-len(near) * len(at) // 4_000_000)):
-            for j in part[_may_hold(holds[np.ix_(part, at)])].tolist():
-                two = classes[j]
-                y = two.x if i != j else np.where(two.x < 0, two.x - (1 << 62), two.x)  # two texts of a class have own tokens each
-                mine, theirs, s = _linked(one, two, y)
-                for s1, s2 in [(0, 0)] if own else [(0, 1), (1, 0)][: 1 + (i != j)]:
-                    if not mine or not one.texts[s1] or not two.texts[s2]:
-                        continue
-                    root[top((i, s1))] = top((j, s2))
-                    for p, q in mine:
-                        linked(i, s1, p, q, len(two.texts[s2]) - (own and i == j), s)
-                    for u, v in theirs if not (own and i == j) else []:
-                        linked(j, s2, u, v, len(one.texts[s1]), s)
+    for i, j in zip(*(z.tolist() for z in np.nonzero(np.triu(meet))), strict=True):
+        one, two = classes[i], classes[j]
+        y = two.x if i != j else np.where(met[two.x], two.x, two.x + len(met))  # two texts of a class have own tokens each
+        mine, theirs, s = _linked(one, two, y, marks)
+        for s1, s2 in [(0, 0)] if own else [(0, 1), (1, 0)][: 1 + (i != j)]:
+            if not mine or not one.texts[s1] or not two.texts[s2]:
+                continue
+            root[top((i, s1))] = top((j, s2))
+            for p, q in mine:
+                linked(i, s1, p, q, len(two.texts[s2]) - (own and i == j), s)
+            for u, v in theirs if not (own and i == j) else []:
+                linked(j, s2, u, v, len(one.texts[s1]), s)
     least = {}
     for i, side in root:
         least[top((i, side))] = min([least.get(top((i, side)), 1 << 63), *(t for t, _ in classes[i].texts[side])])

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -537,6 +538,16 @@ def test_passages_in_pairs_against_brute_force():
     assert lost == 0
 
 
+def test_passages_of_repeated_words():
+    """Few words, each repeated too seldom to be a passage, over thousands of places: spans that are the same set are compared once."""
+    x, y = (" ".join(" ".join([f"word{i % 3}"] * 45 + [f"{own}{i}"]) for i in range(150)) for own in ("one", "two"))
+    x, y, passage = (passages.tokens(t.encode()).astype(np.uint32).view(np.int32) for t in (x, y, " ".join(["word1"] * 60)))
+    begun = time.process_time()
+    assert list(passages.passages_in(x, y)) == []
+    assert (0, len(passage)) in {(u, v) for _, _, u, v, _ in passages.passages_in(np.concatenate([x, passage]), np.concatenate([passage, y]))}
+    assert time.process_time() - begun < 3  # one by one it took 7.8 s
+
+
 def test_shards(docs, rows):
     got = sharding.sharded(docs).collect()
     assert len(got) == len(rows)
