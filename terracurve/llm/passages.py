@@ -68,26 +68,38 @@ DRIFT, GAP = 16, 2 * MARGIN
 #: Bounds of regions are rounded to this, so that a text's regions with many others are the same few.
 ROUND = 64
 #: A key of more windows is large: its pairs of texts aren't made as rows but counted by pairs of blocks of about MEMBERS texts.
-LARGE, MEMBERS = 32, 256
+LARGE, MEMBERS = 32, 512
+#: Runs in common of two texts without repeated tokens up to which passages are looked for run by run.
+RUNS = 64
+#: Hulls of runs, of all pairs that are looked at together.
+TABLE = 1 << 15
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits (the finaliser of a splitmix generator)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _hashes(split: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, split), np.uint64, len(split))
+
+
+def _tokens(w: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles of words with these hashes."""
+    n, w = len(w) - SHINGLE + 1, _mixed(w)
+    return _mixed(sum((w[j : j + n] * _ODD[j] for j in range(1, SHINGLE)), w[:n] * _ODD[0]))
 
 
 def tokens(text: bytes) -> np.ndarray:
     """Hashes of the five-word shingles; A-Z count as lower case."""
     split = text.lower().split()
-    n = len(split) - SHINGLE + 1
-    if n < 1:
-        return np.empty(0, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    w = np.fromiter(map(digest, split), np.uint64, len(split))
-    return _mixed(sum((_mixed(w[j : j + n]) * _ODD[j] for j in range(1, SHINGLE)), _mixed(w[:n]) * _ODD[0]))
+    return _tokens(_hashes(split)) if len(split) >= SHINGLE else np.empty(0, dtype=np.uint64)
 
 
 def anchors(x: np.ndarray) -> np.ndarray:
@@ -112,36 +124,62 @@ def minima(values: np.ndarray, least: int) -> np.ndarray:
 
 
 def signatures(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a text's tokens: the keys and places of its joint windows.
+    """Of a text's tokens: the keys and places of its joint windows."""
+    return joint_windows(x, np.array([0]), np.array([len(x) + SHINGLE - 1]))[1:]
+
+
+def joint_windows(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' tokens, one text after the other: the text, key and place of each joint window. ``begin`` and ``end``: the texts' words.
 
     The compact windows of ``HASHES`` functions over the anchors are joined by their intervals: spans of ``SPAN`` anchors with the
     same minima under all functions are one joint window. Its key is made of the minima and of the distances between them.
+    Spans that go beyond a text don't count.
     """
+    n = np.maximum(end - begin - RUN + 1, 0)
+    if not n.sum():
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     y = anchors(x)
-    if len(y) < SPAN:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    at = np.stack([minima(_mixed(y ^ _ODD[k]), SPAN) for k in range(HASHES)])
-    at = at[:, np.concatenate([[True], (at[:, 1:] != at[:, :-1]).any(axis=0)])]
+    text = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(text)) + np.repeat(begin - (np.cumsum(n) - n), n)
+    at = np.stack([minima(_mixed(y ^ _ODD[k]), SPAN)[within] for k in range(HASHES)])
+    new = np.concatenate([[True], (at[:, 1:] != at[:, :-1]).any(axis=0)])
+    at, text = at[:, new], text[new]
     key = np.zeros(at.shape[1], dtype=np.uint64)
     for row in at:
         key = _mixed(key ^ y[row]) + (row - at[0]).astype(np.uint64)
     # Where a text repeats itself, one window of a key in every stretch of MARGIN places tells as much as all.
-    order = np.lexsort((at[0], key))
-    key, place = key[order], at[0][order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] // MARGIN != place[:-1] // MARGIN)])
-    return key[new], place[new]
+    place = at[0] - begin[text]
+    order = np.lexsort((place, key, text))
+    text, key, place = text[order], key[order], place[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (place[1:] // MARGIN != place[:-1] // MARGIN)])
+    return text[new], key[new], place[new]
+
+
+#: Words of the texts whose windows are found together.
+TOGETHER = 1 << 17
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(names, words):
+        end = np.cumsum([len(w) for w in words])
+        text, key, c = joint_windows(_tokens(np.concatenate(words)), end - [len(w) for w in words], end)
+        return np.array(names, dtype=np.int64)[text], key, c
+
     for batch in batches:
-        found = []
+        out, names, words, held = [], [], [], 0
         for name, body in zip(batch.column("text_hash").to_pylist(), batch.column("text"), strict=True):
-            x = tokens(body.as_buffer().to_pybytes())
-            if len(x) >= TOKENS:
-                keys, places = signatures(x)
-                found.append((keys, np.full(len(keys), name, dtype=np.int64), places))
-        if found:
-            key, text, c = (np.concatenate(z) for z in zip(*found, strict=True))
+            split = body.as_buffer().to_pybytes().lower().split()
+            if len(split) >= WORDS:
+                names.append(name)
+                words.append(_hashes(split))
+                held += len(split)
+                if held >= TOGETHER:
+                    out.append(found(names, words))
+                    names, words, held = [], [], 0
+        if names:
+            out.append(found(names, words))
+        if out:
+            text, key, c = (np.concatenate(z) for z in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(text), pa.array(c.astype(np.int32))], ["key", "text", "c"])
 
 
@@ -225,6 +263,10 @@ def _parts(schema, names, ls, rs, parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ls, pa.int32()), pa.array(rs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], schema=schema)
 
 
+def _is_dense(hits, length):
+    return hits * DENSE[0][1] >= length * DENSE[0][0]
+
+
 def _dense(hit: np.ndarray, part: tuple[int, int]) -> tuple[int, int] | None:
     """The longest span (first, end) of that density, if it has ``TOKENS`` places."""
     if np.count_nonzero(hit) * part[1] < TOKENS * part[0]:
@@ -284,15 +326,26 @@ def _repeats(x: np.ndarray) -> np.ndarray | None:
     return before
 
 
+def _alike(hit: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    """The places from which on ``TOKENS`` places hit as a set so much that another set can have a similarity of ``LEAST``."""
+    at = _full(hit)
+    if before is None or not len(at):
+        return at
+    # A place is new in the spans that begin after the last one before it with its number.
+    place = np.arange(len(hit))
+    first, n = np.maximum(before + 1, place - TOKENS + 1), len(hit) + 1
+    size = np.cumsum(np.bincount(first, minlength=n) - np.bincount(place + 1, minlength=n))
+    inside = np.cumsum(np.bincount(first[hit], minlength=n) - np.bincount(place[hit] + 1, minlength=n))
+    return at[inside[at] >= LEAST * size[at] - 1e-9]
+
+
 def _sets(x: np.ndarray, hit: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different sets that spans of ``TOKENS`` places are and of which so much hits that another can have a similarity of ``LEAST``:
     a span of each, its members (places after its first that hit and are new in it) and its size; and of each span its set, or -1."""
-    at = _full(hit)
+    at = _alike(hit, before)
     span = at[:, None] + np.arange(TOKENS)
     new = np.ones(span.shape, dtype=bool) if before is None else before[span] < at[:, None]
     size, inside = new.sum(axis=1), new & hit[span]
-    alike = inside.sum(axis=1) >= LEAST * size - 1e-9
-    at, size, inside, new, span = at[alike], size[alike], inside[alike], new[alike], span[alike]
     name = np.where(new, _mixed(x.astype(np.uint64))[span], np.uint64(0)).sum(axis=1)
     _, first, again = np.unique(name, return_index=True, return_inverse=True)
     of = np.full(max(len(x) - TOKENS + 1, 0), -1)
@@ -343,7 +396,7 @@ def _spans_in(x: np.ndarray, y: np.ndarray, marks: _Marks) -> tuple[int, int, in
         return None
     before = _repeats(x), _repeats(y)
     if before[0] is not None or before[1] is not None:
-        return _sets_in(x, y, in_y, in_x, before)
+        return _sets_in(x, y, in_y, in_x, before) if len(_alike(in_y, before[0])) and len(_alike(in_x, before[1])) else None
     while len(todo):
         some, todo = todo[todo < todo[0] + STRIP], todo[todo >= todo[0] + STRIP]
         part = x[some[0] : some[-1] + TOKENS]
@@ -390,14 +443,16 @@ def _passages(x: np.ndarray, y: np.ndarray, marks: _Marks) -> list[tuple[int, in
         if len(at) * DENSE[0][1] < TOKENS * DENSE[0][0]:
             continue
         p = q = found = None
-        if len(at) >= TOKENS and at[-1] - at[0] + 1 == len(at):
-            # All that hits is one run; if it is one in y as well, both have the same tokens.
-            p, q = a + int(at[0]), a + int(at[-1]) + 1
+        p, q = a + int(at[0]), a + int(at[-1]) + 1
+        if q - p >= TOKENS and _is_dense(len(at), q - p):
+            # All that hits is dense; if it is so in y as well, it is one passage.
             there = marks.hits(y, x[p:q]).nonzero()[0]
-            if len(there) >= TOKENS and there[-1] - there[0] + 1 == len(there):
-                out.append((p, q, int(there[0]), int(there[-1]) + 1, 1.0))
+            u, v = int(there[0]), int(there[-1]) + 1
+            s = marks.similarity(x[p:q], y[u:v]) if v - u >= TOKENS and _is_dense(len(there), v - u) else 0.0
+            if s >= LEAST:
+                out.append((p, q, u, v, s))
                 continue
-            p = q = None
+        p = q = None
         for part in DENSE:
             own = _dense(in_y[a:b], part)
             if own is None:
@@ -466,12 +521,26 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def members(shared: DataFrame) -> DataFrame:
-    """t, block, windows, keys (the large ones): the texts that have a large key, dealt into blocks of about ``MEMBERS`` by the smallest."""
-    large = shared.where("large").groupBy(F.col("t").alias("_t")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    met = shared.join(large, F.col("t") == F.col("_t")).groupBy("t").agg(F.collect_list(F.struct("key", "c", "large")).alias("windows"), F.first("keys").alias("keys"))
-    met = written(met.withColumn("_least", F.col("keys")[0]), "large")
-    of = met.groupBy(F.col("_least").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("_n"))
-    return met.join(of, F.col("_least") == F.col("_key")).select("t", F.xxhash64("_least", F.pmod(F.xxhash64("t"), "_n")).alias("block"), "windows", "keys")
+    """t, block, windows, keys (the large ones): the texts that have a large key, dealt into blocks of about ``MEMBERS``.
+
+    Texts lie with those that have the same most frequent key; where these are few, with others whose keys meet the same still more
+    frequent one. So a pair of texts that meets mostly lies in one block, and a block meets few others.
+    """
+    each = written(shared.where("large").select("t", "key").distinct(), "large-keys")
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    first = each.join(often, "key").groupBy("t").agg(F.max(F.struct("n", "key")).alias("own"), F.array_sort(F.collect_set("key")).alias("keys"))
+    first = written(first, "first-keys")
+    hubs = written(each.join(first.select("t", "own"), "t").groupBy("key").agg(F.max("own").alias("hub")), "hubs")
+    hub = each.join(hubs, "key").groupBy(F.col("t").alias("_t")).agg(F.max("hub").alias("hub"))
+    met = written(first.join(hub, F.col("t") == F.col("_t")).select("t", "keys", F.col("own.key").alias("_own"), F.col("hub.key").alias("_hub")), "dealt")
+    n = met.groupBy(F.col("_own").alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    met = written(met.join(n, F.col("_own") == F.col("_o")).drop("_o"), "sized")
+    few = met.where(F.col("_n") < MEMBERS).groupBy(F.col("_hub").alias("_h")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("_bins"))
+    own = F.xxhash64(F.lit(0), "_own", F.pmod(F.xxhash64("t"), F.ceil(F.col("_n") / MEMBERS)))
+    block = F.when(F.col("_n") < MEMBERS, F.xxhash64(F.lit(1), "_hub", F.pmod(F.xxhash64("_own"), "_bins"))).otherwise(own)
+    met = met.join(few, F.col("_hub") == F.col("_h"), "left").select(F.col("t").alias("_t"), block.alias("block"), "keys")
+    windows = shared.join(met.select("_t"), F.col("t") == F.col("_t")).groupBy("t").agg(F.collect_list(F.struct("key", "c", "large")).alias("windows"))
+    return windows.join(met, F.col("t") == F.col("_t")).select("t", "block", "windows", "keys")
 
 
 def _hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,6 +566,13 @@ class _Class:
 
     def __init__(self, x: np.ndarray, places: dict[int, list[int]]):
         self.x, self.places, self.texts = x, places, ([], [])
+        self.ids, self.first, self.times = np.unique(x, return_index=True, return_counts=True)
+        self.plain = len(self.ids) == len(x)  # without repeated tokens
+        if self.plain:
+            self.ids, self.last = x, np.arange(len(x))
+            self.first = self.last
+        else:
+            self.last = len(x) - 1 - np.unique(x[::-1], return_index=True)[1]
 
 
 def _windows_of(job: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -594,14 +670,17 @@ def _linked(one: _Class, two: _Class, y: np.ndarray, marks: _Marks) -> tuple[lis
     chains, mine, theirs, most = _chains(one, two), [], [], 0.0
     free = lambda c, spans: not any(p <= c < q for p, q in spans)
     for need in (all, any) if len(chains) > 1 else (any,):
+        left = []  # a chain that was compared gives nothing new
         for chain in chains:
             if not any(need((free(c1, mine), free(c2, theirs))) for c1, c2 in chain):
+                left.append(chain)
                 continue
             (a, b), (c, d) = ((max(min(z) - MARGIN, 0), max(z) + MARGIN + 1) for z in zip(*chain, strict=True))
             for p, q, u, v, s in _passages(one.x[a:b], y[c:d], marks):
                 mine.append((a + p, a + q))
                 theirs.append((c + u, c + v))
                 most = max(most, s)
+        chains = left
     return _hulls_merged(mine), _hulls_merged(theirs), most
 
 
@@ -619,12 +698,36 @@ def _may_hold(hits: np.ndarray) -> np.ndarray:
 HELD = 64 << 20
 
 
+class _Alike:
+    """Of a text and what it has in common with others: whether a span of ``TOKENS`` places has ``LEAST`` of its different tokens in common."""
+
+    def __init__(self, x: np.ndarray):
+        before, place = _repeats(x), np.arange(len(x))
+        first = place if before is None else before + 1
+        # A place is new in the spans that begin after the last one before it with its number.
+        first = np.maximum(first, place - TOKENS + 1).clip(0) if before is not None else (place - TOKENS + 1).clip(0)
+        starts = np.arange(max(len(x) - TOKENS + 1, 0))
+        self.order = first.argsort(kind="stable")
+        self.upto = first[self.order].searchsorted(starts, side="right")
+        self.least = LEAST * (self.upto - starts) - 1e-9
+
+    def any(self, hits: np.ndarray) -> np.ndarray:
+        """Of each row of ``hits``."""
+        passed, begun = (np.zeros((len(hits), hits.shape[1] + 1), dtype=np.int32) for _ in "ab")
+        hits.cumsum(axis=1, out=passed[:, 1:])
+        hits[:, self.order].cumsum(axis=1, out=begun[:, 1:])
+        return (begun[:, self.upto] - passed[:, : len(self.upto)] >= self.least).any(axis=1)
+
+
 def _may_meet(classes: list[_Class], met: np.ndarray, meet: np.ndarray) -> np.ndarray:
-    """The pairs of classes in ``meet`` of which each has a span dense enough in what the other holds."""
-    n, may = len(classes), np.zeros_like(meet)
+    """The pairs of classes in ``meet`` of which each has a span dense enough in what the other holds, and one of ``TOKENS`` places whose
+    different tokens are, to ``LEAST``. A passage needs both: a token that isn't in common holds words of those around it, so it
+    counts in every span that lies there, however often its neighbours are repeated."""
+    n, may, meet = len(classes), np.zeros_like(meet), meet.copy()
     at = np.where(met, np.cumsum(met) - 1, np.count_nonzero(met))  # tokens that one text has hit nothing: the last column
     xs = [at[c.x] for c in classes]
     width = np.count_nonzero(met) + 1
+    alike = [None if c.plain else _Alike(c.x) for c in classes]
     step = max(HELD // width, 1)
     for begin in range(0, n, step):
         holds = np.zeros((min(step, n - begin), width), dtype=bool)
@@ -635,10 +738,151 @@ def _may_meet(classes: list[_Class], met: np.ndarray, meet: np.ndarray) -> np.nd
             near = meet[i, begin : begin + step].nonzero()[0]
             if len(near):
                 for part in np.array_split(near, -(-len(near) * len(x) // 4_000_000)):
-                    may[i, begin + part] = _may_hold(holds[part[:, None], x])
+                    hits = holds[part[:, None], x]
+                    dense = _may_hold(hits).nonzero()[0]
+                    if len(dense):
+                        may[i, begin + part[dense]] = True if classes[i].plain else alike[i].any(hits[dense])
+                meet[begin + near, i] &= may[i, begin + near]  # a pair that fails on one side isn't looked at on the other
     return meet & may & may.T
 
 
+def _by_runs(x: np.ndarray, y: np.ndarray, n: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages of pairs of texts without repeated tokens by their runs in common (``x`` and ``y`` their places, ``n`` their lengths),
+    which have the same order in both; a pair has ``count`` of them from ``begin`` on. The longest dense hull of runs is taken first,
+    then what lies on either side. Gives (pair, p, q, u, v, similarity) as columns, and the pairs of which it can't tell."""
+    x, y, n = (z.astype(np.int32) for z in (x, y, n))
+    total = np.append(0, n.cumsum()).astype(np.int32)
+    out, unclear = [np.empty((6, 0))], np.zeros(len(begin), dtype=bool)
+    pair, lo, hi = np.arange(len(begin)), begin, begin + count
+    while len(pair):
+        enough = ((total[hi] - total[lo]) * DENSE[0][1] >= TOKENS * DENSE[0][0]) & ~unclear[pair]
+        order = (hi - lo)[enough].argsort(kind="stable")
+        pair, lo, hi = (z[enough][order] for z in (pair, lo, hi))
+        more = []
+        while len(pair):  # as many at once as have a table of bounded size
+            width = (hi - lo)[: max(TABLE // int((hi - lo)[-1]) ** 2, 1)]
+            k, r = len(width), int(width[-1])
+            at = np.minimum(lo[:k, None] + np.arange(r), hi[:k, None] - 1)
+            first, end, cut = x[at], x[at] + n[at], np.arange(r) < width[:, None]
+            hulls = cut[:, None, :] & cut[:, :, None] & (np.arange(r) >= np.arange(r)[:, None])
+            length = end[:, None, :] - first[:, :, None]
+            todo = np.arange(k)
+            for num, den in DENSE:
+                dense = hulls[todo] & ((den * total[at + 1] - num * end)[todo][:, None, :] >= (den * total[at] - num * first)[todo][:, :, None])
+                i, j = np.divmod(np.where(dense, length[todo], -1).reshape(len(todo), r * r).argmax(axis=1), r)
+                i, j = lo[todo] + i, lo[todo] + j
+                both, own, other = total[j + 1] - total[i], x[j] + n[j] - x[i], y[j] + n[j] - y[i]
+                s = both / (own + other - both)
+                found = (np.minimum(own, other) >= TOKENS) & (both * den >= other * num) & (s >= LEAST)
+                out.append(np.stack([z[found] for z in (pair[todo], x[i], x[i] + own, y[i], y[i] + other, s)]))
+                more += [(pair[todo][found], lo[todo][found], i[found]), (pair[todo][found], j[found] + 1, hi[todo][found])]
+                todo = todo[~found]
+            # A hull that is too short may yet be a passage with what stands around it.
+            num, den = DENSE[0]
+            hits = (total[at + 1][:, None, :] - total[at][:, :, None])[todo]
+            may = (hulls[todo] & (hits * den >= TOKENS * num) & (hits * den >= length[todo] * num)).any(axis=(1, 2))
+            unclear[pair[todo][may]] = True
+            pair, lo, hi = pair[k:], lo[k:], hi[k:]
+        if more:
+            pair, lo, hi = (np.concatenate(z) for z in zip(*more, strict=True))
+    found = np.concatenate(out, axis=1)
+    return found[:, ~unclear[found[0].astype(np.int64)]], unclear
+
+
+class _Pairs:
+    """One class with all others that it meets: a few operations on arrays tell most of their passages. Tokens lie once for each class,
+    with their first and last place there and how often they occur."""
+
+    def __init__(self, classes: list[_Class], n: int, marks: _Marks):
+        self.classes, self.marks, self.at = classes, marks, np.full(n, -1)
+        self.plain, self.size = np.array([c.plain for c in classes], dtype=bool), np.array([len(c.ids) for c in classes], dtype=np.int64)
+        self.low = np.cumsum(self.size) - self.size
+        self.first, self.last, self.times = (np.concatenate([getattr(c, z) for c in classes] or [[]]) for z in ("first", "last", "times"))
+
+    def passages(self, i: int, near: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Of class ``i`` with each of ``near``: (j, p, q, u, v, similarity) where all that they have in common is one passage
+        or runs tell the passages, as columns; and the others that may have some."""
+        own, size = self.classes[i].ids, self.size[near]
+        start = np.cumsum(size) - size
+        self.at[own] = self.low[i] + np.arange(len(own))
+        at = self.at[np.concatenate([self.classes[j].ids for j in near.tolist()])]
+        self.at[own] = -1
+        hit = (at >= 0).nonzero()[0]
+        n = np.diff(hit.searchsorted(start + size), prepend=0)
+        near, shift, n = near[n > 0], (self.low[near] - start)[n > 0], n[n > 0]
+        if not len(near):
+            return np.empty((6, 0)), []
+        at, there, low = at[hit], hit + np.repeat(shift, n), np.cumsum(n) - n
+        mine, theirs = np.add.reduceat(self.times[at], low), np.add.reduceat(self.times[there], low)
+        p, q = np.minimum.reduceat(self.first[at], low), np.maximum.reduceat(self.last[at], low) + 1
+        u, v = np.minimum.reduceat(self.first[there], low), np.maximum.reduceat(self.last[there], low) + 1
+        # What doesn't hit is as many different tokens as it has places, at most.
+        s = n / (np.minimum(n + q - p - mine, self.size[i]) + np.minimum(n + v - u - theirs, self.size[near]) - n)
+        whole = (np.minimum(q - p, v - u) >= TOKENS) & _is_dense(mine, q - p) & _is_dense(theirs, v - u) & (s >= LEAST)
+        plain = self.plain[near] & self.plain[i]
+        for k in (whole & ~plain & (s < 1)).nonzero()[0].tolist():
+            s[k] = self.marks.similarity(self.classes[i].x[p[k] : q[k]], self.classes[near[k]].x[u[k] : v[k]])
+        left = ~whole & _is_dense(np.minimum(mine, theirs), TOKENS)
+        found, others = [np.stack([z[whole] for z in (near, p, q, u, v, s)])], near[left & ~plain].tolist()
+        left &= plain
+        if left.any():
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (np.diff(at) != 1) | (np.diff(there) != 1)
+            new[low] = True
+            run = new.nonzero()[0]
+            begin, n_runs = run.searchsorted(low), np.add.reduceat(new, low, dtype=np.int64)
+            falls = np.append(False, np.diff(at[run]) < 0)
+            falls[begin] = False
+            told = left & (n_runs <= RUNS) & ~np.logical_or.reduceat(falls, begin)
+            others += near[left & ~told].tolist()
+            if told.any():
+                place = there[run] - np.repeat(self.low[near], n_runs)
+                by_runs, unclear = _by_runs(at[run] - self.low[i], place, np.diff(np.append(run, len(at))), begin[told], n_runs[told])
+                others += near[told][unclear].tolist()
+                by_runs[0] = near[told][by_runs[0].astype(np.int64)]
+                found.append(by_runs)
+        return np.concatenate(found, axis=1), others
+
+
+class _Found:
+    """Passages of classes, with their partners."""
+
+    def __init__(self, n: int):
+        self.root, self.parts, self.rows = np.arange(n), [], []
+
+    def linked(self, i: int, others: np.ndarray) -> None:
+        names = self.root[others]
+        if (names != self.root[i]).any():
+            names = np.unique(np.append(names, self.root[i]))
+            self.root[np.isin(self.root, names)] = names[0]
+
+    def add(self, i: int, j: np.ndarray, p, q, u, v, s) -> None:
+        """Class i's passages p:q and those u:v of the classes j are linked."""
+        each = np.full(len(j), float(i))
+        self.parts += [np.stack([each, j, p, q, s]), np.stack([j, each, u, v, s])]
+        self.linked(i, j.astype(np.int64))
+
+    def merged(self, sizes: np.ndarray, own: bool) -> Iterator[tuple[int, int, int, int, int, float]]:
+        """class, side, first, end, number of links and greatest similarity; overlapping passages of a class as one. ``sizes``: texts of each side and class."""
+        of, partner, p, q, s = np.concatenate([*self.parts, np.array(self.rows, dtype=np.float64).reshape(-1, 5).T], axis=1)
+        of, partner, p, q = (z.astype(np.int64) for z in (of, partner, p, q))
+        for side in (0,) if own else (0, 1):
+            n = sizes[0 if own else 1 - side][partner] - (own & (of == partner))
+            has = ((n > 0) & (sizes[side][of] > 0)).nonzero()[0]
+            if not len(has):
+                continue
+            has = has[np.lexsort((q[has], p[has], of[has]))]
+            first, end = p[has], q[has] + SHINGLE - 1  # they overlap if their words do
+            step = int(end.max()) + 1
+            reach = np.maximum.accumulate(of[has] * step + end)
+            new = np.ones(len(has), dtype=bool)
+            new[1:] = of[has][1:] * step + first[1:] >= reach[:-1]
+            at = new.nonzero()[0]
+            ends = np.maximum.reduceat(q[has], at)
+            rows = of[has][at], first[at], ends, np.add.reduceat(n[has], at), np.maximum.reduceat(s[has], at)
+            yield from ((c, side, *rest) for c, *rest in zip(*(z.tolist() for z in rows), strict=True))
+
+
 _COUNTED = "t long, start_word int, end_word int, n_links long, similarity double, other long"
 
 
@@ -656,40 +900,34 @@ def _counted(job: pa.Table) -> pa.Table:
             by_key[k].append(i)
     for at in by_key.values():
         meet[np.ix_(at, at)] = True
-    has = np.array([[bool(c.texts[s]) for c in classes] for s in (0, 1)], dtype=bool)
+    sizes = np.array([[len(c.texts[s]) for c in classes] for s in (0, 1)], dtype=np.int64)
+    has = sizes > 0
     if own:
-        meet &= ~np.diag(np.array([len(c.texts[0]) == 1 for c in classes], dtype=bool))
+        meet &= ~np.diag(sizes[0] == 1)
     else:
         meet &= (has[0][:, None] & has[1]) | (has[1][:, None] & has[0])
-    meet = _may_meet(classes, met, meet)
-    marks = _Marks(2 * len(met))
-    root, found = {}, {}
-
-    def top(v):
-        while root.setdefault(v, v) != v:
-            root[v] = v = root[root[v]]
-        return v
-
-    def linked(i, side, first, end, more, similarity):
-        was = found.get((i, side, first, end), (0, 0.0))
-        found[i, side, first, end] = was[0] + more, max(was[1], similarity)
-
-    for i, j in zip(*(z.tolist() for z in np.nonzero(np.triu(meet))), strict=True):
+    found, marks, others = _Found(n), _Marks(2 * len(met)), meet & np.eye(n, dtype=bool)
+    pairs = _Pairs(classes, len(met), marks)
+    for i in range(n):
+        near = meet[i, i + 1 :].nonzero()[0] + i + 1
+        if len(near):
+            spans, rest = pairs.passages(i, near)
+            others[i, rest] = others[rest, i] = True
+            if spans.shape[1]:
+                found.add(i, *spans)
+    others = np.triu(_may_meet(classes, met, others))
+    for i, j in zip(*(z.tolist() for z in others.nonzero()), strict=True):
         one, two = classes[i], classes[j]
         y = two.x if i != j else np.where(met[two.x], two.x, two.x + len(met))  # two texts of a class have own tokens each
         mine, theirs, s = _linked(one, two, y, marks)
-        for s1, s2 in [(0, 0)] if own else [(0, 1), (1, 0)][: 1 + (i != j)]:
-            if not mine or not one.texts[s1] or not two.texts[s2]:
-                continue
-            root[top((i, s1))] = top((j, s2))
-            for p, q in mine:
-                linked(i, s1, p, q, len(two.texts[s2]) - (own and i == j), s)
-            for u, v in theirs if not (own and i == j) else []:
-                linked(j, s2, u, v, len(one.texts[s1]), s)
-    least = {}
-    for i, side in root:
-        least[top((i, side))] = min([least.get(top((i, side)), 1 << 63), *(t for t, _ in classes[i].texts[side])])
-    out = [(t, low + p, low + q + SHINGLE - 1, m, s, least[top((i, side))]) for (i, side, p, q), (m, s) in found.items() for t, low in classes[i].texts[side]]
+        found.rows += [(i, j, p, q, s) for p, q in mine] + [(j, i, u, v, s) for u, v in theirs if i != j]
+        if mine:
+            found.linked(i, np.array([j]))
+    least, out = {}, []
+    for r, c in zip(found.root.tolist(), classes, strict=True):
+        least[r] = min(least.get(r, 1 << 63), *(t for t, _ in itertools.chain(*c.texts)))
+    for c, side, p, q, links, s in found.merged(sizes, own):
+        out += [(t, low + p, low + q + SHINGLE - 1, links, s, least[int(found.root[c])]) for t, low in classes[c].texts[side]]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
     return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["t", "start_word", "end_word", "n_links", "similarity", "other"])
 

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -538,6 +539,47 @@ def test_passages_in_pairs_against_brute_force():
     assert lost == 0
 
 
+def block_of(texts):
+    """The texts as the job of one block, all keys large."""
+    rows = []
+    for t, text in enumerate(texts):
+        x = passages.tokens(text.encode())
+        keys, places = passages.signatures(x)
+        rows.append({"t": t, "l": 0, "side": 0, "own": True, "x": x.astype(np.uint32).view(np.int32), "windows": [{"key": int(k), "c": int(c), "large": True} for k, c in zip(keys.view(np.int64), places, strict=True)]})
+    windows = pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32()), ("large", pa.bool_())]))
+    return pa.Table.from_pylist(rows, pa.schema([("t", pa.int64()), ("l", pa.int32()), ("side", pa.int32()), ("own", pa.bool_()), ("x", pa.list_(pa.int32())), ("windows", windows)]))
+
+
+def test_passages_of_a_block():
+    """Edited copies give one row for each text, however many spans its links have; of pairs, none is lost that brute force finds."""
+    rng = random.Random(61)
+    base, texts = prose(rng, 300).split(), []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(300), 3):
+            w[at] = f"changed{i}"
+        texts.append(" ".join(w))
+    rows = passages._counted(block_of(texts)).to_pylist()
+    assert [r["t"] for r in sorted(rows, key=lambda r: r["t"])] == list(range(60))
+    assert {r["n_links"] for r in rows} == {59} and {r["other"] for r in rows} == {0}
+    lost = 0
+    for _ in range(300):
+        base, found = prose(rng, rng.randrange(48, 200)).split(), []
+        for own in range(2):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(w) // 30)):
+                at, kind = rng.randrange(len(w)), rng.randrange(3)
+                w[at : at + (kind < 2)] = [] if kind == 1 else [f"edit{own}{rng.random()}"]
+            found.append(f"{prose(rng, rng.randrange(0, 60))} {' '.join(w)} {prose(rng, rng.randrange(0, 60))}")
+        lost += bool(brute_passages(found)) and not passages._counted(block_of(found)).num_rows
+    assert lost == 0
+    # Words repeated up to 40 times each: alike where a passage is in common, not where a few words are.
+    junk = [" ".join(" ".join([f"word{rng.randrange(4)}"] * rng.randrange(20, 40)) + f" own{i}x{k}" for k in range(12)) for i in range(30)]
+    assert not passages._counted(block_of(junk)).num_rows
+    both = [f"{t} {' '.join(['again'] * 60)}" for t in junk]
+    assert {(r["t"], r["n_links"]) for r in passages._counted(block_of(both)).to_pylist()} == {(i, 29) for i in range(30)}
+
+
 def test_passages_of_repeated_words():
     """Few words, each repeated too seldom to be a passage, over thousands of places: spans that are the same set are compared once."""
     x, y = (" ".join(" ".join([f"word{i % 3}"] * 45 + [f"{own}{i}"]) for i in range(150)) for own in ("one", "two"))
