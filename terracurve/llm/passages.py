@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sieve, sieved, table, words, written
+from .common import sieve, sieved, small_enough, table, words, written
 from .components import components
 
 SHINGLE, WORDS, LEAST = 5, 50, 0.8
@@ -68,7 +68,7 @@ DRIFT, GAP = 16, 2 * MARGIN
 #: Bounds of regions are rounded to this, so that a text's regions with many others are the same few.
 ROUND = 64
 #: A key of more windows is large: its pairs of texts aren't made as rows but counted by pairs of blocks of about MEMBERS texts.
-LARGE, MEMBERS = 32, 512
+LARGE, MEMBERS = 8, 512
 #: Runs in common of two texts without repeated tokens up to which passages are looked for run by run.
 RUNS = 64
 #: Hulls of runs, of all pairs that are looked at together.
@@ -934,14 +934,19 @@ def _counted(job: pa.Table) -> pa.Table:
 
 def counted(met: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """t, start_word, end_word, n_links, similarity, other: the passages of ``met`` (``members``), for each pair of blocks with a large key in common."""
-    keys = met.select("block", F.explode("keys").alias("key")).distinct()
+    keys = written(met.select("block", F.explode("keys").alias("key")).distinct(), "block-keys")
     jobs = keys.join(keys.toDF("_block", "_key"), (F.col("key") == F.col("_key")) & (F.col("block") <= F.col("_block"))).select("block", "_block").distinct()
     jobs = written(jobs.toDF("a", "b"), "jobs")
     hulls = _with_texts(met.select("t", "windows"), docs, ids, "windows").mapInArrow(_hulls, "_t long, l int, x array<int>")
-    texts = written(met.join(hulls, F.col("t") == F.col("_t")).select("t", "block", "windows", "l", "x"), "members")
+    texts = written(met.join(hulls, F.col("t") == F.col("_t")).select("t", "block", "windows", "keys", "l", "x"), "members")
     own = (F.col("a") == F.col("b")).alias("own")
-    dealt = jobs.select("a", "b", own, F.col("a").alias("_block"), F.lit(0).alias("side")).union(jobs.where("a <> b").select("a", "b", own, "b", F.lit(1)))
-    return texts.join(dealt, F.col("block") == F.col("_block")).drop("block", "_block").groupBy("a", "b").applyInArrow(_counted, _COUNTED)
+    dealt = jobs.select("a", "b", own, F.col("a").alias("_block"), F.col("b").alias("_other"), F.lit(0).alias("side"))
+    dealt = dealt.union(jobs.where("a <> b").select("a", "b", own, "b", "a", F.lit(1)))
+    dealt = texts.join(dealt, F.col("block") == F.col("_block")).drop("block", "_block")
+    others = keys.groupBy(F.col("block").alias("_with")).agg(F.collect_list("key").alias("_keys"))
+    if small_enough(others):  # else texts that meet none of the other block are left out by the tasks only
+        dealt = dealt.join(F.broadcast(others), F.col("_other") == F.col("_with")).where(F.arrays_overlap("keys", "_keys")).drop("_with", "_keys")
+    return dealt.drop("keys", "_other").groupBy("a", "b").applyInArrow(_counted, _COUNTED)
 
 
 def linked_passages(docs: DataFrame, ids: DataFrame) -> DataFrame:
